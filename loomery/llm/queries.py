@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomery.llm import exact_dedup
+from loomery.llm import exact_dedup, quality_rules
 
 _MODULES = {
+    "op1_quality_rules": quality_rules,
     "op10_exact_dedup": exact_dedup,
 }
 
