@@ -40,7 +40,9 @@ def forget(*tables: DataFrame) -> None:
 
 
 def without_space(text: Column) -> Column:
-    return F.translate(text, SPACE, "")
+    for c in SPACE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def words(text: Column) -> Column:

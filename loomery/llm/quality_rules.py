@@ -16,11 +16,13 @@ hash within one document.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import SPACE, fresh, without_space, words
+from loomery.llm.common import fresh, without_space, words
 
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!?~^=+_{}[]\\"
@@ -29,6 +31,11 @@ ENDS = r"[.!?…:;][\"'”’»)\]]*$"
 PHRASES = ("all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "lorem ipsum", "enable javascript", "click here", "powered by")
 
 
+def one_of(chars: str) -> str:
+    """A regular expression for one of the characters."""
+    return "[" + "".join(f"\\{c}" for c in chars) + "]"
+
+
 @dataclass(frozen=True)
 class LineRules:
     max_marks: float = 0.10  # of a line's characters other than white space
@@ -40,15 +47,18 @@ class LineRules:
     max_repeat: float = 0.50
 
 
-def line_fails(line: Column, has_phrase: Column, rules: LineRules = LineRules()) -> Column:
-    """Whether a line is removed. has_phrase: whether a boilerplate phrase is in the document."""
-    bare = without_space(line)
-    n = F.length(bare)
-    n_marks = n - F.length(F.translate(bare, MARKS, ""))
-    n_seps = n - F.length(F.translate(bare, SEPARATORS, ""))
+def line_fails(line: Column, n: Column, has: dict[str, Column], rules: LineRules = LineRules()) -> Column:
+    """Whether a line of n characters besides white space is removed. has: whether the document
+    has any mark, any separator, any boilerplate phrase; most have none, and skip that rule."""
+
+    def count(chars: str) -> Column:
+        return F.length(line) - F.length(F.regexp_replace(line, one_of(chars), ""))
+
+    n_marks = F.when(has["mark"], count(MARKS)).otherwise(0)
+    n_seps = F.when(has["separator"], count(SEPARATORS)).otherwise(0)
     navigation = (n_seps >= rules.min_separators) & (n <= rules.item_chars * (n_seps + 1))
     stub = (n < rules.stub_chars) & ~F.rtrim(line).rlike(ENDS)
-    phrase = F.when(has_phrase, F.lower(line).rlike("|".join(PHRASES))).otherwise(False)
+    phrase = F.when(has["phrase"], F.lower(line).rlike("|".join(PHRASES))).otherwise(False)
     return (n > 0) & ((n_marks > rules.max_marks * n) | navigation | stub | phrase)
 
 
@@ -75,28 +85,43 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
     clean_text (the lines that pass) and kept."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text", "kept"]
-    t, w, lines = (fresh(docs, x) for x in ("text_", "words_", "lines_"))
+    t, w, lines, sizes, fails = (fresh(docs, x) for x in ("text_", "words_", "lines_", "sizes_", "fails_"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = docs.drop(*[c for c in docs.columns if c.lower() in made and c != text_col])
     df = df.withColumn(t, text).withColumn(w, words(F.col(t))).withColumn("n_words", F.size(w))
     df = repeat_words(w, "n_words", df, "n_repeat_words").drop(w)
-    df = df.withColumn(lines, F.split(t, "\n"))
-    df = df.withColumn("word_chars", F.length(without_space(F.col(t))).cast("long"))
-    df = df.withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
+
+    low = fresh(df, "lower_")
+    df = df.withColumn(low, F.lower(t))
+    flags = {
+        "mark": F.col(t).rlike(one_of(MARKS)),
+        "separator": F.col(t).rlike(one_of(SEPARATORS)),
+        "phrase": reduce(or_, [F.contains(F.col(low), F.lit(p)) for p in PHRASES]),
+    }
+    has = {k: fresh(df, f"has_{k}_") for k in flags}
+    df = df.withColumns({has[k]: v for k, v in flags.items()}).drop(low)
+    df = df.withColumn("n_symbols", F.when(F.col(has["mark"]) | F.col(has["separator"]), F.length(t) - F.length(F.regexp_replace(t, one_of(SYMBOLS), ""))).otherwise(0).cast("long"))
+
+    df = df.withColumn(lines, F.split(t, "\n")).withColumn(sizes, F.transform(lines, lambda x: F.length(without_space(x))))
     wordy = fresh(df, "wordy_")
-    df = df.withColumn(wordy, F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    df = df.withColumn(wordy, F.transform(F.filter(F.arrays_zip(F.col(lines).alias("line"), F.col(sizes).alias("n")), lambda z: z["n"] > 0), lambda z: z["line"]))
     df = df.withColumn("n_dup_lines", (F.size(wordy) - F.size(F.array_distinct(wordy))).cast("long")).drop(wordy)
-    phrase = fresh(df, "phrase_")
-    low = F.lower(F.col(t))
-    any_phrase = F.contains(low, F.lit(PHRASES[0]))
-    for p in PHRASES[1:]:
-        any_phrase = any_phrase | F.contains(low, F.lit(p))
-    df = df.withColumn(phrase, any_phrase)
-    df = df.withColumn("clean_text", F.array_join(F.filter(lines, lambda x: ~line_fails(x, F.col(phrase), rules)), "\n"))
-    df = df.withColumn("lost_chars", F.col("word_chars") - F.length(without_space(F.col("clean_text")))).withColumn("n_words", F.col("n_words").cast("long"))
+    # arrays meet by arrays_zip, outside of any lambda: an array named inside of one could be
+    # computed anew for each element once projections are collapsed
+    flag = {k: F.col(v) for k, v in has.items()}
+    judged = F.transform(F.arrays_zip(F.col(lines).alias("line"), F.col(sizes).alias("n")), lambda z: F.struct(z["line"].alias("line"), z["n"].alias("n"), line_fails(z["line"], z["n"], flag, rules).alias("fails")))
+    df = df.withColumn(fails, judged)
+    df = df.withColumn("clean_text", F.array_join(F.transform(F.filter(fails, lambda z: ~z["fails"]), lambda z: z["line"]), "\n"))
+
+    def total(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    df = df.withColumn("word_chars", total(F.col(sizes)))
+    df = df.withColumn("lost_chars", total(F.transform(fails, lambda z: F.when(z["fails"], z["n"]).otherwise(0))))
+    df = df.withColumn("n_words", F.col("n_words").cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= rules.max_lost * F.col("word_chars")))
-    return df.drop(t, lines, phrase)
+    return df.drop(t, lines, sizes, fails, *has.values())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
