@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from loomery.llm import exact_dedup, quality_rules
+from loomery.llm import exact_dedup, packing, quality_rules, sharding, source_mix
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
+    "op2_packing": packing,
+    "op4_sharding": sharding,
+    "op8_source_mix": source_mix,
     "op10_exact_dedup": exact_dedup,
 }
 
