@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomery.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules, sharding, source_mix
+from loomery.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, quality_rules, sharding, source_mix, warc
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_packing": packing,
+    "op3_warc": warc,
     "op4_sharding": sharding,
     "op5_language_id": language_id,
+    "op6_chat_format": chat_format,
     "op7_jaccard_join": jaccard_join,
     "op8_source_mix": source_mix,
     "op10_exact_dedup": exact_dedup,
