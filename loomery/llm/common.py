@@ -63,17 +63,32 @@ def fresh(df: DataFrame, stem: str) -> str:
 _BITS = 32768  # of one value of bitmap_construct_agg
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, n_bits: int = 1 << 26) -> DataFrame:
-    """Rows of df whose key may be among the (one-column) keys: a bitmap filter without false
-    negatives. Only the bitmap is broadcast, n_bits / 8 bytes however many keys there are."""
+def _flagged(df: DataFrame, key: Column, keys: DataFrame, n_bits: int) -> tuple[DataFrame, str]:
+    """df with a column that is false only for keys that surely aren't among keys."""
     h = fresh(df, "filter_bit")
-    at = F.pmod(F.xxhash64(key), F.lit(n_bits))
     mine = keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(n_bits)).alias("bit")).select(
         F.bitmap_bucket_number("bit").alias("bucket_"), F.bitmap_bit_position("bit").alias("pos")
     )
     maps = mine.groupBy("bucket_").agg(F.bitmap_construct_agg("pos").alias("map_"))
     pos = F.bitmap_bit_position(F.col(h))
     byte = F.conv(F.hex(F.substring(F.col("map_"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (pos % 8 + 1).cast("int"))) != 0
-    joined = df.withColumn(h, at).join(F.broadcast(maps), F.bitmap_bucket_number(F.col(h)) == F.col("bucket_"))
-    return joined.where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (pos % 8 + 1).cast("int"))
+    hit = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+    joined = df.withColumn(h, F.pmod(F.xxhash64(key), F.lit(n_bits))).join(F.broadcast(maps), F.bitmap_bucket_number(F.col(h)) == F.col("bucket_"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(h)), h
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, n_bits: int = 1 << 26) -> DataFrame:
+    """Rows of df whose key may be among the (one-column) keys: a bitmap filter without false
+    negatives. Only the bitmap is broadcast, n_bits / 8 bytes however many keys there are."""
+    flagged, h = _flagged(df, key, keys, n_bits)
+    return flagged.where(h).drop(h)
+
+
+def without(df: DataFrame, key: str, keys: DataFrame, n_bits: int = 1 << 26) -> DataFrame:
+    """Rows of df whose key isn't among the (one-column) keys; rows with a null key stay. Most rows
+    are settled by the bitmap and don't move; the others are joined."""
+    flagged, h = _flagged(df, F.col(f"`{key}`"), keys, n_bits)
+    gone = keys.select(F.col(keys.columns[0]).alias("gone_")).distinct()
+    joined = flagged.where(h).join(gone, F.col(f"`{key}`") == F.col("gone_"), "left_anti")
+    return flagged.where(~F.col(h)).unionByName(joined).drop(h)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import forget, maybe_in, without_space, written
+from loomery.llm.common import _flagged, forget, fresh, maybe_in, without, without_space, written
 
 _BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
@@ -109,6 +109,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lsm.resolve().withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay; of repeated rows with one id, one. Rows with a null id stay."""
+    found = written(exact_dedup(docs, id_col, text_col).where("group_size > 1").select("id", "kept"), "exact-copies")
+    left = without(docs, id_col, found.where("not kept").select("id"))
+    repeated = written(found.where("kept").groupBy("id").count().where("count > 1").select("id"), "repeated-rows")
+    if repeated.isEmpty():
+        forget(repeated)
+        return left
+    norm = fresh(docs, "norm_")
+    once = maybe_in(left, F.col(f"`{id_col}`"), repeated).withColumn(norm, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    keyed = once.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, norm]).unionByName(once.where(F.col(f"`{id_col}`").isNull())).drop(norm)
+    flagged, h = _flagged(left, F.col(f"`{id_col}`"), repeated, 1 << 26)
+    return flagged.where(~F.col(h)).drop(h).unionByName(keyed)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

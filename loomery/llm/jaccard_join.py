@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomery.llm.common import forget, maybe_in, written
+from loomery.llm.common import forget, maybe_in, without, written
 from loomery.llm.components import components
 
 WIDTH = 5
@@ -254,5 +254,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows whose id is the smallest of its component; rows with a null id stay."""
+    found = jaccard_components(docs, id_col, text_col, **options)
+    return without(docs, id_col, written(found.where("component_id <> id").select("id"), "near-copies"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
