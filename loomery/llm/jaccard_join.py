@@ -28,7 +28,6 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +41,7 @@ WIDTH = 5
 SIGNATURE_WORDS = 16  # of 64 bits
 _SAMPLE_DOCS = 8000  # for the order of shingles
 _COMMON = 4  # sampled documents that make a shingle a common one
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _M64 = 2**64
 
@@ -75,7 +74,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(flat.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(flat) else np.zeros(0, np.uint8)
     n = len(raw)
     if "up" not in _POWERS or len(_POWERS["up"]) <= n:
-        _POWERS["up"], _POWERS["down"] = _powers(_PRIME, 2 * n + 16), _powers(pow(_PRIME, -1, _M64), 2 * n + 16)
+        _POWERS["up"], _POWERS["down"] = _powers(_PRIME, n + 16), _powers(pow(_PRIME, -1, _M64), n + 16)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[raw] * _POWERS["up"][:n])])
     h = _mix((total[ends] - total[starts]) * _POWERS["down"][starts] + sizes.astype(np.uint64))
     if len(sizes) and not sizes.all():  # empty words before or behind white space
@@ -191,13 +190,9 @@ def _links(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     full = sets.select("id", "shingles")
     a, b = (full.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
 
-    @F.pandas_udf("int")
-    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], dtype="int32")
-
     both = near.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
-    both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), shared("s_a", "s_b").alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * t).select("a", "b")
+    both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+    return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * t).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH) -> DataFrame:
@@ -217,7 +212,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = posting.withColumn("alone", F.lag("id").over(by_h).isNull() & F.lead("id").over(by_h).isNull()).where("not alone")
     leader = F.first("id").over(W.partitionBy("h", "band").orderBy("id"))
     tiles = written(tiles.select("h", "id", "n", "pos", "band", leader.alias("leader")), "tiles")
-    sets = written(_sets(maybe_in(slim, F.col("id"), tiles.select("id").distinct()), width).dropDuplicates(["id"]), "sets")
+    sets = written(_sets(maybe_in(slim, F.col("id"), tiles.select("id").distinct()), width), "sets")
 
     first = tiles.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     edges = written(_links(first, sets, t), "links")
