@@ -127,21 +127,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, signature, shingles)"""
+    """(id, shingles)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int32()), _lists([signature(s) for s in sets]), _lists(sets)], names=["id", "n", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(shingle_sets(batch.column("text"), width))], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, signature array<bigint>, shingles array<bigint>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<bigint>")
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles that several of at most about _SAMPLE_DOCS sampled texts have, sorted."""
     every = max(1, docs.count() // _SAMPLE_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    once = _sets(sample, width).groupBy("n", "signature").agg(F.first("shingles").alias("shingles"))
+    once = _sets(sample, width).select("shingles").distinct()
     many = once.select(F.explode("shingles").alias("h")).groupBy("h").count().where(f"count >= {_COMMON}")
     return np.sort(np.array([r["h"] for r in many.select("h").collect()], dtype=np.int64))
 
@@ -152,47 +151,51 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _prefixes(docs: DataFrame, common, width: int, t: int) -> DataFrame:
-    """(id, n, digest, prefix); prefix is null for a set that the task has met before."""
+    """(id, n, digest, signature, prefix); prefix is null for a set that the task has met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = common.value, set()
         for batch in _slices(batches):
-            digests, prefixes, sets = [], [], shingle_sets(batch.column("text"), width)
+            digests, prefixes, signatures, sets = [], [], [], shingle_sets(batch.column("text"), width)
             for s in sets:
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 digests.append(digest)
                 if digest is None or digest in met:
                     prefixes.append(None)
+                    signatures.append(None)
                     continue
                 met.add(digest)
+                signatures.append(signature(s))
                 if len(last):
                     at = np.searchsorted(last, s)
                     late = last[np.minimum(at, len(last) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
                 prefixes.append(s[: prefix_length(len(s), t, 100)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "digest", "signature", "prefix"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, prefix array<bigint>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, signature array<bigint>, prefix array<bigint>")
 
 
 def _least_overlap(na: Column, nb: Column, t: int) -> Column:
     return F.ceil((na + nb) * F.lit(t) / F.lit(100 + t))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) that are similar enough: the bitmap bound first, then the exact test."""
-    light = sets.select("id", "n", "signature")
+def _links(pairs: DataFrame, light: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
+    """Pairs (a, b) that are similar enough: the bitmap bound first (light: id, n, signature), then the
+    exact test, for which only the texts of pairs that are left are made sets again."""
     a, b = (light.select(*[F.col(c).alias(f"{c}_{x}") for c in light.columns]) for x in "ab")
     seen = pairs.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
     differ = reduce(add, [F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i)))) for i in range(SIGNATURE_WORDS)])
     total = F.col("n_a") + F.col("n_b")
     near = written(seen.where(differ <= total - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), t)).select("a", "b"), "near")
-    full = sets.select("id", "shingles")
+    ids = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
+    full = written(_sets(maybe_in(texts, F.col("id"), ids), width), "sets")
     a, b = (full.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-
     both = near.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
     both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * t).select("a", "b").distinct()
+    links = written(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * t).select("a", "b").distinct(), "links")
+    forget(near, full)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH) -> DataFrame:
@@ -206,16 +209,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # tiles: the shingles of prefixes that two documents have
     posting = base.where("prefix is not null and id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
+    posting = posting.select("h", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at")).repartition("h")
+    posting = posting.select("h", "id", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / t))).cast("int")
     posting = posting.withColumn("band", band)
     by_h = W.partitionBy("h").orderBy("band", "id")
     tiles = posting.withColumn("alone", F.lag("id").over(by_h).isNull() & F.lead("id").over(by_h).isNull()).where("not alone")
     leader = F.first("id").over(W.partitionBy("h", "band").orderBy("id"))
     tiles = written(tiles.select("h", "id", "n", "pos", "band", leader.alias("leader")), "tiles")
-    sets = written(_sets(maybe_in(slim, F.col("id"), tiles.select("id").distinct()), width), "sets")
+    light = base.where("prefix is not null and id is not null").select("id", "n", "signature")
 
     first = tiles.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    edges = written(_links(first, sets, t), "links")
+    edges = _links(first, light, slim, width, t)
     class_of = members.join(reps, "digest").select("id", "rep")
     touched = written(tiles.select("id").distinct().join(class_of.distinct(), "id").select("id", "rep"), "touched")
 
@@ -241,9 +246,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         b, (F.col("t_h") == F.col("h_b")) & (F.col("label_b") == F.col("l_b")) & (bound >= _least_overlap(F.col("n_a"), F.col("n_b"), t)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t)
     )
     rest = written(cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "candidates")
-    more = written(_links(rest, sets, t), "links")
+    more = _links(rest, light, slim, width, t)
     final = components(on_reps(edges.unionByName(more)))
-    forget(tiles, sets, parts, rows, rest)
+    forget(tiles, parts, rows, rest)
 
     out = members.join(reps, "digest", "left").join(final, F.col("rep") == F.col("node"), "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
