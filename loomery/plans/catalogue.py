@@ -1,34 +1,14 @@
-"""Registry of the named queries and of their SQL twins."""
+"""All named queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Decorator: adds a query under a name, with the SQL that gives the same rows."""
-
-    def put(query: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = query
-        if sql is not None:
-            _SQL[name] = sql
-        return query
-
-    return put
+from loomery.plans import article_queries, merge_queries, metadata_queries, page_queries, rollup_queries, search_queries, stream_queries, text_queries  # noqa: F401
+from loomery.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
