@@ -14,12 +14,8 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where nobody set one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/loomery-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that driver and executors share; one of our own only where the session names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomery-checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
