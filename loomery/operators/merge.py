@@ -103,9 +103,9 @@ def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title:
     left, decided = keys, None
     for _ in range(rounds):
         first = left.groupBy("key").agg(F.min("r").alias("first"))
-        seen = left.join(first, "key").groupBy("r").agg(F.max("first").alias("most"), F.min("first").alias("least"))
+        seen = left.join(first, "key").groupBy("r").agg(F.min("first").alias("least"))
         # an entry is surely kept if it is the first of all its keys
-        kept = seen.where("most = r").select(F.col("r").alias("kept"))
+        kept = seen.where("least = r").select(F.col("r").alias("kept"))
         gone = left.join(first, "key").join(kept, F.col("first") == F.col("kept")).where("r <> kept").groupBy("r").agg(F.min("kept").alias("duplicate_of"))
         step = cut(gone.unionByName(kept.select(F.col("kept").alias("r"), F.lit(None).cast(entries.schema[rank].dataType).alias("duplicate_of"))))
         decided = step if decided is None else decided.unionByName(step)
