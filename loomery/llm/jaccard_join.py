@@ -180,21 +180,23 @@ def _least_overlap(na: Column, nb: Column, t: int) -> Column:
     return F.ceil((na + nb) * F.lit(t) / F.lit(100 + t))
 
 
-def _links(pairs: DataFrame, light: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
+def _links(pairs: DataFrame, light: DataFrame, texts: DataFrame, width: int, t: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) that are similar enough: the bitmap bound first (light: id, n, signature), then the
-    exact test, for which only the texts of pairs that are left are made sets again."""
+    exact test, for which only the texts of pairs that are left are made sets again. nearest: of
+    each b only the pair with the fewest differing bits is tested."""
     a, b = (light.select(*[F.col(c).alias(f"{c}_{x}") for c in light.columns]) for x in "ab")
     seen = pairs.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
     differ = reduce(add, [F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i)))) for i in range(SIGNATURE_WORDS)])
     total = F.col("n_a") + F.col("n_b")
-    near = written(seen.where(differ <= total - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), t)).select("a", "b"), "near")
-    ids = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
-    full = written(_sets(maybe_in(texts, F.col("id"), ids), width), "sets")
-    a, b = (full.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    near = seen.select("a", "b", "n_a", "n_b", differ.alias("differ")).where(F.col("differ") <= total - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), t))
+    if nearest:
+        near = near.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("m")).select("m.a", "b")
+    near = written(near.select("a", "b"), "near")
+    a, b = (_sets(maybe_in(texts, F.col("id"), near.select(x).distinct()), width).select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = near.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
     both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
     links = written(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * t).select("a", "b").distinct(), "links")
-    forget(near, full)
+    forget(near)
     return links
 
 
@@ -204,8 +206,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(slim, width))
     base = written(_prefixes(slim, common, width, t), "prefixes")
-    reps = base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = base.select("id", "n", "digest")
 
     # tiles: the shingles of prefixes that two documents have
     posting = base.where("prefix is not null and id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -216,11 +216,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_h = W.partitionBy("h").orderBy("band", "id")
     tiles = posting.withColumn("alone", F.lag("id").over(by_h).isNull() & F.lead("id").over(by_h).isNull()).where("not alone")
     leader = F.first("id").over(W.partitionBy("h", "band").orderBy("id"))
-    tiles = written(tiles.select("h", "id", "n", "pos", "band", leader.alias("leader")), "tiles")
-    light = base.where("prefix is not null and id is not null").select("id", "n", "signature")
+    tiles = written(tiles.select("h", "id", "n", "pos", leader.alias("leader")), "tiles")
+    slim_base = written(base.drop("prefix"), "sets")
+    forget(base)
+    reps = slim_base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    members = slim_base.select("id", "n", "digest")
+    light = slim_base.where("signature is not null and id is not null").select("id", "n", "signature")
 
     first = tiles.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    edges = _links(first, light, slim, width, t)
+    edges = _links(first, light, slim, width, t, nearest=True)
     class_of = members.join(reps, "digest").select("id", "rep")
     touched = written(tiles.select("id").distinct().join(class_of.distinct(), "id").select("id", "rep"), "touched")
 
@@ -233,10 +237,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # what is left: documents of one tile with different labels
     labelled = tiles.join(label, F.col("id") == F.col("l_id")).select("h", "id", "n", "pos", "label")
-    parts = labelled.groupBy("h", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = parts.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(F.col("h").alias("m_h"))
-    parts = written(parts.join(mixed, F.col("h") == F.col("m_h"), "left_semi"), "tile-labels")
-    rows = written(labelled.join(parts.select(F.col("h").alias("m_h")).distinct(), F.col("h") == F.col("m_h"), "left_semi"), "mixed-tiles")
+    all_of = W.partitionBy("h")
+    mixed = labelled.withColumn("x", F.min("label").over(all_of)).withColumn("y", F.max("label").over(all_of)).where("x < y")
+    rows = written(mixed.select("h", "id", "n", "pos", "label"), "mixed-tiles")
+    parts = written(rows.groupBy("h", "label").agg(F.min("n").alias("least"), F.max("n").alias("most")), "tile-labels")
     p, q = (parts.select(F.col("h").alias(f"h_{x}"), F.col("label").alias(f"label_{x}"), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ab")
     near_sizes = (F.col("least_a") * t <= F.col("most_b") * 100) & (F.col("least_b") * t <= F.col("most_a") * 100)
     meet = p.join(q, (F.col("h_a") == F.col("h_b")) & (F.col("label_a") < F.col("label_b")) & near_sizes).select(F.col("h_a").alias("t_h"), "label_a", "label_b")
