@@ -86,36 +86,38 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title: str = "title", path: str = "path", rounds: int = 50) -> DataFrame:
-    """(rank, duplicate_of): in rank order an entry is kept unless a kept one before it has its doc_no, or its title
-    where neither has a doc_no, or its path.
+    """(rank, duplicate_of, reason): in rank order an entry is kept unless a kept one before it has its doc_no, or its
+    title where neither has a doc_no, or its path. An entry is the duplicate of the one with its doc_no or title, else
+    of that with its path.
 
-    Keys of three kinds make one table, (key, rank). In each round the undecided entry that is first of all
-    its keys is kept, and the later ones of its keys are duplicates of it; what is left is decided in further
+    Keys of three kinds make one table, (key, rank). In each round the undecided entries that are first of all
+    their keys are kept, and the later ones of these keys are gone; what is left is decided in further
     rounds, all keys at once. No component of entries is gathered, and key groups are reduced to their
     minimum before they are shuffled."""
     no = F.lower(F.btrim(F.coalesce(doc_no, F.lit(""))))
     t = F.when((no == "") & (F.coalesce(title, F.lit("")) != ""), F.concat(F.lit("t:"), F.col(title)))
     p = F.when(F.coalesce(F.btrim(path), F.lit("")) != "", F.concat(F.lit("p:"), F.lower(F.btrim(path))))
     n = F.when(no != "", F.concat(F.lit("n:"), no))
-    all_ = entries.select(F.col(rank).alias("r"))
-    keys = entries.select(F.col(rank).alias("r"), F.explode(F.array_compact(F.array(n, t, p))).alias("key"))
-    keys = cut(keys)
-    left, decided = keys, None
+    keys = cut(entries.select(F.col(rank).alias("r"), F.explode(F.array_compact(F.array(n, t, p))).alias("key")))
+    left, kept_rows = keys, entries.sparkSession.createDataFrame([], f"k {entries.schema[rank].dataType.simpleString()}")
     for _ in range(rounds):
         first = left.groupBy("key").agg(F.min("r").alias("first"))
-        seen = left.join(first, "key").groupBy("r").agg(F.min("first").alias("least"))
+        marked = left.join(first, "key")
         # an entry is surely kept if it is the first of all its keys
-        kept = seen.where("least = r").select(F.col("r").alias("kept"))
-        gone = left.join(first, "key").join(kept, F.col("first") == F.col("kept")).where("r <> kept").groupBy("r").agg(F.min("kept").alias("duplicate_of"))
-        step = cut(gone.unionByName(kept.select(F.col("kept").alias("r"), F.lit(None).cast(entries.schema[rank].dataType).alias("duplicate_of"))))
-        decided = step if decided is None else decided.unionByName(step)
-        left = cut(left.join(step.select(F.col("r").alias("d")), F.col("r") == F.col("d"), "left_anti"))
+        kept = cut(marked.groupBy("r").agg(F.min("first").alias("least")).where("least = r").select(F.col("r").alias("k")))
+        kept_rows = kept_rows.unionByName(kept)
+        taken = left.join(kept, F.col("r") == F.col("k"), "left_semi").select("key").distinct()
+        gone = left.join(taken, "key", "left_semi").select(F.col("r").alias("g")).distinct()
+        left = cut(left.join(gone, F.col("r") == F.col("g"), "left_anti"))
         if left.isEmpty():
             break
     else:
         raise ValueError("chains of duplicates are longer than the rounds")
-    lone = all_.join(keys.select("r").distinct(), "r", "left_anti").withColumn("duplicate_of", F.lit(None).cast(entries.schema[rank].dataType))
-    return decided.unionByName(lone).select(F.col("r").alias(rank), "duplicate_of")
+    owners = keys.join(kept_rows, F.col("r") == F.col("k"), "left_semi").select(F.col("key").alias("o_key"), F.col("r").alias("owner"))
+    hits = keys.join(owners, F.col("key") == F.col("o_key")).where("owner < r")
+    best = hits.groupBy("r").agg(F.min(F.struct(F.col("key").startswith("p:").alias("by_path"), "owner", F.left("key", F.lit(1)).alias("kind"))).alias("b"))
+    reason = F.when(F.col("b.kind") == "n", "doc_no").when(F.col("b.kind") == "t", "title").when(F.col("b.kind") == "p", "document_path")
+    return entries.select(F.col(rank).alias("e")).join(best, F.col("e") == F.col("r"), "left").select(F.col("e").alias(rank), F.col("b.owner").alias("duplicate_of"), reason.alias("reason"))
 
 
 def reachable(edges: DataFrame, start: list, rounds: int = 100) -> DataFrame:

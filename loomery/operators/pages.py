@@ -40,6 +40,8 @@ class _Page(HTMLParser):
             self.stack.append(tag)
         if tag == "tr":
             self.row = {"text": [], "links": []}
+        if tag in ("td", "th") and self.row is not None:
+            self.row["text"].append(" ")
         href = dict(attrs).get("href")
         if tag == "a" and href:
             self.link = (urljoin(self.base, href.strip()), [])
