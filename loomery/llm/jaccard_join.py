@@ -9,8 +9,8 @@ found in a bounded sample: the order changes the work, never the result).
 A tile of n documents never becomes n * n pairs. First each band of a tile is compared with its
 leader alone; what links gets a common label. Then only pairs of different labels are left
 to compare in each tile, and copies have all one label by then. A candidate pair passes the
-bound on sizes and places in the prefix, then the bitmap bound: signatures hold parities of 1024
-hashed buckets, and the bits in which two differ are at most the size of the sets'
+bound on sizes and places in the prefix, then the bitmap bound: signatures hold parities of hashed
+buckets, 1024 or more for larger sets, and the bits in which two differ are at most the size of the sets'
 symmetric difference. Survivors meet in an exact intersection of their sorted arrays. Links make
 components by alternating stars.
 
@@ -38,7 +38,7 @@ from loomery.llm.common import forget, maybe_in, without, written
 from loomery.llm.components import components
 
 WIDTH = 5
-SIGNATURE_WORDS = 16  # of 64 bits
+SIGNATURE_WORDS = 16  # of 64 bits, at least
 _SAMPLE_DOCS = 8000  # for the order of shingles
 _COMMON = 4  # sampled documents that make a shingle a common one
 _SLICE_BYTES = 1 << 20
@@ -107,10 +107,32 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount(_mix(shingles.view(np.uint64)).astype(np.int64) & (64 * SIGNATURE_WORDS - 1), minlength=64 * SIGNATURE_WORDS) & 1
+    """Parities of hashed buckets: 1024 of them, or four times as many as often as the set is larger."""
+    words = SIGNATURE_WORDS
+    while 64 * words < len(shingles):
+        words *= 4
+    bits = np.bincount(_mix(shingles.view(np.uint64)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _differing_bits(a: str, b: str) -> Column:
+    """Bits in which two signatures differ; the wider one is folded (its bucket numbers lose their upper bits)."""
+    words = F.lit(SIGNATURE_WORDS)
+    x, y = F.col(a), F.col(b)
+    short = reduce(add, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SIGNATURE_WORDS)])
+
+    def count(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, z: s + z)
+
+    def folded(wide: Column, w: Column) -> Column:
+        part = lambda k: F.slice(wide, w * k + 1, w)
+        xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+        return xor(xor(part(0), part(1)), xor(part(2), part(3)))
+
+    n, m = F.size(x), F.size(y)
+    return F.when((n == words) & (m == words), short).when(n == m, count(x, y)).when(n == m * 4, count(folded(x, m), y)).when(m == n * 4, count(x, folded(y, n))).otherwise(0)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         sizes = np.cumsum(pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False))
@@ -186,7 +208,7 @@ def _links(pairs: DataFrame, light: DataFrame, texts: DataFrame, width: int, t:
     each b only the pair with the fewest differing bits is tested."""
     a, b = (light.select(*[F.col(c).alias(f"{c}_{x}") for c in light.columns]) for x in "ab")
     seen = pairs.join(b, F.col("b") == F.col("id_b")).join(a, F.col("a") == F.col("id_a"))
-    differ = reduce(add, [F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i)))) for i in range(SIGNATURE_WORDS)])
+    differ = _differing_bits("signature_a", "signature_b")
     total = F.col("n_a") + F.col("n_b")
     near = seen.select("a", "b", "n_a", "n_b", differ.alias("differ")).where(F.col("differ") <= total - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), t))
     if nearest:
