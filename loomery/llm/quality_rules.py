@@ -121,7 +121,12 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
     df = df.withColumn("n_words", F.col("n_words").cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= rules.max_lost * F.col("word_chars")))
-    return df.drop(t, lines, sizes, fails, *has.values())
+    # a generator of one row: a condition on the verdict that came below the arrays would compute them
+    # anew inside of their own lambdas
+    one = fresh(df, "verdict_")
+    keep = [c for c in docs.columns if c.lower() not in made or c == text_col]
+    df = df.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(F.struct(*made))).alias(one))
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(one)[c].alias(c) for c in made])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
