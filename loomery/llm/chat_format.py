@@ -42,7 +42,7 @@ def fold(log: DataFrame) -> DataFrame:
     both = light.unionByName(undo).withColumn("own", F.col("undo").isNull()).withColumn("cut", F.max("undo").over(run))
     cuts = both.where("own and cut is not null").select(F.col("conv").alias("c_conv"), F.col("msg").alias("c_msg"), "cut")
     alive = log.join(cuts, F.col("conv").eqNullSafe(F.col("c_conv")) & (F.col("msg") == F.col("c_msg")), "left").where("cut is null or seq >= cut")
-    item = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), (F.col("kind") == "edit").alias("edit"))
+    item = F.struct("seq", F.when(F.col("kind").isin("delta", "edit"), F.coalesce("text", F.lit(""))).otherwise("").alias("text"))
     messages = alive.groupBy("conv", "msg").agg(
         F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
         F.coalesce(F.max(F.when(F.col("kind") == "edit", F.col("seq"))), F.min("seq")).alias("since"),
