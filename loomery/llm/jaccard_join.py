@@ -39,8 +39,8 @@ from loomery.llm.components import components
 
 WIDTH = 5
 SIGNATURE_WORDS = 16  # of 64 bits, at least
-_SAMPLE_DOCS = 8000  # for the order of shingles
-_COMMON = 4  # sampled documents that make a shingle a common one
+_SAMPLE_DOCS = 16_000  # for the order of shingles
+_COMMON = 2  # sampled documents that make a shingle a common one
 _SLICE_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _M64 = 2**64
@@ -164,7 +164,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     once = _sets(sample, width).select("shingles").distinct()
     many = once.select(F.explode("shingles").alias("h")).groupBy("h").count().where(f"count >= {_COMMON}")
-    return np.sort(np.array([r["h"] for r in many.select("h").collect()], dtype=np.int64))
+    return np.sort(many.select("h").toArrow().column("h").to_numpy().astype(np.int64))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
