@@ -2,9 +2,9 @@
 
 Documents are sets of hashed five-word shingles. Texts with equal sets form a class. Under one
 global order of shingles, the prefixes of two sets that are similar enough share a shingle;
-each shingle of a prefix is a tile, with its documents in bands of size. Common shingles stand last
-in the order, so that a passage shared by many documents makes no tile of them (they are
-found in a bounded sample: the order changes the work, never the result).
+each shingle of a prefix is a tile, with its documents in bands of size. The order takes the third of
+the shingles with the smallest hashes first, by the number of documents that have them, counted over
+all rows: a passage shared by many documents stands behind a document's own words and makes no tile.
 
 A tile of n documents never becomes n * n pairs. First each band of a tile is compared with its
 leader alone; what links gets a common label. Then only pairs of different labels are left
@@ -39,8 +39,7 @@ from loomery.llm.components import components
 
 WIDTH = 5
 SIGNATURE_WORDS = 16  # of 64 bits, at least
-_SAMPLE_DOCS = 16_000  # for the order of shingles
-_COMMON = 2  # sampled documents that make a shingle a common one
+_LOW = -(2**63) + 2**64 // 3  # a third of all shingles are below it; a prefix is about a quarter of its set
 _SLICE_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _M64 = 2**64
@@ -158,44 +157,61 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<bigint>")
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several of at most about _SAMPLE_DOCS sampled texts have, sorted."""
-    every = max(1, docs.count() // _SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    once = _sets(sample, width).select("shingles").distinct()
-    many = once.select(F.explode("shingles").alias("h")).groupBy("h").count().where(f"count >= {_COMMON}")
-    return np.sort(many.select("h").toArrow().column("h").to_numpy().astype(np.int64))
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     """Elements that a set of n can't all lack, if it shares num / den of them at least."""
     return n - -(-n * num // den) + 1
 
 
-def _prefixes(docs: DataFrame, common, width: int, t: int) -> DataFrame:
-    """(id, n, digest, signature, prefix); prefix is null for a set that the task has met before."""
+def _low_shingles(docs: DataFrame, width: int, t: int) -> DataFrame:
+    """(id, n, digest, signature, low, n_low): the first n_low of low are the set's shingles below _LOW; where
+    they are fewer than a prefix, low goes on to its length. low is null for a set that the task has met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, met = common.value, set()
+        met = set()
         for batch in _slices(batches):
-            digests, prefixes, signatures, sets = [], [], [], shingle_sets(batch.column("text"), width)
+            digests, lows, n_lows, signatures, sets = [], [], [], [], shingle_sets(batch.column("text"), width)
             for s in sets:
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 digests.append(digest)
                 if digest is None or digest in met:
-                    prefixes.append(None)
+                    lows.append(None)
+                    n_lows.append(None)
                     signatures.append(None)
                     continue
                 met.add(digest)
                 signatures.append(signature(s))
-                if len(last):
-                    at = np.searchsorted(last, s)
-                    late = last[np.minimum(at, len(last) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                prefixes.append(s[: prefix_length(len(s), t, 100)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "digest", "signature", "prefix"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, signature array<bigint>, prefix array<bigint>")
+                n_lows.append(int(np.searchsorted(s, _LOW)))
+                lows.append(s[: max(n_lows[-1], prefix_length(len(s), t, 100))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int64())), pa.array(n_lows, pa.int32())],
+                names=["id", "n", "digest", "signature", "low", "n_low"],
+            )
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, signature array<bigint>, low array<bigint>, n_low int")
+
+
+def _tiles(base: DataFrame, t: int) -> DataFrame:
+    """(h, id, n, pos, leader): the shingles of prefixes that two documents have. The order is: shingles below _LOW by
+    their number of documents and value, then the others by value."""
+    low = F.col("h") < _LOW
+    entry = base.where("low is not null and id is not null").select("id", "n", "n_low", F.posexplode("low").alias("place", "h"))
+    at = F.when(low, F.col("n_low")).otherwise(F.col("place"))
+    entry = entry.select("h", "id", (F.shiftleft(F.col("n").cast("long"), 32) + at).alias("at")).repartition("h")
+    shared = entry.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("h"))).where("c > 1")
+    shared = shared.select("h", "id", "c", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+    # shingles of one document alone come first; only how many there are matters
+    of = W.partitionBy("id", "n")
+    shared = shared.withColumn("rank", F.dense_rank().over(of.orderBy(~low, "c", "h")))  # of repeated rows, too, each shingle counts once
+    alone = F.col("at") - F.coalesce(F.max(F.when(low, F.col("rank"))).over(of), F.lit(0))
+    placed = shared.withColumn("pos", F.when(low, (alone + F.col("rank") - 1).cast("int")).otherwise(F.col("at")))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(t) / F.lit(100)) + 1
+    placed = placed.where(F.col("pos") < length).select("h", "id", "n", "pos")
+
+    placed = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / t))).cast("int"))
+    by_h = W.partitionBy("h").orderBy("band", "id")
+    tiles = placed.withColumn("single", F.lag("id").over(by_h).isNull() & F.lead("id").over(by_h).isNull()).where("not single")
+    leader = F.first("id").over(W.partitionBy("h", "band").orderBy("id"))
+    return tiles.select("h", "id", "n", "pos", leader.alias("leader"))
 
 
 def _least_overlap(na: Column, nb: Column, t: int) -> Column:
@@ -224,22 +240,11 @@ def _links(pairs: DataFrame, light: DataFrame, texts: DataFrame, width: int, t:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach) for each row."""
-    spark, t = docs.sparkSession, percent
+    t = percent
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(slim, width))
-    base = written(_prefixes(slim, common, width, t), "prefixes")
-
-    # tiles: the shingles of prefixes that two documents have
-    posting = base.where("prefix is not null and id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
-    posting = posting.select("h", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at")).repartition("h")
-    posting = posting.select("h", "id", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / t))).cast("int")
-    posting = posting.withColumn("band", band)
-    by_h = W.partitionBy("h").orderBy("band", "id")
-    tiles = posting.withColumn("alone", F.lag("id").over(by_h).isNull() & F.lead("id").over(by_h).isNull()).where("not alone")
-    leader = F.first("id").over(W.partitionBy("h", "band").orderBy("id"))
-    tiles = written(tiles.select("h", "id", "n", "pos", leader.alias("leader")), "tiles")
-    slim_base = written(base.drop("prefix"), "sets")
+    base = written(_low_shingles(slim, width, t), "low-shingles")
+    tiles = written(_tiles(base, t), "tiles")
+    slim_base = written(base.drop("low", "n_low"), "sets")
     forget(base)
     reps = slim_base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     members = slim_base.select("id", "n", "digest")
@@ -262,12 +267,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all_of = W.partitionBy("h")
     mixed = labelled.withColumn("x", F.min("label").over(all_of)).withColumn("y", F.max("label").over(all_of)).where("x < y")
     rows = written(mixed.select("h", "id", "n", "pos", "label"), "mixed-tiles")
-    parts = written(rows.groupBy("h", "label").agg(F.min("n").alias("least"), F.max("n").alias("most")), "tile-labels")
-    p, q = (parts.select(F.col("h").alias(f"h_{x}"), F.col("label").alias(f"label_{x}"), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ab")
+    sums = rows.groupBy("h", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("reach"))
+    parts = written(sums, "tile-labels")
+    p, q = (parts.select(*[F.col(c).alias(f"{c}_{x}") for c in parts.columns]) for x in "ab")
     near_sizes = (F.col("least_a") * t <= F.col("most_b") * 100) & (F.col("least_b") * t <= F.col("most_a") * 100)
-    meet = p.join(q, (F.col("h_a") == F.col("h_b")) & (F.col("label_a") < F.col("label_b")) & near_sizes).select(F.col("h_a").alias("t_h"), "label_a", "label_b")
+    # in the first tile of two similar sets all that they share is still to come, in both
+    reaches = F.least("reach_a", "reach_b") >= _least_overlap(F.col("least_a"), F.col("least_b"), t)
+    meet = p.join(q, (F.col("h_a") == F.col("h_b")) & (F.col("label_a") < F.col("label_b")) & near_sizes & reaches).select(F.col("h_a").alias("t_h"), "label_a", "label_b")
     a, b = (rows.select(F.col("h").alias(f"h_{x}"), F.col("label").alias(f"l_{x}"), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
-    bound = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    bound = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     cross = meet.join(a, (F.col("t_h") == F.col("h_a")) & (F.col("label_a") == F.col("l_a"))).join(
         b, (F.col("t_h") == F.col("h_b")) & (F.col("label_b") == F.col("l_b")) & (bound >= _least_overlap(F.col("n_a"), F.col("n_b"), t)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t)
     )

@@ -44,9 +44,8 @@ def test_odd_rows(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_edits_with_a_common_passage(spark, seed, monkeypatch):
+def test_random_edits_with_a_common_passage(spark, seed):
     """Chains of edits near the threshold, one passage in every text, and many exact copies."""
-    monkeypatch.setattr(J, "_SAMPLE_DOCS", 30)
     rng = random.Random(seed)
     passage = prose(99, 60)
     texts = []
@@ -69,3 +68,13 @@ def test_one_of_each_and_empty(spark):
     df = spark.createDataFrame([(3, "x y z q r s t"), (5, "X y z q r s t"), (9, "other words that are not the same"), (None, "x y z q r s t")], "doc_id long, text string")
     assert sorted(r["doc_id"] or 0 for r in J.one_of_each(df).collect()) == [0, 3, 9]
     assert J.jaccard_components(documents(spark, empty=True)).count() == 0
+
+
+def test_rows_repeated_over_many_tasks(spark):
+    """The same rows in each of several tasks keep their places in the prefix."""
+    words = prose(5, 80).split()
+    near = words[:76] + ["one", "two", "three", "four"]
+    texts = [(1, " ".join(words)), (2, " ".join(near)), (3, prose(6, 80))]
+    df = spark.createDataFrame(texts * 6, "doc_id long, text string").repartition(6)
+    want = brute(sets_of(texts))
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()} == {(i, *v) for i, v in want.items()}
