@@ -9,7 +9,9 @@ in two ways gets one surrogate, in the format of each mention.
 Collision checks: entities are compared as keyed hashes, in one table over all rows, so that no
 personal data is written anywhere. Where two entities have one surrogate, or a surrogate is
 itself an entity of the corpus, all but the first take their next candidate, until all
-differ. Only documents that hold such an entity are joined with their choices.
+differ. Candidates of the exact format come first; where they are used up, as short formats can be
+dense, further ones have a wider format of the same type (more digits or letters, octets of any length, secrets of any characters).
+Only documents that hold such an entity are joined with their choices.
 
 Defined cases: null stays null; texts without an entity are returned unchanged; repeated rows
 get equal results; null ids are allowed (their candidates are chosen like others'); an empty table gives an empty
@@ -28,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import forget, fresh, written
+from loomery.llm.common import forget, fresh, maybe_in, written
 
-CANDIDATES = 6
+CANDIDATES = 6  # made with the entities; more are made for those that need them
+EXACT = 24  # candidates of the exact format, before wider ones
 
 # fixed values: titles, and surrogate names by script and gender
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"), "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н")}
@@ -77,6 +80,10 @@ class Surrogates:
 
     def mark(self, kind: str, canonical: str) -> bytes:
         """What stands for an entity in tables."""
+        return hmac.new(self.key, f"entity|{kind}|{canonical}".encode("utf-8", "replace"), hashlib.sha256).digest()[:16]
+
+    def look(self, kind: str, canonical: str) -> bytes:
+        """What stands for what a reader sees: names of both genders look alike."""
         return hmac.new(self.key, f"id|{kind[:4]}|{canonical}".encode("utf-8", "replace"), hashlib.sha256).digest()[:16]
 
     def _numbers(self, kind: str, canonical: str, attempt: int) -> Iterator[int]:
@@ -106,19 +113,23 @@ class Surrogates:
                 out.append(c)
         return "".join(out)
 
+    def candidates(self, kind: str, canonical: str, first: int, end: int) -> list[bytes]:
+        return [self.look(kind, self.draw(kind, canonical, i)) for i in range(first, end)]
+
     def draw(self, kind: str, canonical: str, attempt: int) -> str:
         """The canonical form of the entity's candidate number `attempt`."""
         numbers = self._numbers(kind, canonical, attempt)
+        wider = attempt // EXACT  # how many digits or letters more
         if kind == "email":
             local, _, domain = canonical.rpartition("@")
             host, _, top = domain.rpartition(".")
             # one domain stays one domain
-            return f"{self._like(local, numbers)}@{self._like(host, self._numbers('host', host, attempt))}.{top}"
+            return f"{self._like(local + 'x' * wider, numbers)}@{self._like(host, self._numbers('host', host, attempt))}.{top}"
         if kind == "ip":
             choice = {1: range(0, 10), 2: range(10, 100), 3: range(100, 256)}
             parts = []
             for x in canonical.split("."):
-                values = choice[len(x)]
+                values = range(256) if wider else choice[len(x)]
                 parts.append(str(values[(next(numbers) * 256 + next(numbers)) % len(values)]))
             return ".".join(parts)
         if kind == "card":
@@ -127,22 +138,24 @@ class Surrogates:
             last = right if _luhn(canonical[:-1]) == canonical[-1] else str((int(right) + 1 + next(numbers) % 9) % 10)
             return body + last
         if kind == "secret":
+            if wider:
+                return self._like("xX0x" * (len(canonical) // 4 + 1), numbers)[: len(canonical)] + self._like("x" * wider, numbers)
             return self._like(canonical, numbers, hexadecimal=bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical)))
         if kind == "phone":  # behind a plus the first digit, with which each country code starts, stays
             fixed = 2 if canonical.startswith("+") else 0
-            return canonical[:fixed] + self._like(canonical[fixed:], numbers)
+            return canonical[:fixed] + self._like(canonical[fixed:] + "0" * wider, numbers)
         script = "cyrillic" if "а" <= canonical[0].lower() <= "я" else "latin"
         names = NAMES[script, kind[-1]]
         i = next(numbers) * 256 + next(numbers)
         first = names[i % len(names)]
         # lists are short: a family name in the form of the old one keeps names apart
-        return first if attempt == 0 else first + self._like(canonical[1:].lower() or "x", numbers)
+        return first if attempt == 0 else first + self._like((canonical[1:].lower() or "x") + "x" * wider, numbers)
 
     def shown(self, kind: str, surrogate: str, mention: str) -> str:
         """The surrogate in the format of a mention."""
         if kind in ("card", "phone"):
             digits = iter(surrogate.lstrip("+"))
-            return "".join(next(digits) if c.isdecimal() else c for c in mention)
+            return "".join(next(digits) if c.isdecimal() else c for c in mention) + "".join(digits)
         if kind == "email":
             return "".join(s.upper() if m.isupper() else s for s, m in zip(surrogate, mention)) if len(surrogate) == len(mention) else surrogate
         if kind.startswith("name") and mention.isupper():
@@ -156,7 +169,7 @@ def _luhn(body: str) -> str:
 
 
 def _entities(texts: DataFrame, key: bytes) -> DataFrame:
-    """(kind, mark, candidates): marks of each distinct entity and of its candidates."""
+    """(mark, look, candidates): of each distinct entity its marks and those of its first candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, met = Surrogates(key), set()
@@ -169,35 +182,66 @@ def _entities(texts: DataFrame, key: bytes) -> DataFrame:
                         if len(met) > 1_000_000:
                             met.clear()
                         met.add(mark)
-                        rows.append((kind[:4], mark, [make.mark(kind, make.draw(kind, canonical, i)) for i in range(CANDIDATES)]))
+                        rows.append((mark, make.look(kind, canonical), make.candidates(kind, canonical, 0, CANDIDATES)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], names=["kind", "mark", "candidates"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], names=["mark", "look", "candidates"])
+
+    found = texts.mapInArrow(run, "mark binary, look binary, candidates array<binary>")
+    return found.groupBy("mark").agg(F.first("look").alias("look"), F.first("candidates").alias("candidates"))
+
+
+def _further(texts: DataFrame, key: bytes, wanted: DataFrame) -> DataFrame:
+    """(f_mark, further): for entities that have used up their candidates (wanted: mark, made) as many again. They
+    are drawn from one text of each, found by its hash, as no table holds the entities themselves."""
+    hashed = texts.where("text is not null").select(F.xxhash64("text").alias("row"), "text")
+    one = _marks(hashed, key).join(wanted, "mark").groupBy("mark").agg(F.min("row").alias("row"), F.first("made").alias("made"))
+    places = written(one.groupBy("row").agg(F.collect_list(F.struct("mark", "made")).alias("need")).withColumnRenamed("row", "n_row"), "further-places")
+    holders = maybe_in(hashed, F.col("row"), places.select("n_row")).join(places, F.col("row") == F.col("n_row")).select("text", "need")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Surrogates(key)
+        for batch in batches:
+            for value, need in zip(batch.column("text"), batch.column("need")):
+                made, rows = {x["mark"]: x["made"] for x in need.as_py()}, {}
+                for _, _, kind, canonical in spans(value.as_py()):
+                    mark = make.mark(kind, canonical)
+                    if mark in made and mark not in rows:
+                        rows[mark] = make.candidates(kind, canonical, made[mark], 2 * made[mark])
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.list_(pa.binary()))], names=["f_mark", "further"])
 
-    found = texts.mapInArrow(run, "kind string, mark binary, candidates array<binary>")
-    return found.groupBy("kind", "mark").agg(F.first("candidates").alias("candidates"))
+    found = holders.mapInArrow(run, "f_mark binary, further array<binary>").groupBy("f_mark").agg(F.first("further").alias("further"))
+    out = written(found, "further")
+    forget(places)
+    return out
 
 
 def choices(texts: DataFrame, key: bytes) -> DataFrame | None:
-    """(mark, attempt) of the entities that don't take their first candidate; None if all do."""
+    """(mark, attempt) of the entities that don't take their first candidate; None if all do. Rounds go on until
+    none clashes: a wider format always has free candidates."""
     now = written(_entities(texts, key).withColumn("attempt", F.lit(0)), "entities")
-    real = now.select("mark")
+    real = now.select(F.col("look").alias("r_look")).distinct()
     changed = False
-    for _ in range(200):
+    while True:
         chosen = now.withColumn("chosen", F.get("candidates", F.col("attempt")))
         first = chosen.groupBy("chosen").agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("chosen", "first")
         twice = chosen.join(first, "chosen").where("mark <> first").select("mark")
-        known = chosen.join(real.withColumnRenamed("mark", "r_mark"), F.col("chosen") == F.col("r_mark")).select("mark")
+        known = chosen.join(real, F.col("chosen") == F.col("r_look")).select("mark")
         bad = written(twice.unionByName(known).distinct().withColumnRenamed("mark", "b_mark"), "clashing")
         if bad.isEmpty():
             forget(bad)
             return now.where("attempt > 0").select("mark", "attempt") if changed else None
         changed = True
         after = now.join(bad, F.col("mark") == F.col("b_mark"), "left").withColumn("attempt", F.col("attempt") + F.col("b_mark").isNotNull().cast("int")).drop("b_mark")
-        if not after.where(F.col("attempt") >= CANDIDATES).isEmpty():
-            raise ValueError("some entities have no free surrogate of their format: raise CANDIDATES")
-        now = written(after, "entities")
+        after = written(after, "entities")
         forget(bad)
-    raise ValueError("surrogates still collide")
+        used_up = after.where(F.col("attempt") >= F.size("candidates")).select("mark", F.size("candidates").alias("made"))
+        if not used_up.isEmpty():
+            more = _further(texts, key, used_up)
+            joined = after.join(more, F.col("mark") == F.col("f_mark"), "left")
+            longer = written(joined.withColumn("candidates", F.concat("candidates", F.coalesce("further", F.array().cast("array<binary>")))).drop("f_mark", "further"), "entities")
+            forget(after, more)
+            after = longer
+        now = after
 
 
 def _marks(docs: DataFrame, key: bytes) -> DataFrame:

@@ -144,6 +144,21 @@ def test_collisions_are_resolved(spark):
     assert len(set(new)) == len(new) and not set(new) & {t for _, t in data}
 
 
+def test_a_used_up_format_gets_wider(spark):
+    """All addresses of this form are in use, so that each candidate of the exact format is an entity."""
+    real = [f"{i // 10}.{i % 10}.1.{j}" for i in range(100) for j in range(10)] + [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    secret = "token = ----------------"
+    data = list(enumerate([" ".join(real[k : k + 250]) for k in range(0, len(real), 250)])) + [(None, secret), (None, "")]
+    got = pii.replace_pii(spark.createDataFrame(data, "doc_id long, text string"), b"k3").collect()
+    new = {}
+    for r in got:
+        if r["doc_id"] is not None:
+            new.update(zip(data[r["doc_id"]][1].split(" "), r["clean_text"].split(" ")))
+    assert len(new) == 10_000 and len(set(new.values())) == len(new) and not set(new.values()) & set(real)
+    assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x) for x in new.values())
+    assert sorted(r["clean_text"] for r in got if r["doc_id"] is None)[1] not in (secret, "")
+
+
 def test_language_of_odd_rows(spark):
     learn = spark.createDataFrame([(i, t, lang) for i in range(40) for lang, t in (("xx", "baba dede fifi gogo " * 20), ("yy", "ströß kräft pflüg " * 20))], "id long, text string, lang string")
     docs = spark.createDataFrame([(1, "Baba, fifi! dede"), (2, "KRÄFT ströß"), (3, None), (4, "123 ... ²"), (5, ""), (6, "gogo baba " * 40_000)], "doc_id long, text string")
