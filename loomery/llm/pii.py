@@ -3,7 +3,10 @@
 Mail addresses, phone numbers, IPv4 addresses, card numbers, secrets and titled names are found
 in whole texts. Each distinct entity gets a surrogate drawn from a keyed hash: digits for
 digits, letters for letters of the same case and script, octets of as many digits, card numbers as (in)valid as before,
-names from a list of the same gender and script. An entity is one whatever its format: a phone number written
+names from a list of the same gender and script (in scripts without a list, letters for letters). Phones are found behind a
+plus, with an area code in brackets, in the usual national groupings, and in any grouping behind a word like `Tel:`. A titled name has up to
+three words, with hyphens and apostrophes, and each is an entity: wherever else in the document it stands with a capital, it is replaced
+alike (as the last titled mention before it, where two genders share it). Initials and particles (`von`) stay. An entity is one whatever its format: a phone number written
 in two ways gets one surrogate, in the format of each mention.
 
 Collision checks: entities are compared as keyed hashes, in one table over all rows, so that no
@@ -24,7 +27,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,30 +56,98 @@ _PATTERN = re.compile(
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<card>(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d))"
+    r"|(?P<national>(?<![\w+])(?<!\d[./-])(?:"
+    r"(?:1[ .-])?\d{3}(?P<s>[ .-])\d{3}(?P=s)\d{4}"
+    r"|(?:\+?\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}"
+    r"|[78][ -]\d{3}[ -]\d{3}[ -]\d{2}[ -]\d{2}"
+    r"|0\d{1,4}(?: ?[/-] ?| )\d{5,8}(?![ -]\d)"
+    r"|0\d{1,4}(?: ?[/-] ?|[ .])\d{2,4}(?P<t>[ .-])\d{2,8}(?:(?P=t)\d{2,8}){0,4}"
+    r"|\d{3} \d{2} \d{2} \d{2}|\d{2} \d{3} \d{2} \d{2}"
+    r")(?!\w|[./-]\d))"
+    r"|(?P<called>\b(?i:tel|telefon|telephone|téléphone|teléfono|phone|mobile|mobil|handy|fax|тел)(?:\.:?|:) ?(?P<number>\(?\d[\d ./()-]{4,16}\d)(?!\w))"
 )
-_TITLED = re.compile(rf"\b(?P<title>{'|'.join(t for x in TITLES.values() for t in x)})(?P<gap>\.? )(?P<name>[^\W\d_a-zа-яё][^\W\d_]+)")
+_PHONE_DIGITS = {"national": range(9, 16), "called": range(6, 16)}
+_LETTER = r"(?:[^\W\d_][\u0300-\u036f]*)"
+_CAPITAL = r"(?:[^\W\d_a-zа-яё][\u0300-\u036f]*)"
+_JOINED = rf"(?:[-'’](?!s\b){_LETTER}+)"
+_WORD = rf"(?:{_CAPITAL}{_LETTER}+{_JOINED}*|{_CAPITAL}{_JOINED}+)"
+_BETWEEN = rf"(?:{_CAPITAL}\. ?)*(?:(?:von|van|vom|zu|zur|de|del|della|der|den|des|di|da|dos|du|la|le|el|al|bin|ibn|ter|ten|af|av|y) )*"
+_TITLE = "|".join(t for x in TITLES.values() for t in x)
+_TITLED = re.compile(rf"\b(?P<title>{_TITLE})\.? (?:(?:Dra?|Prof|Doktor|Professor|Ing)\.? )*{_BETWEEN}(?P<name>{_WORD}(?: {_BETWEEN}(?!(?:{_TITLE})\b){_WORD}){{0,2}})")
+_NAME_WORD = re.compile(_WORD)
+_TOKEN = re.compile(rf"{_LETTER}+{_JOINED}*")
+_PIECE = re.compile(rf"{_LETTER}+")
 _HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
 
+def _name(word: str) -> str:
+    word = word.replace("’", "'")
+    return word.title() if word.isupper() else word
+
+
+def _names(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Spans of the words of titled names, and of their mentions without a title. taken: spans that stay, in order."""
+    starts = [x[0] for x in taken]
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(starts, b - 1)
+        return i == 0 or taken[i - 1][1] <= a
+
+    out, known = {}, {}
+    for m in _TITLED.finditer(text):
+        kind = "name_" + next(g for g, titles in TITLES.items() if m["title"] in titles)
+        for w in _NAME_WORD.finditer(text, *m.span("name")):
+            if free(*w.span()):
+                name = _name(w[0])
+                out[w.start()] = (*w.span(), kind, name)
+                known.setdefault(name.casefold(), []).append((w.start(), kind, name))
+    if not known:
+        return []
+    for token in _TOKEN.finditer(text):
+        whole = _name(token[0]).casefold() in known
+        for w in [token] if whole else _PIECE.finditer(text, *token.span()):
+            places = known.get(_name(w[0]).casefold())
+            if places and not w[0][0].islower() and w.start() not in out and free(*w.span()):
+                _, kind, name = places[max(0, bisect_right(places, (w.start(),)) - 1)]
+                out[w.start()] = (*w.span(), kind, name)
+    last, kept = 0, []
+    for x in sorted(out.values()):
+        if x[0] >= last:
+            kept.append(x)
+            last = x[1]
+    return kept
+
+
 def spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of each entity, in order."""
     out = []
     if _HINT.search(text):
         for m in _PATTERN.finditer(text):
-            kind = next(k for k in ("secret", "email", "ip", "card", "phone") if m[k] is not None)
-            a, b = m.span("value" if kind == "secret" else kind)
+            kind = next(k for k in ("secret", "email", "ip", "card", "phone", "national", "called") if m[k] is not None)
+            a, b = m.span({"secret": "value", "called": "number"}.get(kind, kind))
             value = text[a:b]
             if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
                 continue
+            if kind in _PHONE_DIGITS:
+                if sum(map(str.isdecimal, value)) not in _PHONE_DIGITS[kind]:
+                    continue
+                kind = "phone"
             out.append((a, b, kind, value.lower() if kind == "email" else ("+" * value.startswith("+") + re.sub(r"\D", "", value)) if kind in ("card", "phone") else value))
     if _TITLED.search(text):
-        for m in _TITLED.finditer(text):
-            gender = next(g for g, titles in TITLES.items() if m["title"] in titles)
-            if not any(a < m.end("name") and m.start("name") < b for a, b, _, _ in out):
-                out.append((m.start("name"), m.end("name"), f"name_{gender}", m["name"]))
+        out += _names(text, out)
     return sorted(out)
 
 
+@lru_cache(maxsize=4096)
+def _alphabet(block: int, category: str, script: str) -> str:
+    """Letters of one script and category in a block of 256 code points."""
+    return "".join(c for c in map(chr, range(block << 8, (block + 1) << 8)) if unicodedata.category(c) == category and _script(c) == script)
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "none").split()[0].split("-")[0]
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
@@ -97,8 +171,8 @@ class Surrogates:
         out = []
         for c in text:
             n = next(numbers)
-            if c.isdecimal() and c.isascii():
-                out.append(chr(48 + n % 10))
+            if c.isdecimal():
+                out.append(chr(ord(c) - unicodedata.decimal(c) + n % 10))
             elif hexadecimal and c in "abcdef":
                 out.append("abcdef"[n % 6])
             elif hexadecimal and c in "ABCDEF":
@@ -107,7 +181,10 @@ class Surrogates:
                 out.append(chr((97 if c >= "a" else 65) + n % 26))
             elif "а" <= c.lower() <= "я":
                 out.append(chr((0x430 if c.islower() else 0x410) + n % 32))
-            elif c.isalpha():  # other letters: a plain one of the same case
+            elif c.isalpha() and _script(c) != "LATIN":
+                letters = _alphabet(ord(c) >> 8, unicodedata.category(c), _script(c))
+                out.append(letters[n % len(letters)])
+            elif c.isalpha():  # letters with accents: a plain one of the same case
                 out.append(chr((65 if c.isupper() else 97) + n % 26))
             else:
                 out.append(c)
@@ -141,15 +218,18 @@ class Surrogates:
             if wider:
                 return self._like("xX0x" * (len(canonical) // 4 + 1), numbers)[: len(canonical)] + self._like("x" * wider, numbers)
             return self._like(canonical, numbers, hexadecimal=bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical)))
-        if kind == "phone":  # behind a plus the first digit, with which each country code starts, stays
-            fixed = 2 if canonical.startswith("+") else 0
+        if kind == "phone":  # behind a plus the first digit, with which each country code starts, stays, and so does a leading 0
+            fixed = 2 if canonical.startswith("+") else int(canonical.startswith("0"))
             return canonical[:fixed] + self._like(canonical[fixed:] + "0" * wider, numbers)
-        script = "cyrillic" if "а" <= canonical[0].lower() <= "я" else "latin"
+        script = _script(canonical[0]).lower()
+        more = next(c for c in reversed(canonical) if c.isalpha()).lower() * wider
+        if (script, kind[-1]) not in NAMES:
+            return self._like(canonical + more, numbers)
         names = NAMES[script, kind[-1]]
         i = next(numbers) * 256 + next(numbers)
         first = names[i % len(names)]
         # lists are short: a family name in the form of the old one keeps names apart
-        return first if attempt == 0 else first + self._like((canonical[1:].lower() or "x") + "x" * wider, numbers)
+        return first if attempt == 0 else first + self._like((canonical[1:].lower() or "x") + more, numbers)
 
     def shown(self, kind: str, surrogate: str, mention: str) -> str:
         """The surrogate in the format of a mention."""

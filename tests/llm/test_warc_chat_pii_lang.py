@@ -136,6 +136,25 @@ def test_surrogates(spark):
     assert len(set(names)) == 3 and not {"Meier", "Smith"} & set(names)
 
 
+def test_national_phones_and_full_names(spark):
+    phones = ["555-010-9999", "030 1234567", "0171-2345678", "01 42 68 53 00", "020 7946 0958", "8 (495) 123-45-67", "1-800-555-0199", "612 34 56 78"]
+    plain = ["On 01.02.2020, 2020-01-15 and 01-12-2020 at 08:30, pages 100-200 of 1 000 000, about 3.05 and 12 13 14 15."]
+    names = ["Mrs Anna Schmidt came. Schmidt left, ANNA stayed.", "Frau Meier-Schulz und Mr O'Neil; O’Neil's car, Herr Dr. Hans von Berg.", "Mr 田中 spoke, Г-жа Анна Петрова and Mr Παπαδόπουλος too. Smith didn't.", "Mr Smith and Mrs Smith: Smith's hat. smith"]
+    data = list(enumerate([f"Call {p} now." for p in phones] + ["Fax: 12 34 56"] + plain + names))
+    got = {r["doc_id"]: r["clean_text"] for r in pii.replace_pii(spark.createDataFrame(data, "doc_id long, text string"), b"k4").collect()}
+    for i, p in enumerate(phones):
+        assert p not in got[i] and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", data[i][1])
+    assert got[8] != data[8][1] and got[9] == plain[0]
+    one, two, three, four = (got[i] for i in range(10, 14))
+    first, last, again, upper = re.fullmatch(r"Mrs (\S+) (\S+) came\. (\S+) left, (\S+) stayed\.", one).groups()
+    assert last == again and upper == first.upper() and not {first, last} & {"Anna", "Schmidt"}
+    assert not re.search("Meier|Schulz|Neil|Hans|Berg", two) and re.search(r"; (\S+)'s car", two)[1] == re.search(r"Mr (\S+);", two)[1] and " von " in two
+    a, b, c, d = re.fullmatch(r"Mr (\S+) spoke, Г-жа (\S+) (\S+) and Mr (\S+) too\. Smith didn't\.", three).groups()
+    assert all(map(re.fullmatch, ("[\u4e00-\u9fff]{2}", "[А-я]+", "[А-я]+", "[\u0370-\u03ff]+"), (a, b, c, d))) and not {a, b, c, d} & {"田中", "Анна", "Петрова", "Παπαδόπουλος"}
+    he, she, his = re.fullmatch(r"Mr (\S+) and Mrs (\S+): (\S+)'s hat\. smith", four).groups()
+    assert she == his != he
+
+
 def test_collisions_are_resolved(spark):
     """There are 100 addresses of this form, and half of them are in use."""
     data = [(i, f"ip {i // 10}.{i % 10}.1.1") for i in range(0, 100, 2)]
