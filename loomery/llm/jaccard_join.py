@@ -164,16 +164,17 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def _low_shingles(docs: DataFrame, width: int, t: int) -> DataFrame:
     """(id, n, digest, signature, low, n_low): the first n_low of low are the set's shingles below _LOW; where
-    they are fewer than a prefix, low goes on to its length. low is null for a set that the task has met before."""
+    they are fewer than a prefix, low goes on to its length. low is null for a set that the task has met before
+    with an id, and for rows without an id: these are in no tile, and stand for no other row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for batch in _slices(batches):
             digests, lows, n_lows, signatures, sets = [], [], [], [], shingle_sets(batch.column("text"), width)
-            for s in sets:
+            for s, has_id in zip(sets, batch.column("id").is_valid().to_pylist()):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 digests.append(digest)
-                if digest is None or digest in met:
+                if digest is None or not has_id or digest in met:
                     lows.append(None)
                     n_lows.append(None)
                     signatures.append(None)

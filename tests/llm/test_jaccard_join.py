@@ -70,6 +70,13 @@ def test_one_of_each_and_empty(spark):
     assert J.jaccard_components(documents(spark, empty=True)).count() == 0
 
 
+def test_null_id_in_front_of_a_near_copy(spark):
+    words = prose(7, 80).split()
+    text, near = " ".join(words), " ".join(words[:78] + ["one", "two"])
+    df = spark.createDataFrame([(None, text), (5, text), (7, near)], "doc_id long, text string").coalesce(1)
+    assert sorted((r["id"] or 0, r["component_id"] or 0) for r in J.jaccard_components(df).collect())[1:] == [(5, 5), (7, 5)]
+
+
 def test_rows_repeated_over_many_tasks(spark):
     """The same rows in each of several tasks keep their places in the prefix."""
     words = prose(5, 80).split()
