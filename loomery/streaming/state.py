@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +32,55 @@ def upsert_into(state_path: str, key: str, order: str, last_filled: list[str], s
     return merge
 
 
+class _Used:
+    """The serials in use, as runs of consecutive ones (starts and ends, both included)."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends = array("q"), array("q")
+
+    def __contains__(self, s: int) -> bool:
+        i = bisect_right(self.starts, s)
+        return i > 0 and s <= self.ends[i - 1]
+
+    def next(self) -> int:
+        return self.ends[-1] + 1 if self.ends else 1
+
+    def add(self, s: int) -> None:
+        """Adds a serial that is free."""
+        i = bisect_right(self.starts, s)
+        left, right = i > 0 and self.ends[i - 1] == s - 1, i < len(self.starts) and self.starts[i] == s + 1
+        if left and right:
+            self.ends[i - 1] = self.ends[i]
+            del self.starts[i], self.ends[i]
+        elif left:
+            self.ends[i - 1] = s
+        elif right:
+            self.starts[i] = s
+        else:
+            self.starts.insert(i, s)
+            self.ends.insert(i, s)
+
+
 def serials(entries: DataFrame, order: str, wanted: str) -> DataFrame:
     """Serials of one task's entries, in order: the wanted one if it is free, else the largest so far plus 1. A fold
-    in order over one task's keys, as each answer depends on all before it."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for w in pdf.sort_values(order)[wanted]:
-            s = int(w) if pd.notna(w) and int(w) not in used else max(used, default=0) + 1
-            used.add(s)
-            out.append(s)
-        return pdf.sort_values(order).assign(serial=out)[["task", order, "serial"]]
+    in order over one task's keys, as each answer depends on all before it, but as a stream: rows are sorted
+    by Spark, and what is held is the runs of serials in use, not the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = object(), _Used()
+        for batch in batches:
+            out = []
+            for task, w in zip(batch.column("task").to_pylist(), batch.column("wanted_").to_pylist()):
+                if task != now:
+                    now, used = task, _Used()
+                s = w if w is not None and w not in used else used.next()
+                used.add(s)
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column(order), pa.array(out, pa.int64())], names=["task", order, "serial"])
 
     kinds = dict(entries.dtypes)
-    return entries.select("task", order, wanted).groupBy("task").applyInPandas(fold, f"task {kinds['task']}, {order} {kinds[order]}, serial long")
+    slim = entries.select("task", order, F.col(wanted).cast("long").alias("wanted_"))
+    return slim.repartition("task").sortWithinPartitions("task", F.asc_nulls_last(order)).mapInArrow(run, f"task {kinds['task']}, {order} {kinds[order]}, serial long")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -153,3 +153,15 @@ def test_upsert_and_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/state/v={last}").collect())) == want
     s = spark.createDataFrame([("x", 1, 1), ("x", 2, 5), ("x", 3, 1), ("x", 4, 2)], "task string, at int, wanted int")
     assert [r["serial"] for r in state.serials(s, "at", "wanted").orderBy("at").collect()] == [1, 5, 6, 2]
+
+
+def test_serials_of_one_large_task(spark):
+    """One task, null, has all rows, and nearly all of them take the maximum plus 1."""
+    df = spark.range(200_000).select(F.lit(None).cast("long").alias("task"), F.col("id").alias("at"), F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("wanted"))
+    want, used, top = {}, set(), None
+    for i in range(200_000):
+        s = i % 50 if i % 3 and i % 50 not in used else 1 if top is None else top + 1
+        used.add(s)
+        top = s if top is None else max(top, s)
+        want[i] = s
+    assert {r["at"]: r["serial"] for r in state.serials(df, "at", "wanted").collect()} == want
