@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from loomery.llm import exact_dedup, jaccard_join, packing, quality_rules, source_mix
 from loomery.llm.common import shared_dir
 
+RULES = quality_rules.LineRules(phrase_share=0.10)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
+    judged = quality_rules.quality_rules(docs, rules=RULES).where("kept").withColumn("text", F.col("clean_text"))
     return judged.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

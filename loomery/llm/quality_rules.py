@@ -45,6 +45,9 @@ class LineRules:
     max_lost: float = 0.30  # of a document's characters other than white space
     min_words: int = 50
     max_repeat: float = 0.50
+    # a line with phrases fails if they are this share of its characters at least; None: in any line, as in SQL.
+    # At 0.10 `privacy policy` fails a line of up to 140 characters, and no paragraph that mentions it.
+    phrase_share: float | None = None
 
 
 def line_fails(line: Column, n: Column, has: dict[str, Column], rules: LineRules = LineRules()) -> Column:
@@ -59,6 +62,9 @@ def line_fails(line: Column, n: Column, has: dict[str, Column], rules: LineRules
     navigation = (n_seps >= rules.min_separators) & (n <= rules.item_chars * (n_seps + 1))
     stub = (n < rules.stub_chars) & ~F.rtrim(line).rlike(ENDS)
     phrase = F.when(has["phrase"], F.lower(line).rlike("|".join(PHRASES))).otherwise(False)
+    if rules.phrase_share is not None:
+        whole = F.trim(F.lower(line))
+        phrase = phrase & (F.length(whole) - F.length(F.regexp_replace(whole, "|".join(PHRASES), "")) >= rules.phrase_share * F.length(whole))
     return (n > 0) & ((n_marks > rules.max_marks * n) | navigation | stub | phrase)
 
 

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import corpus_pipeline
 from loomery.llm.quality_rules import quality_rules
 
 from tests.llm.fixtures import documents, prose, rows
@@ -41,5 +42,14 @@ def test_verdicts_and_removed_lines(spark):
     assert got[6]["base_failed"]
 
 
+def test_phrases_in_long_lines(spark):
+    """The pipeline's rules: a paragraph that mentions a phrase stays, a line that is one goes."""
+    long = prose(10, 120).replace("\n", " ") + " Our privacy policy is new."
+    cases = [(1, long), (2, prose(11, 60) + "\n" + long + "\nAll rights reserved, see our privacy policy."), (3, "Click here. " * 60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in cases], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert got == {1: long, 2: prose(11, 60) + "\n" + long}
+
+
 def test_empty_table(spark):
     assert quality_rules(documents(spark, empty=True)).count() == 0
