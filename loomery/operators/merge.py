@@ -133,6 +133,8 @@ def reachable(edges: DataFrame, start: list, rounds: int = 100) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        raise ValueError("paths are longer than the rounds")
     return seen
 
 

@@ -165,3 +165,10 @@ def test_serials_of_one_large_task(spark):
         top = s if top is None else max(top, s)
         want[i] = s
     assert {r["at"]: r["serial"] for r in state.serials(df, "at", "wanted").collect()} == want
+
+
+def test_reachable_raises_where_rounds_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    assert M.reachable(edges, [0], rounds=5).count() == 5
+    with pytest.raises(ValueError):
+        M.reachable(edges, [0], rounds=2)
