@@ -14,8 +14,12 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomery-checkpoints").rstrip("/")
+    """The folder that driver and executors share. Only in local mode, where there is one machine, a session
+    that names none gets one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (named or "/tmp/loomery-checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -56,35 +60,38 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-_BITS = 32768  # of one value of bitmap_construct_agg
+_WORDS = 512  # of 64 bits, in a value of bitmap_construct_agg
 
 
 def _flagged(df: DataFrame, key: Column, keys: DataFrame, n_bits: int) -> tuple[DataFrame, str]:
     """df with a column that is false only for keys that surely aren't among keys."""
-    h = fresh(df, "filter_bit")
-    mine = keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(n_bits)).alias("bit")).select(
-        F.bitmap_bucket_number("bit").alias("bucket_"), F.bitmap_bit_position("bit").alias("pos")
-    )
-    maps = mine.groupBy("bucket_").agg(F.bitmap_construct_agg("pos").alias("map_"))
-    pos = F.bitmap_bit_position(F.col(h))
-    byte = F.conv(F.hex(F.substring(F.col("map_"), (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (pos % 8 + 1).cast("int"))
-    hit = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
-    joined = df.withColumn(h, F.pmod(F.xxhash64(key), F.lit(n_bits))).join(F.broadcast(maps), F.bitmap_bucket_number(F.col(h)) == F.col("bucket_"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(h)), h
+    flag, row, bits = (fresh(df, stem) for stem in ("filter_bit", "filter_row", "filter_words"))
+    one = keys.select(F.pmod(F.xxhash64(F.col(f"`{keys.columns[0]}`")), F.lit(n_bits)).alias("bit")).select(F.bitmap_bucket_number("bit").alias(row), F.bitmap_bit_position("bit").alias("pos"))
+    maps = one.groupBy(row).agg(F.bitmap_construct_agg("pos").alias("m"))
+    # as numbers of 64 bits, the first byte highest
+    words = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("m"), i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    maps = maps.select(row, words.alias(bits))
+    mine = df.withColumn(flag, F.pmod(F.xxhash64(key), F.lit(n_bits)))
+    joined = mine.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(flag)) == maps[row], "left")
+    pos = F.bitmap_bit_position(F.col(flag)).cast("int")
+    held = F.get(F.col(bits), F.shiftright(pos, 6))
+    hit = F.coalesce(F.bit_get(held, 56 - pos.bitwiseAND(56) + pos.bitwiseAND(7)) == 1, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(flag)), flag
 
 
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, n_bits: int = 1 << 26) -> DataFrame:
     """Rows of df whose key may be among the (one-column) keys: a bitmap filter without false
-    negatives. Only the bitmap is broadcast, n_bits / 8 bytes however many keys there are."""
-    flagged, h = _flagged(df, key, keys, n_bits)
-    return flagged.where(h).drop(h)
+    negatives. Only the bitmap is broadcast, n_bits / 8 bytes however many keys there are; with many more keys than
+    bits it lets most rows pass, so that a join that follows does all of the work."""
+    flagged, flag = _flagged(df, key, keys, n_bits)
+    return flagged.where(F.col(flag)).drop(flag)
 
 
 def without(df: DataFrame, key: str, keys: DataFrame, n_bits: int = 1 << 26) -> DataFrame:
     """Rows of df whose key isn't among the (one-column) keys; rows with a null key stay. Most rows
     are settled by the bitmap and don't move; the others are joined."""
-    flagged, h = _flagged(df, F.col(f"`{key}`"), keys, n_bits)
-    gone = keys.select(F.col(keys.columns[0]).alias("gone_")).distinct()
-    joined = flagged.where(h).join(gone, F.col(f"`{key}`") == F.col("gone_"), "left_anti")
-    return flagged.where(~F.col(h)).unionByName(joined).drop(h)
+    flagged, flag = _flagged(df, F.col(f"`{key}`"), keys, n_bits)
+    gone = fresh(df, "gone")
+    ids = keys.select(F.col(f"`{keys.columns[0]}`").alias(gone)).distinct()
+    joined = flagged.where(F.col(flag)).join(ids, F.col(f"`{key}`") == F.col(gone), "left_anti")
+    return flagged.where(~F.col(flag)).unionByName(joined).drop(flag)
