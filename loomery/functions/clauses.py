@@ -1,218 +1,95 @@
-"""Clause references (article, paragraph, item) and their text inside of documents.
+"""Numbers and references of clauses (article, paragraph, item), as expressions over columns.
 
-Parsing a reference and slicing a text are small helpers on one string; on columns they run as
-pandas UDFs. Numbers follow the source's conventions: digits behind one another overwrite, and
-units are added up without sections.
+Numbers follow the source's conventions: of digits behind one another the last counts, and each unit
+multiplies the digit before it alone, so that 十二万 is 10 + 2 * 10000.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
+from functools import reduce
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomery.functions.text import FOLDED
-
-# fixed values: digits, units and forms of numbers
+# fixed values: digits, units, a clause's number, marks behind a list number, last lines of a document, separators
 DIGITS = {"零": 0, "〇": 0, "○": 0, "Ｏ": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9, "两": 2, "俩": 2}
 UNITS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000, "万": 10000}
-NUMBER = "[" + "".join(DIGITS) + "".join(UNITS) + "0-9]"
-MARKS = r"(?:、|\\|．|﹒|:|：|·|•)"
-ENDINGS = re.compile("^(?:本(?:通知|办法|规定|细则|规则|意见|通告|方案|决定|措施|指南|公告)自.+(?:实施|施行|执行|印发|公布|发布)|特此(?:通知|公告|通告|说明))")
+NUMBER = "[一二三四五六七八九十百千万零〇0-9两俩壹贰叁肆伍陆柒捌玖]"
+MARKS = r"(?:、|\\.|．|﹒|:|：|·|•)"
+FINAL = (r"^(本通知|本办法|本规定|本细则|本规则|本意见|本通告|本方案|本决定|本措施|本指南|本公告)自.+(实施|施行|执行|印发|公布|发布)", r"^特此(通知|公告|通告|说明)")
+SEPARATORS = "，,、;；。　 \n\r\t"
+KEY_EDGES = " ，,、;；。：:　\n\r\t"
+CONNECTORS = "及和与或跟其"
 
 
-def to_int(text: str | None) -> int | None:
+def number(text: Column) -> Column:
     """一百零五 is 105; null for anything that isn't a number."""
-    text = (text or "").strip()
-    if not text:
-        return None
-    if text.isdigit():
-        return int(text)
-    total = digit = 0
-    for c in text:
-        if c in DIGITS:
-            digit = DIGITS[c]
-        elif c in UNITS:
-            total, digit = total + (digit or 1) * UNITS[c], 0
-        elif c not in "、 \t":
-            return None
-    return total + digit
-
-
-def to_chinese(n: int) -> str:
-    """105 is 一百零五."""
-    if n == 0:
-        return "零"
-    out, gap = "", False
-    for power, big in ((12, "兆"), (8, "亿"), (4, "万"), (0, "")):
-        part = n // 10**power % 10_000
-        if not part:
-            gap = gap or bool(out)
-            continue
-        text, zero = "", False
-        for p, unit in ((3, "千"), (2, "百"), (1, "十"), (0, "")):
-            d = part // 10**p % 10
-            if d:
-                text += ("零" if zero and text else "") + "零一二三四五六七八九"[d] + unit
-                zero = False
-            else:
-                zero = True
-        if part < 20 and text.startswith("一十"):
-            text = text[1:]
-        out += ("零" if gap else "") + text + big
-        gap = False
-    return out
-
-
-def forms(n: int) -> str:
-    """A pattern for the ways to write a number."""
-    ways = [str(n), to_chinese(n), *(["两", "俩"] if n == 2 else [])]
-    return "|".join(r"\s*".join(map(re.escape, w)) for w in ways)
-
-
-def folded(line: str) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", line or "").translate(FOLDED)).strip()
-
-
-def parse_reference(query: str | None) -> tuple[int, int | None, str | None, int | None] | None:
-    """(article, paragraph, its unit, item) of a reference such as 第八条，第三款."""
-    text = unicodedata.normalize("NFKC", query or "").translate(FOLDED)
-    head = re.search(rf"第\s*({NUMBER}+)\s*[条点]", text)
-    if not head or (article := to_int(head[1])) is None:
-        return None
-    rest = text[head.end() :].lstrip(" ，,、;；。:：")
-    paragraph = unit = item = None
-    m = re.match(rf"第\s*({NUMBER}+)\s*([款段])", rest) or re.match(rf"第\s*({NUMBER}+)()(?=$|[ ，,、;；。:：])", rest)
-    if m:
-        paragraph, unit = to_int(m[1]), m[2] or None
-        rest = rest[m.end() :]
-    m = re.search(rf"\(\s*({NUMBER}+)\s*\)\s*[项目]?", rest) or re.search(rf"第\s*({NUMBER}+)\s*[项目]", rest)
-    if m:
-        item = to_int(m[1])
-    return article, paragraph, unit, item
-
-
-def _cut(lines: list[str], opens: str, closes: str, endings: bool) -> list[str] | None:
-    plain = [folded(x) for x in lines]
-    at = next((i for i, x in enumerate(plain) if re.match(opens, x)), None)
-    if at is None:
-        return None
-    stop = next((i for i in range(at + 1, len(lines)) if re.match(closes, plain[i]) or endings and ENDINGS.match(plain[i])), len(lines))
-    out = lines[at:stop]
-    while out and not out[0].strip():
-        out = out[1:]
-    while out and not out[-1].strip():
-        out = out[:-1]
-    return out
-
-
-def clause_text(text: str | None, reference: tuple[int, int | None, str | None, int | None] | None) -> tuple[str | None, str | None]:
-    """(text, error): the article, or its paragraph, or its item."""
-    if reference is None:
-        return None, "invalid_clause_reference"
-    article, paragraph, unit, item = reference
-    lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    part = _cut(lines, rf"第\s*(?:{forms(article)})\s*条", rf"第\s*{NUMBER}+\s*条", True)
-    if part is None:
-        part = _cut(lines, rf"(?:{forms(article)})\s*{MARKS}", rf"{NUMBER}+\s*{MARKS}", True)
-    if part is None:
-        return None, "article_not_found"
-    if paragraph is not None:
-        for u in [unit] if unit else ["款", "段"]:
-            # a paragraph may begin behind the article's heading on the same line
-            inner = _cut(part, rf"(?:第\s*{NUMBER}+\s*条\s*)?第\s*(?:{forms(paragraph)})\s*{u}", rf"第\s*{NUMBER}+\s*{u}", False)
-            if inner is not None:
-                part = inner
-                break
-        else:
-            return None, "paragraph_not_found"
-    out = "\n".join(x.rstrip() for x in part).strip()
-    if item is None:
-        return out, None
-    marks = [(to_int(m[1] or m[2]), m.start()) for m in re.finditer(rf"[(（]\s*({NUMBER}+)\s*[)）]\s*[项目]?|第\s*({NUMBER}+)\s*[项目]", out)]
-    for i, (n, at) in enumerate(marks):
-        if n == item:
-            return out[at : marks[i + 1][1] if i + 1 < len(marks) else len(out)].strip(), None
-    return None, "item_not_found"
-
-
-def outline(text: str | None, compat: bool = False) -> list[tuple[int, str, int | None, str, int, int | None]]:
-    """(line, level, number, label, article ordinal, paragraph ordinal) of articles, paragraphs and items. In
-    compat mode items in brackets are not seen."""
-    out, article, paragraph = [], 0, None
-    for i, raw in enumerate((text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")):
-        line = folded(raw)
-        label = raw.strip() or line
-        if not label:
-            continue
-        if m := re.match(rf"第\s*({NUMBER}+)\s*条", line):
-            article, paragraph = article + 1, None
-            out.append((i, "article", to_int(m[1]), label, article, None))
-        elif article and (m := re.match(rf"第\s*({NUMBER}+)\s*[款段]", line)):
-            paragraph = (paragraph or 0) + 1
-            out.append((i, "paragraph", to_int(m[1]), label, article, paragraph))
-        elif article and (m := (None if compat else re.match(rf"[(（]\s*({NUMBER}+)\s*[)）]", line)) or re.match(rf"({NUMBER}+)\s*{MARKS}", line)):
-            out.append((i, "item", to_int(m[1]), label, article, paragraph))
-    return out
-
-
-_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
-
-
-@F.pandas_udf(_RESULT)
-def find_clause(text: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    """Struct (text, error) of a reference in a document's text."""
-    return pd.DataFrame([clause_text(t, parse_reference(r)) for t, r in zip(text, reference)], columns=["text", "error"])
-
-
-@F.pandas_udf(T.LongType())
-def number(text: pd.Series) -> pd.Series:
-    return pd.Series([to_int(t) for t in text], dtype="Int64")
-
-
-_OUTLINE = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("level", T.StringType()), T.StructField("number", T.LongType()), T.StructField("label", T.StringType()), T.StructField("article", T.LongType()), T.StructField("paragraph", T.LongType())]))
-
-
-@F.pandas_udf(_OUTLINE)
-def outline_rows(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [dict(zip(("line", "level", "number", "label", "article", "paragraph"), x)) for x in outline(t)])
-
-
-def clause_keys(value: str | None) -> list[tuple[str, str]]:
-    """(title, clause) pairs of a key: 《title》第三条，第一款, or title：clauses, or title第三条. Paragraphs and
-    items take over the article (and paragraph) before them."""
-    text = (value or "").strip()
-    found = list(re.finditer("《([^》]+)》", text))
-    if found:
-        blocks = [(m[1].strip(), text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)]) for i, m in enumerate(found)]
-    else:
-        at = max(text.rfind("："), text.rfind(":"))
-        at = at if at > 0 and "第" in text[at:] else text.find("第") - 1
-        if at < 0:
-            return []
-        blocks = [(text[: at + 1].strip().strip("《》\"'：:，, "), text[at + 1 :])]
-    out = []
-    for title, block in blocks:
-        article = paragraph = None
-        merged: list[str] = []
-        for piece in re.split("(?:^|(?<=[ ，,、;；。：:\\u3000\\n\\r\\t及和与或跟其]))(?=第)", block):
-            clause = piece.strip(" ，,、;；。：:　\n\r\t").lstrip("及和与或跟其").rstrip("及和与或跟其")
-            if not clause:
-                continue
-            if re.search("[条点]", clause) or article is None:
-                article, paragraph = (clause, None) if re.search("[条点]", clause) else (article, paragraph)
-                merged.append(clause)
-                continue
-            base = paragraph if paragraph and re.search("[项目]", clause) else article
-            joined = f"{base} {clause}"
-            if merged and merged[-1] == base:
-                merged[-1] = joined
-            else:
-                merged.append(joined)
-            if re.search("[款段]", clause):
-                paragraph = joined
-        out += [(title, c) for c in merged if title]
-    return out
+    t = F.btrim(text)
+    plain = F.regexp_replace(t, "[、 \\t]", "")
+    coded = F.translate(plain, "".join(DIGITS) + "拾佰仟", "".join(map(str, DIGITS.values())) + "十百千")
+    factor = F.create_map(*[F.lit(x) for u, n in UNITS.items() for x in (u, n)])
+    terms = F.transform(
+        F.regexp_extract_all(coded, F.lit("[0-9]*[十百千万]"), F.lit(0)),
+        lambda x: F.greatest(F.coalesce(F.regexp_extract(x, "([0-9]).$", 1).try_cast("long"), F.lit(0)), F.lit(1)) * F.try_element_at(factor, F.right(x, F.lit(1))),
+    )
+    last = F.coalesce(F.regexp_extract(coded, "([0-9])$", 1).try_cast("long"), F.lit(0))
+    known = t.rlike("^[" + "".join(DIGITS) + "".join(UNITS) + "、 \\t]+$")
+    return F.when(t.rlike("^[0-9]+$"), t.try_cast("long")).when(known, F.aggregate(terms, last, lambda a, x: a + x))
+
+
+def _below_10000(n: Column) -> Column:
+    """A group of four digits, without zeros at its ends."""
+    figure = lambda power: F.substring(F.lit("零一二三四五六七八九"), (F.floor(n / power) % 10 + 1).cast("int"), F.lit(1))
+    written = F.concat(*[x for power, unit in ((1000, "千"), (100, "百"), (10, "十"), (1, "")) for x in (figure(power), F.lit(unit))])
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(written, "零[千百十]", "零"), "零+", "零"), "^零|零$", "")
+    return F.when(n < 20, F.regexp_replace(short, "^一十", "十")).otherwise(short)
+
+
+def chinese(n: Column) -> Column:
+    """105 is 一百零五. A zero stands for a whole group of four digits that is nil, not for zeros at a group's front."""
+    n = n.cast("long")
+    group = lambda power: F.floor(n / 10**power) % 10_000
+    parts = []
+    for power, name in ((12, "兆"), (8, "亿"), (4, "万"), (0, "")):
+        skipped = (F.floor(n / 10 ** (power + 8)) > 0) & (group(power + 4) == 0) if power < 8 else F.lit(False)
+        parts.append(F.when(group(power) > 0, F.concat(F.when(skipped, "零").otherwise(""), _below_10000(group(power)), F.lit(name))).otherwise(""))
+    return F.when(n == 0, "零").otherwise(F.concat(*parts))
+
+
+def same_number(shown: Column, n: Column) -> Column:
+    """Whether a number in a text, without its spaces, is a way to write n."""
+    bare = F.regexp_replace(shown, "\\s", "")
+    return (bare == n.cast("string")) | (bare == chinese(n)) | ((n == 2) & bare.isin("两", "俩"))
+
+
+def final_line(plain: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.btrim(plain).rlike(p) for p in FINAL])
+
+
+def _behind(text: Column, pattern: str) -> Column:
+    """What stands behind the first match, without separators in front."""
+    rest = F.regexp_extract(text, f"(?s)^.*?{pattern}(.*)$", 1)
+    return F.regexp_replace(F.btrim(rest), f"^[{SEPARATORS}]+", "")
+
+
+def reference(plain: Column) -> Column:
+    """Struct (article, paragraph, unit, item) of a folded reference such as 第八条,第三款; null without an article."""
+    head = f"第\\s*{NUMBER}+\\s*[条点]"
+    rest = _behind(plain, head)
+    with_unit = F.regexp_extract(rest, f"^第\\s*({NUMBER}+)\\s*[款段]", 1)
+    bare = F.regexp_extract(rest, f"^第\\s*({NUMBER}+)(?=$|[{SEPARATORS}])", 1)
+    unit = F.nullif(F.regexp_extract(rest, f"^第\\s*{NUMBER}+\\s*([款段])", 1), F.lit(""))
+    tail = F.when(with_unit != "", _behind(rest, f"第\\s*{NUMBER}+\\s*[款段]")).when(bare != "", _behind(rest, f"第\\s*{NUMBER}+")).otherwise(rest)
+    item = F.coalesce(number(F.regexp_extract(tail, f"\\(\\s*({NUMBER}+)\\s*\\)", 1)), number(F.regexp_extract(tail, f"第\\s*({NUMBER}+)\\s*[项目]", 1)))
+    article = number(F.regexp_extract(plain, f"第\\s*({NUMBER}+)\\s*[条点]", 1))
+    paragraph = number(F.when(with_unit != "", with_unit).otherwise(bare))
+    return F.when(article.isNotNull(), F.struct(article.alias("article"), paragraph.alias("paragraph"), unit.alias("unit"), item.alias("item")))
+
+
+def item_text(text: Column, item: Column) -> Column:
+    """The part of a text from an item's mark, (二) or 第二项, to the next mark; null without."""
+    mark = f"[(（]\\s*{NUMBER}+\\s*[)）]|第\\s*{NUMBER}+\\s*[项目]"
+    shown = F.regexp_replace(text, "\\x00", "")
+    parts = F.slice(F.split(F.regexp_replace(shown, f"({mark})", "\u0000$1"), "\u0000"), 2, 1 << 30)
+    of = lambda p: number(F.regexp_extract(p, f"^[(（第]\\s*({NUMBER}+)", 1))
+    return F.btrim(F.get(F.filter(parts, lambda p: of(p) == item), F.lit(0)), F.lit(" \n\t\r　"))

@@ -17,7 +17,7 @@ DOCTYPES = ("管理办法", "实施细则", "暂行规定", "规定", "细则",
 AGENCIES = ("中国人民银行", "中国证券监督管理委员会", "中国银行保险监督管理委员会", "中国银行业监督管理委员会", "国家外汇管理局", "国务院", "中国证监会", "中国银保监会", "国家统计局")
 TITLE_EXCLUDED = ("废止", "停止执行", "停止施行", "停止实施", "终止执行", "终止施行", "终止实施", "失效", "作废", "停止使用")
 REMARK_EXCLUDED = ("已废止", "已失效", "停止执行", "停止施行", "停止实施", "停止使用", "终止执行", "终止施行", "终止实施", "作废")
-DOCNO_HEADS = ("银发", "银办发", "公告", "令", "会发", "财金", "发改", "证监", "保监", "银保监", "人民银行令", "中国人民银行令")
+DOCNO = r"(银发|银办发|公告|令|会发|财金|发改|证监|保监|银保监|人民银行令|中国人民银行令)[〔\[\(]?\s*(\d{2,4})\s*[〕\]\)]?\s*(第?\s*\d+\s*号)?"
 TYPE_PRIORITY = {"text": 5, "txt": 5, "pdf": 4, "docx": 3, "doc": 3, "word": 3, "html": 2}
 FOLDED = str.maketrans({"（": "(", "）": ")", "〔": "[", "〕": "]", "【": "[", "】": "]", "《": '"', "》": '"', "“": '"', "”": '"', "‘": "'", "’": "'"})
 
@@ -53,8 +53,7 @@ def tokenize_terms(text: Column) -> Column:
 
 def extract_docno(norm: Column) -> Column:
     """Head, bracketed year (two digits become 20xx) and number of folded text; null without."""
-    pattern = f"(?i)({'|'.join(DOCNO_HEADS)})[〔\\[(]?\\s*(\\d{{2,4}})\\s*[〕\\])]?\\s*(第?\\s*\\d+\\s*号)?"
-    head, year, tail = (F.regexp_extract(norm, pattern, i) for i in (1, 2, 3))
+    head, year, tail = (F.regexp_extract(norm, f"(?i){DOCNO}", i) for i in (1, 2, 3))
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     return F.when(head != "", F.concat(head, F.lit("["), full, F.lit("]"), F.replace(tail, F.lit(" "), F.lit(""))))
 

@@ -58,7 +58,7 @@ def fuzzy_score(query: str, stopwords: tuple[str, ...] = X.STOPWORDS) -> Column:
     import re
 
     q = X.fold(query)
-    docno = re.search(f"({'|'.join(X.DOCNO_HEADS)})[〔\\[(]?\\s*(\\d{{2,4}})\\s*[〕\\])]?\\s*(第?\\s*\\d+\\s*号)?", q, re.I)
+    docno = re.search(X.DOCNO, q, re.I)
     score = F.lit(0.0)
     if docno:
         year = "20" + docno[2] if len(docno[2]) == 2 else docno[2]
