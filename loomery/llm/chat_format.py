@@ -134,15 +134,26 @@ def read_back(parts: DataFrame) -> DataFrame:
 
 
 def as_log(conversations: DataFrame) -> DataFrame:
-    """The events that stream the rows of conversations (conv_id, turn, role, text): a start and
-    deltas of some characters for each row; rows of one turn are messages of their own."""
+    """A log that ends in the rows of conversations (conv_id, turn, role, text): each row is a message of its own,
+    with a start and deltas of some characters. Of every four messages (by a hash) one is first drafted, with a draft of
+    the next message behind it, and regenerated, which undoes both; another is drafted and edited."""
     msg = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = conversations.select(F.col("conv_id").alias("conv"), msg.alias("msg"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    start = F.array(F.struct(F.lit(0).alias("i"), F.lit("start").alias("kind"), F.lit("").alias("text")))
+    rows = rows.withColumn("way", F.pmod(F.xxhash64("conv", "msg"), F.lit(4)))
+
+    def event(kind: str, text: Column, later: int = 0) -> Column:
+        role = F.col("role") if kind == "start" else F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), (F.col("msg") + later).alias("msg"), role.alias("role"), text.alias("text"))
+
+    nothing, draft = F.lit(""), F.reverse("text")
+    undone = F.array(event("start", nothing), event("delta", draft), event("start", nothing, 1), event("delta", draft, 1), event("regenerate", nothing))
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))
-    delta = F.transform(pieces, lambda x, i: F.struct((i + 1).alias("i"), F.lit("delta").alias("kind"), x.alias("text")))
-    events = rows.select("conv", "msg", "role", F.explode(F.concat(start, delta)).alias("e"))
-    return events.select("conv", (F.col("msg") * (1 << 24) + F.col("e.i")).alias("seq"), "e.kind", "msg", F.when(F.col("e.kind") == "start", F.col("role")).alias("role"), "e.text")
+    deltas = F.transform(pieces, lambda x: event("delta", x))
+    edited = F.array(event("delta", draft), event("edit", F.left("text", F.lit(DELTA_CHARS))))
+    none = F.slice(undone, 1, 0)
+    parts = F.concat(F.when(F.col("way") == 0, undone).otherwise(none), F.array(event("start", nothing)), F.when(F.col("way") == 1, F.concat(edited, F.slice(deltas, 2, 1 << 30))).otherwise(deltas))
+    events = rows.select("conv", F.col("msg").alias("of"), F.posexplode(parts).alias("i", "e"))
+    return events.select("conv", (F.col("of") * (1 << 24) + F.col("i")).alias("seq"), "e.kind", "e.msg", "e.role", "e.text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
