@@ -1,8 +1,9 @@
 """Exact duplicates by a log-structured merge index of content digests.
 
 A flush turns a batch of rows into sorted runs: each task is a memtable that sorts its own
-(digest, length, id) entries and writes them as one Parquet file with a Bloom filter on the
-digest, without a shuffle. Compaction merges all runs to one entry per digest that keeps the
+(digest, length, id) entries and writes them as one Parquet file, without a shuffle. A filter over all
+runs (hashed bits and how many entries set each) is probed before a merge: entries whose bit nobody else has set are alone, and
+stay where they are. Compaction merges the others to one entry per digest that keeps the
 preferred (longest, then smallest) identifier; hot digests are combined in each task before
 the shuffle. Digests with several rows are hits, and hits receive byte verification: the
 texts of the hits alone (a bounded bitmap of their ids selects them in the scan) are compared
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import _flagged, forget, fresh, maybe_in, without, without_space, written
 
-_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+N_BITS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -42,6 +43,7 @@ class DigestIndex:
         self.runs: list[DataFrame] = []
         self.batches: list[DataFrame] = []
         self.merged: DataFrame | None = None
+        self.twice: DataFrame | None = None
 
     def flush(self, ids_and_texts: DataFrame) -> None:
         """Adds a batch (columns id, text) as sorted runs, one for each task."""
@@ -50,9 +52,9 @@ class DigestIndex:
             F.length(F.coalesce("text", F.lit(""))).alias("n_points"),
             "id",
         )
-        self.runs.append(written(entries.sortWithinPartitions("digest"), "digest-run", **_BLOOM))
+        self.runs.append(written(entries.sortWithinPartitions("digest"), "digest-run"))
         self.batches.append(ids_and_texts)
-        self.merged = None
+        self.merged = self.twice = None
 
     def entries(self) -> DataFrame:
         out = self.runs[0]
@@ -60,17 +62,35 @@ class DigestIndex:
             out = out.unionByName(run)
         return out
 
+    def filters(self) -> DataFrame:
+        """(bit): of one filter over all runs the bits that several entries have set. An entry whose bit nobody else has
+        set is the only one of its digest."""
+        if self.twice is None:
+            bits = self.entries().groupBy(self.bit(F.col("digest")).alias("bit")).agg(F.count(F.lit(1)).alias("n"))
+            self.twice = written(bits.where("n > 1").select("bit"), "digest-filter")
+        return self.twice
+
+    def bit(self, digest: Column) -> Column:
+        return F.pmod(F.xxhash64(digest), F.lit(N_BITS))
+
+    def probed(self) -> tuple[DataFrame, DataFrame]:
+        """The entries that a merge has to look at, and the others."""
+        flagged, flag = _flagged(self.entries(), self.bit(F.col("digest")), self.filters(), N_BITS)
+        return flagged.where(F.col(flag)).drop(flag), flagged.where(~F.col(flag)).drop(flag)
+
     def compact(self) -> DataFrame:
-        """One entry per digest over all runs: (digest, keep_id, n_rows)."""
+        """One entry per digest over all runs, of those that passed the filters: (digest, keep_id, n_rows)."""
         if self.merged is None:
             best = F.min(F.struct(-F.col("n_points"), F.col("id").isNull(), F.col("id"))).alias("best")
-            merged = self.entries().groupBy("digest").agg(best, F.count(F.lit(1)).alias("n_rows"))
-            self.merged = written(merged.select("digest", F.col("best.id").alias("keep_id"), "n_rows").sortWithinPartitions("digest"), "digest-level", **_BLOOM)
+            merged = self.probed()[0].groupBy("digest").agg(best, F.count(F.lit(1)).alias("n_rows"))
+            self.merged = written(merged.select("digest", F.col("best.id").alias("keep_id"), "n_rows").sortWithinPartitions("digest"), "digest-level")
         return self.merged
 
     def members(self) -> DataFrame:
         """(id, digest, keep_id, n_rows) for each flushed row, before verification."""
-        return self.entries().join(self.compact(), "digest").select("id", "digest", "keep_id", "n_rows")
+        several, alone = self.probed()
+        found = several.join(self.compact(), "digest").select("id", "digest", "keep_id", "n_rows")
+        return found.unionByName(alone.select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n_rows")))
 
     def hit_texts(self) -> DataFrame:
         """(id, n_points, digest, norm) of the rows that may share a digest with another row."""
