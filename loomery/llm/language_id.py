@@ -4,8 +4,8 @@ A suffix automaton of labelled text per language gives, from any place of a text
 match that the language's sample holds. A text is parsed greedily into such matches, and the language
 that needs the fewest phrases, normalised by the bits that one phrase costs and by the
 text's length, wins. All texts of a batch step through all automata at once, as lanes of
-arrays; a text is cut into blocks, where a phrase ends, so that lanes have like lengths and no
-text is too long. Phrases of all blocks count.
+arrays. A lane is a block of a text; where a phrase goes over the end of its block, the next block is
+gone through again from there, so that the phrases are those of the whole text.
 
 The sample that is learnt is bounded: at most `train_chars` characters for each language,
 in windows of at most `window` characters at a seeded place of some `train_docs` seeded
@@ -97,20 +97,10 @@ class CrossParser:
             at += table.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """For each text and language the number of phrases."""
-        codes = [self.code[np.frombuffer(t.encode("utf-32-le", "replace"), dtype="<u4")] for t in texts]
-        blocks = [(i, c[k : k + _BLOCK]) for i, c in enumerate(codes) for k in range(0, len(c), _BLOCK)]
-        blocks.sort(key=lambda b: -len(b[1]))
-        of, lengths = np.array([i for i, _ in blocks], dtype=np.int64), np.array([len(b) for _, b in blocks], dtype=np.int64)
-        out = np.zeros((len(texts), len(self.languages)))
-        if not len(of):
-            return out
-        grid = np.zeros((lengths[0], len(blocks)), dtype=np.int32)
-        for i, (_, b) in enumerate(blocks):
-            grid[: len(b), i] = b
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(blocks), axis=1)
-        count = np.ones((len(self.languages), len(blocks)), dtype=np.int32)
+    def _parse(self, grid: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases end in each lane (a column of codes) and the state behind it, by language, from the roots."""
+        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(lengths), axis=1)
+        count = np.zeros((len(self.languages), len(lengths)), dtype=np.int32)
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         for t, n in enumerate(active.tolist()):
             for k in range(len(self.languages)):
@@ -118,8 +108,58 @@ class CrossParser:
                 ends = to >> 31  # all bits of a step that ended a phrase
                 count[k, :n] -= ends
                 state[k, :n] = to ^ ends
+        return count, state
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """For each text and language the number of phrases of the whole text. Blocks of a text are parsed side by side as if a
+        phrase started with each; then each is gone through again from the state that the block before really left, until
+        both parses are in one state. Where they never are, the next block follows."""
+        codes = [self.code[np.frombuffer(t.encode("utf-32-le", "replace"), dtype="<u4")] for t in texts]
+        blocks = [(i, c[k : k + _BLOCK]) for i, c in enumerate(codes) for k in range(0, len(c), _BLOCK)]
+        out = np.zeros((len(texts), len(self.languages)))
+        if not blocks:
+            return out
+        order = sorted(range(len(blocks)), key=lambda j: -len(blocks[j][1]))
+        rank = np.empty(len(blocks), dtype=np.int64)
+        rank[order] = np.arange(len(blocks))
+        of = np.array([blocks[j][0] for j in order], dtype=np.int64)
+        lengths = np.array([len(blocks[j][1]) for j in order], dtype=np.int64)
+        grid = np.zeros((lengths[0], len(blocks)), dtype=np.int32)
+        for lane, j in enumerate(order):
+            grid[: lengths[lane], lane] = blocks[j][1]
+        count, end = self._parse(grid, lengths)
+        roots = np.array(self.roots, dtype=np.int32)
+        # the block behind each, in lanes
+        after = np.full(len(blocks), -1, dtype=np.int64)
+        same = np.array([blocks[j][0] == blocks[j + 1][0] for j in range(len(blocks) - 1)], dtype=bool)
+        after[rank[:-1][same]] = rank[1:][same]
+        lane = np.tile(after[after >= 0], len(roots))
+        lang = np.repeat(np.arange(len(roots)), int((after >= 0).sum()))
+        used = np.zeros(count.shape, dtype=np.int32)  # the state from which a block was gone through last
+        used[:, after[after >= 0]] = end[:, after >= 0]
+        left = end.copy()  # the state that the real parse leaves
+        more = np.zeros(count.shape, dtype=np.int64)  # phrases that the real parse has more
+        while len(lane):
+            more[lang, lane] = 0
+            done, guess, real, t = (lang, lane), roots[lang].copy(), used[lang, lane], 0
+            left[done] = end[done]
+            while len(lane):
+                apart = guess != real
+                over = apart & (lengths[lane] <= t)
+                left[lang[over], lane[over]] = real[over]
+                go = apart & ~over
+                lane, lang = lane[go], lang[go]
+                to, true = self.table[guess[go] + grid[t, lane]] if len(lane) else guess[go], self.table[real[go] + grid[t, lane]] if len(lane) else real[go]
+                np.add.at(more, (lang, lane), (to >> 31) - (true >> 31))
+                guess, real, t = to ^ (to >> 31), true ^ (true >> 31), t + 1
+            lang, lane = done
+            behind = after[lane]
+            again = (behind >= 0) & (used[lang, behind] != left[lang, lane])
+            lang, lane, start = lang[again], behind[again], left[lang[again], lane[again]]
+            used[lang, lane] = start
+        count = count + more
         for k in range(len(self.languages)):
-            out[:, k] = np.bincount(of, weights=count[k], minlength=len(texts))
+            out[:, k] = np.bincount(of, weights=count[k], minlength=len(texts)) + (np.bincount(of, minlength=len(texts)) > 0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
