@@ -6,8 +6,8 @@ is cut. The plan is made over the histogram of piece lengths, not over pieces: a
 each count as a whole into the fullest kind of sequence that still has room, splitting a kind
 where its count runs out. The plan is a table of ranges: the pieces of length L with ranks a to b
 have the sequences from s on, at an offset. Pieces take their slots by joining on their rank
-within their length. Ranks are counted in slices of each length (a length may hold most rows),
-with offsets from a table of at most capacity x slices counts.
+within their length. Ranks are counted in slices of each length (a length may hold most rows), of about
+a million rows at most, with offsets from running sums over the slices' counts.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are pieces of their
 own; an empty table gives an empty result; a text of any length is tokenised whole; the
@@ -166,30 +166,28 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slices: int = 64, order: tuple[str, ...] = ()) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, slices: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length of at most capacity. order: the
     columns that name a row (all by default); rows equal in them take places in any order."""
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     names = [f"`{c}`" for c in order or keep]
-    slice_, rank = fresh(pieces, "slice_"), fresh(pieces, "rank_")
+    slice_, rank, length, at, start = (fresh(pieces, x) for x in ("slice_", "rank_", "of_length_", "at_", "start_"))
+    slices = slices or max(64, pieces.count() >> 20)
     df = pieces.select(*[F.col(f"`{c}`") for c in keep]).withColumn(slice_, F.pmod(F.xxhash64(*names), F.lit(slices)).cast("int"))
-    counts = {(n, s): c for n, s, c in df.groupBy("length", slice_).count().collect()}
-    histogram: dict[int, int] = {}
-    starts = []
-    for (n, s), c in sorted(counts.items()):
-        starts.append((n, s, histogram.get(n, 0)))
-        histogram[n] = histogram.get(n, 0) + c
+    counts = written(df.groupBy(F.col("length").alias(length), F.col(slice_).alias(at)).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = dict(counts.groupBy(length).agg(F.sum("n")).collect())
     plan = best_fit_plan(histogram, capacity)
     # the plan of a length, as arrays to look a rank up in: ranges are in the order of their ranks
     ranges: dict[int, tuple[list, list, list]] = {}
     for n, first, _, sequence, offset in plan:
         for to, v in zip(ranges.setdefault(n, ([], [], [])), (first, sequence, offset)):
             to.append(v)
-    offsets = spark.createDataFrame(starts, "s_length long, s_slice int, s_start long")
+    starts = counts.select(length, at, (F.sum("n").over(W.partitionBy(length).orderBy(at)) - F.col("n")).alias(start))
     ranked = df.withColumn(rank, F.row_number().over(W.partitionBy("length", slice_).orderBy(*names)) - 1)
-    ranked = ranked.join(F.broadcast(offsets), (F.col("length") == F.col("s_length")) & (F.col(slice_) == F.col("s_slice")))
-    ranked = ranked.withColumn(rank, F.col(rank) + F.col("s_start"))
+    ranked = ranked.join(starts, (F.col("length") == F.col(length)) & (F.col(slice_) == F.col(at)))
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(start))
+
     @F.pandas_udf("struct<sequence_id long, offset long>")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         table = shared.value
