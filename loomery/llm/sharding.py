@@ -9,7 +9,7 @@ one exchange moves the rows; inside its shard each row then gets a place by a se
 permutation. Shards may be larger than a task: the second order is cut into slices, and a
 place is the slice's offset plus the rank inside the slice.
 
-Only counts (partitions x shards, and shards x slices) reach the driver. The partitions of the
+Only counts (partitions x shards) reach the driver. The partitions of the
 input have to be the same when it is read twice, as those of a table are; a task finds out if
 they aren't and fails. A lost task deals the same rows again, as everything is seeded.
 
@@ -53,23 +53,35 @@ def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int)
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad >= 10**9:  # beyond numpy's range, where the law is normal to within rounding
-        if n == 0 or good == 0:
-            return 0
-        if bad == 0:
-            return n
-        mean, spread = n * good / (good + bad), np.sqrt(n * good * bad * (good + bad - n) / (good + bad) ** 2 / max(1, good + bad - 1))
-        return int(np.clip(np.rint(rng.normal(mean, spread)), max(0, n - bad), min(n, good)))
-    return int(rng.hypergeometric(good, bad, n)) if n and good else 0
-
-
-def shard(docs: DataFrame, n_shards: int, seed: int = 11, slices: int = 64) -> DataFrame:
+    """One draw by the exact law. Beyond numpy's range by inverse transform: the ratios of neighbouring probabilities
+    are known, so that the law is summed up outwards from its mode to where nothing is left in double precision."""
+    if n == 0 or good == 0:
+        return 0
+    if bad == 0:
+        return n
+    if good + bad < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+    total = good + bad
+    reach = 40 + int(12 * np.sqrt(n * (good / total) * (bad / total)))
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    below = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weights = np.concatenate([below[::-1], [1.0], above])
+    upto = np.cumsum(weights)
+    return mode - len(below) + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
+def shard(docs: DataFrame, n_shards: int, seed: int = 11, slices: int | None = None) -> DataFrame:
     """The rows with shard (0 to n_shards - 1, counts at most one apart) and slot (gapless)."""
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     place, slice_, key = (fresh(docs, x) for x in ("place_", "slice_", "key_"))
     numbered = docs.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias(place))
     counts = dict(docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
     parts = sorted(counts)
+    slices = slices or max(64, (sum(counts.values()) // n_shards) >> 20)
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(sum(counts.values()), n_shards), seed)
     rows = docs.sparkSession.sparkContext.broadcast({p: matrix[i] for i, p in enumerate(parts)})
 
@@ -92,16 +104,14 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 11, slices: int = 64) -> D
     dealt = numbered.withColumn(key, deal(F.col(place)))
     dealt = dealt.select(*[F.col(f"`{c}`") for c in keep], F.col(key)["shard"].alias("shard"), F.col(key)["key"].alias(key))
     dealt = dealt.withColumn(slice_, F.pmod(F.shiftright(F.col(key), 40), F.lit(slices)).cast("int"))
-    sizes = np.zeros((n_shards, slices), dtype=np.int64)
-    light = numbered.select(deal(F.col(place)).alias("d")).select("d.shard", F.pmod(F.shiftright("d.key", 40), F.lit(slices)).alias("s"))
-    for s, c, n in light.groupBy("shard", "s").count().collect():
-        sizes[s, c] = n
-    before = np.cumsum(sizes, axis=1) - sizes
-    starts = docs.sparkSession.createDataFrame([(s, c, int(before[s, c])) for s in range(n_shards) for c in range(slices)], "shard int, at int, start long")
+    to_shard, at, first = (fresh(dealt, x) for x in ("to_shard_", "at_", "start_"))
+    light = numbered.select(deal(F.col(place)).alias("d")).select(F.col("d.shard").alias(to_shard), F.pmod(F.shiftright("d.key", 40), F.lit(slices)).cast("int").alias(at))
+    sizes = light.groupBy(to_shard, at).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(to_shard, at, (F.sum("n").over(W.partitionBy(to_shard).orderBy(at)) - F.col("n")).alias(first))
     rank = F.row_number().over(W.partitionBy("shard", slice_).orderBy(key)) - 1
     ranked = dealt.withColumn(key, rank)
-    out = ranked.join(F.broadcast(starts.withColumnsRenamed({"shard": "to_shard_", "at": "at_"})), (F.col("shard") == F.col("to_shard_")) & (F.col(slice_) == F.col("at_")))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "shard", (F.col("start") + F.col(key)).alias("slot"))
+    out = ranked.join(starts, (F.col("shard") == F.col(to_shard)) & (F.col(slice_) == F.col(at)))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "shard", (F.col(first) + F.col(key)).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
