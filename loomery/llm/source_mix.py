@@ -86,11 +86,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     cuts = {r["p_source"]: r["k"] for r in short.groupBy("p_source").agg(F.max("k").alias("k")).collect()}
     floors = {r["c_source"]: (r["slice"] << (60 - _SLICES)) - 1 for r in cut_at.collect()}
     forget(units)
-    rows = [(s, n, t, whole, cuts.get(s, floors.get(s, -1))) for s, n, t, whole, _ in plan]
-    cut_plan = F.broadcast(spark.createDataFrame(rows, f"p_source {kind}, source_size long, target double, whole long, cut long"))
+    rows = [(s, n, t, whole, cuts.get(s, floors.get(s, -1)) if rest > 0 else -1) for s, n, t, whole, rest in plan]
+    p_source, whole, cut = (fresh(sized, x) for x in ("plan_source_", "whole_", "cut_"))
+    cut_plan = F.broadcast(spark.createDataFrame(rows, f"{p_source} {kind}, source_size long, target double, {whole} long, {cut} long"))
 
-    epochs = F.col("whole") + F.when(F.col(key) <= F.col("cut"), 1).otherwise(0)
-    out = sized.join(cut_plan, F.col(f"`{source_col}`").eqNullSafe(F.col("p_source")))
+    epochs = F.col(whole) + F.when(F.col(key) <= F.col(cut), 1).otherwise(0)
+    out = sized.join(cut_plan, F.col(f"`{source_col}`").eqNullSafe(F.col(p_source)))
     return out.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
 
 
