@@ -200,8 +200,8 @@ class Surrogates:
         if kind == "email":
             local, _, domain = canonical.rpartition("@")
             host, _, top = domain.rpartition(".")
-            # one domain stays one domain
-            return f"{self._like(local + 'x' * wider, numbers)}@{self._like(host, self._numbers('host', host, attempt))}.{top}"
+            # one domain stays one domain, whichever candidate an address takes
+            return f"{self._like(local + 'x' * wider, numbers)}@{self._like(host, self._numbers('host', host, 0))}.{top}"
         if kind == "ip":
             choice = {1: range(0, 10), 2: range(10, 100), 3: range(100, 256)}
             parts = []
@@ -351,8 +351,9 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
         slim = slim.withColumn(other, F.lit(None).cast("array<struct<mark:binary,attempt:int>>"))
     else:
         rows = docs.select(F.col(f"`{id_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
-        mine = _marks(rows, key).join(chosen, "mark").groupBy("row").agg(F.collect_set(F.struct("mark", "attempt")).alias(other))
-        slim = slim.join(mine, F.col(f"`{id_col}`").eqNullSafe(F.col("row")), "left").drop("row")
+        row = fresh(slim, "row_")
+        mine = _marks(rows, key).join(chosen, "mark").groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("mark", "attempt")).alias(other))
+        slim = slim.join(mine, F.col(f"`{id_col}`").eqNullSafe(F.col(row)), "left").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
