@@ -41,6 +41,6 @@ def documents(spark, extra: bool = False, empty: bool = False):
 
     df = spark.createDataFrame([] if empty else rows(), SCHEMA).repartition(3)
     if extra:  # names that operators use themselves
-        for name in ("size", "kept", "shard", "slot", "piece", "ids", "epochs", "target", "n_words", "clean_text", "score", "lang_pred", "digest", "id", "text_", "key_", "rank_", "place_", "filter_bit", "n_entities"):
+        for name in ("size", "kept", "shard", "slot", "piece", "ids", "epochs", "target", "n_words", "clean_text", "score", "lang_pred", "digest", "id", "text_", "key_", "rank_", "place_", "filter_bit", "filter_row", "filter_words", "gone", "n_entities", "start", "at", "at_", "start_", "to_shard_", "whole", "whole_", "cut", "cut_", "p_source", "plan_source_", "row", "key", "h", "n", "k", "of", "offset", "sequence_id"):
             df = df.withColumn(name, F.lit("x"))
     return df

@@ -36,7 +36,7 @@ def brute(sets):
 def test_odd_rows(spark):
     pairs = {(i, t) for i, t, *_ in rows() if i is not None}
     want = brute(sets_of(pairs))
-    got = J.jaccard_components(documents(spark, extra=True).drop("id")).collect()
+    got = J.jaccard_components(documents(spark, extra=True)).collect()
     assert len(got) == len(rows())
     for r in got:
         if r["id"] is not None:
@@ -85,3 +85,28 @@ def test_rows_repeated_over_many_tasks(spark):
     df = spark.createDataFrame(texts * 6, "doc_id long, text string").repartition(6)
     want = brute(sets_of(texts))
     assert {(r["id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()} == {(i, *v) for i, v in want.items()}
+
+
+def test_a_large_group_and_a_word_of_1024_letters(spark):
+    """Five hundred near copies of one text, many of them too far from each other; and words that a weak hash can't tell apart."""
+    rng = random.Random(9)
+    base = prose(3, 70).split()
+    texts = []
+    for _ in range(500):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"edit{rng.random():.6f}"
+        texts.append(" ".join(words[: rng.choice([70, 70, 70, 66, 60])]))
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts += [thue, thue.translate(str.maketrans("ab", "ba"))]
+    want = brute(sets_of(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()}
+    assert got == want
+
+
+def test_ids_with_two_texts_and_text_ids(spark):
+    a, b = prose(21, 90), prose(22, 90)
+    rows_ = [("x", a), ("x", b), ("y", a + " end"), ("z", b + " end"), (None, b)]
+    got = J.jaccard_components(spark.createDataFrame(rows_, "doc_id string, text string")).collect()
+    assert sorted((r["id"], r["component_id"]) for r in got if r["id"]) == [("x", "x"), ("x", "x"), ("y", "x"), ("z", "x")]

@@ -70,3 +70,11 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns(spark, tmp_path):
+    """Columns with names of the operators' own change nothing."""
+    documents(spark).write.parquet(f"{tmp_path}/plain/documents.parquet")
+    documents(spark, extra=True).write.parquet(f"{tmp_path}/more/documents.parquet")
+    plain, more = (Counter(tuple(r[c] for c in ("doc_id", "piece", "length", "ids_crc32")) for r in corpus_pipeline.run(spark, f"{tmp_path}/{x}").collect()) for x in ("plain", "more"))
+    assert plain == more

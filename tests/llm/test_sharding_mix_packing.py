@@ -14,7 +14,7 @@ from tests.llm.fixtures import documents, rows
 
 
 def test_shards_are_exact_and_repeatable(spark):
-    runs = [sorted(map(tuple, sharding.shard(documents(spark, extra=True).select("doc_id", "text", "size"), 4).select("shard", "slot", "doc_id").collect()), key=str) for _ in range(2)]
+    runs = [sorted(map(tuple, sharding.shard(documents(spark, extra=True), 4).select("shard", "slot", "doc_id").collect()), key=str) for _ in range(2)]
     by = defaultdict(list)
     for shard, slot, _ in runs[0]:
         by[shard].append(slot)
@@ -102,3 +102,22 @@ def test_words_give_the_tokenizers_ids(text):
     path = public_tokenizers.path("word_bpe_49k.json")
     ids, _ = packing.WordTokens(path).texts(pa.array([text]), 0)
     assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_draws_beyond_numpys_range_follow_the_exact_law():
+    """The walk from the mode against numpy's own draws, by their moments, and at the edges."""
+    rng = np.random.default_rng(5)
+    big = [sharding._hypergeometric(rng, 3 * 10**9, 10**11, 100) for _ in range(20_000)]
+    p = 3 / 103
+    assert abs(np.mean(big) - 100 * p) < 0.05 and abs(np.var(big) - 100 * p * (1 - p)) < 0.12
+    skew = np.mean(((np.array(big) - np.mean(big)) / np.std(big)) ** 3)
+    assert abs(skew - (1 - 2 * p) / np.sqrt(100 * p * (1 - p))) < 0.08
+    assert sharding._hypergeometric(rng, 0, 10**12, 5) == 0 and sharding._hypergeometric(rng, 10**12, 0, 5) == 5
+    m = sharding.communication_matrix([10**10, 5, 3 * 10**9], sharding.shard_sizes(13 * 10**9 + 5, 7), 2)
+    assert m.sum(axis=0).tolist() == sharding.shard_sizes(13 * 10**9 + 5, 7) and m.sum(axis=1).tolist() == [10**10, 5, 3 * 10**9] and (m >= 0).all()
+
+
+def test_a_capped_source_gives_no_fourth_epoch(spark):
+    df = spark.createDataFrame([(i, "" if i % 3 == 0 else "w " * 10, "a" if i < 30 else "b") for i in range(300)], "doc_id long, text string, source string")
+    got = source_mix.mix_sources(df, weights=(9, 1)).toPandas()
+    assert got[got.source == "a"].epochs.max() == 3

@@ -2,9 +2,13 @@ import base64
 import gzip
 import hashlib
 import io
+import os
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from loomery.llm import chat_format, language_id, pii, warc
 
 from tests.llm.fixtures import documents, rows
@@ -190,17 +194,75 @@ def test_language_of_odd_rows(spark):
 
 
 def test_phrases_equal_greedy_parsing():
+    """Of whole texts, though they are parsed in blocks; in periodic ones the blocks' own parses never meet the real one."""
     rng = random.Random(1)
     sample = "".join(rng.choice("abcd ") for _ in range(300))
     parser = language_id.CrossParser({"x": sample})
-    for n in (1, 7, 200, 2500):
-        text = "".join(rng.choice("abcde ") for _ in range(n))
-        count = 0
-        for k in range(0, n, language_id._BLOCK):
-            count, match = count + 1, ""
-            for c in text[k : k + language_id._BLOCK]:
-                if match + c in sample:
-                    match += c
-                else:
-                    count, match = count + 1, c if c in sample else ""
-        assert parser.phrases([text])[0, 0] == count
+    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (1, 7, 200, 2500)] + ["a" * 5000, "ab" * 3000, "q" * 3000, sample * 20]
+    for text, got in zip(texts, parser.phrases(texts)[:, 0]):
+        count, match = 1, ""
+        for c in text:
+            if match + c in sample:
+                match += c
+            else:
+                count, match = count + 1, c if c in sample else ""
+        assert got == count
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    got = language_id.query(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = got.selectExpr("count_if(lang = lang_pred)", "count(1)").first()
+    assert n > 150 and right >= 0.97 * n
+
+
+def test_columns_with_names_of_their_own(spark):
+    """Names that the operators use themselves, of the wrong type."""
+    names = ("row", "row_", "mark", "choices_", "text_", "clean_text", "html_", "best", "digest", "conv", "msg", "seq", "kind", "part", "way", "n", "id", "key")
+    more = lambda df: df.select("*", *[F.lit("z").alias(c) for c in names if c not in df.columns])
+    data = list(enumerate(PRIVATE)) + [(9, None), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    plain = {(r["doc_id"], r["clean_text"]) for r in pii.replace_pii(df, b"k").collect()}
+    assert {(r["doc_id"], r["clean_text"]) for r in pii.replace_pii(more(df), b"k").collect()} == plain
+    assert pii.replace_pii(more(df).where("false"), b"k").count() == 0
+    crowded = spark.createDataFrame([(i, f"ip 1.1.{i // 10}.{i % 10} and 2.2.{i // 10}.{i % 10}") for i in range(100)], "doc_id long, text string")
+    assert pii.replace_pii(more(crowded), b"k").count() == 100
+    talk = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    a, b = (chat_format.read_back(chat_format.render(chat_format.fold(chat_format.as_log(x)))).collect() for x in (talk, more(talk)))
+    assert a == b
+    _, web = pages(spark)
+    odd = warc.with_revisits(more(web), "page_id", "html")
+    assert odd.count() == web.count()
+
+
+@pytest.mark.parametrize("used", [2000, 5000])
+def test_dense_formats_get_distinct_surrogates(spark, used):
+    """Of the 10,000 addresses of four digits a part is in use, so that many candidates clash."""
+    rng = random.Random(used)
+    real = rng.sample([f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)], used)
+    data = list(enumerate(" ".join(real[k : k + 200]) for k in range(0, used, 200)))
+    got = [x for r in pii.replace_pii(spark.createDataFrame(data, "doc_id long, text string"), b"k5").collect() for x in r["clean_text"].split(" ")]
+    assert len(got) == len(set(got)) == used and not set(got) & set(real)
+
+
+def test_a_domain_keeps_one_surrogate(spark):
+    real = [f"{a}@shop.example" for a in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.replace_pii(spark.createDataFrame([(1, " ".join(real))], "doc_id long, text string"), b"k6").first()["clean_text"].split(" ")
+    assert len(set(got)) == 26 and len({x.split("@")[1] for x in got}) == 1 and not set(got) & set(real)
+
+
+def test_the_log_of_the_query_is_edited_and_regenerated(spark):
+    talk = spark.createDataFrame([(c, t, "user", f"text {c} {t} " * 40) for c in range(10) for t in range(4)], "conv_id long, turn long, role string, text string")
+    log = chat_format.as_log(talk)
+    kinds = {r["kind"] for r in log.select("kind").distinct().collect()}
+    assert kinds == {"start", "delta", "edit", "regenerate"}
+    for conv, events in groups(log.collect()).items():
+        assert [t for _, t in replay([(e["seq"], e["kind"], e["msg"], e["role"], e["text"]) for e in events])] == [f"text {conv} {t} " * 40 for t in range(4)]
+
+
+def groups(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["conv"], []).append(r)
+    return out
