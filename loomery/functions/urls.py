@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: document types by extension
-EXTENSIONS = {"pdf": ("pdf",), "word": ("doc", "docx", "wps"), "excel": ("xls", "xlsx", "et", "csv"), "archive": ("zip", "rar", "7z", "gz"), "text": ("txt",), "html": ("html", "htm", "shtml", "jsp", "asp", "aspx", "php")}
+EXTENSIONS = {"pdf": ("pdf",), "word": ("doc", "docx", "wps"), "excel": ("xls", "xlsx"), "archive": ("zip", "rar"), "html": ("htm", "html"), "text": ("txt",)}
 
 
 def path(url: Column) -> Column:

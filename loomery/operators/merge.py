@@ -4,6 +4,7 @@ substring joins, catalogue merges and de-duplication."""
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,11 +46,25 @@ def lookup_cascade(requests: DataFrame, wanted: str, entries: DataFrame, keys: l
     return best.select(wanted, "b.id", "b.kind")
 
 
-def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, min_length: int = 1) -> DataFrame:
-    """Rows of texts with each needle that is a substring. Substrings have no equi key: texts stay where they are
-    and meet the needles, which are a stated list; Spark broadcasts it if it is small."""
+def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, min_length: int = 1, anchor: int = 5) -> DataFrame:
+    """Rows of texts with each needle that is a substring. A needle's words stand in the text as they are, but for its
+    first and last, which may be parts of words: `anchor` of them, hashed, are an equi key, and what meets is compared
+    whole. Needles of fewer words have no anchor and are compared with each text."""
     n = needles.where(F.length(needle_col) >= min_length)
-    return texts.join(n, F.contains(F.col(text_col), F.col(needle_col)))
+    tokens = F.split(needle_col, " ")
+    keyed = n.where(F.size(tokens) >= anchor + 2).withColumn("__anchor", F.xxhash64(*[F.get(tokens, F.lit(i + 1)) for i in range(anchor)]))
+    short = n.where(F.size(tokens) < anchor + 2)
+    words = F.split(text_col, " ")
+    shifted = F.arrays_zip(*[F.slice(words, i + 1, 1 << 30).alias(f"w{i}") for i in range(anchor)])
+    hashes = F.array_distinct(F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(anchor)])))
+    numbered = texts.withColumn("__row", F.xxhash64(text_col))
+    windows = numbered.select("__row", F.explode(hashes).alias("__window"))
+    keys = keyed.select("__anchor").distinct()
+    met = windows.join(keys, F.col("__window") == F.col("__anchor")).select(F.col("__row").alias("__met"), F.col("__anchor").alias("__key")).distinct()
+    # texts are read again for those that have met an anchor, so that windows go without them
+    found = numbered.join(met, F.col("__row") == F.col("__met")).join(keyed, F.col("__key") == F.col("__anchor"))
+    long = found.where(F.contains(text_col, needle_col)).select(*texts.columns, *needles.columns)
+    return long.unionByName(texts.join(short, F.contains(F.col(text_col), F.col(needle_col))).select(*texts.columns, *needles.columns))
 
 
 def whitelisted(entries: DataFrame, id_col: str, title_col: str, ids: list[str], titles: list[str], min_length: int = 6) -> DataFrame:
@@ -65,17 +80,24 @@ def catalogue_merge(rows: DataFrame, key: str, ordinal: str, lists: list[str], l
     """One row per key: list fields as ordered distinct unions, the last filled value of some fields, the
     last value (null or not) of others."""
 
-    def merged(c: str) -> Column:
-        items = F.array_sort(F.collect_list(F.struct(ordinal, F.coalesce(c, F.array().cast("array<string>")).alias("v"))))
-        return F.array_distinct(F.flatten(F.transform(items, lambda x: x["v"]))).alias(c)
+    def merged(c: str) -> DataFrame:
+        """Each value of a key once, at its first place: what is collected is as long as the result."""
+        values = rows.select(key, ordinal, F.posexplode(c).alias("at", "v"))
+        first = values.groupBy(key, "v").agg(F.min(F.struct(ordinal, "at")).alias("place"))
+        return first.groupBy(F.col(key).alias("__k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias(c))
 
     filled = [F.max_by(c, F.when(F.coalesce(F.btrim(F.col(c)) != "", F.lit(False)), F.col(ordinal))).alias(c) for c in last_filled]
-    return rows.groupBy(key).agg(*map(merged, lists), *filled, *[F.max_by(c, ordinal).alias(c) for c in last], F.min(ordinal).alias("place"))
+    out = rows.groupBy(key).agg(*filled, *[F.max_by(c, ordinal).alias(c) for c in last], F.min(ordinal).alias("place"))
+    for c in lists:
+        out = out.join(merged(c), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out
 
 
 def reasons_merge(rows: DataFrame, key: str, ordinal: str, reason: str) -> DataFrame:
     """Reasons of a key joined by `; `, each only if what is there doesn't hold it already."""
-    items = F.array_sort(F.collect_list(F.struct(ordinal, F.coalesce(reason, F.lit("")).alias("r"))))
+    # equal reasons after the first add nothing
+    rows = rows.groupBy(key, F.coalesce(reason, F.lit("")).alias("__reason")).agg(F.min(ordinal).alias("__first"))
+    items = F.array_sort(F.collect_list(F.struct(F.col("__first"), F.col("__reason").alias("r"))))
     fold = F.aggregate(items, F.lit(""), lambda a, x: F.when((x["r"] == "") | F.contains(a, x["r"]), a).when(a == "", x["r"]).otherwise(F.concat(a, F.lit("; "), x["r"])))
     return rows.groupBy(key).agg(fold.alias(reason))
 
@@ -85,7 +107,7 @@ def first_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title: str = "title", path: str = "path", rounds: int = 50) -> DataFrame:
+def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title: str = "title", path: str = "path") -> DataFrame:
     """(rank, duplicate_of, reason): in rank order an entry is kept unless a kept one before it has its doc_no, or its
     title where neither has a doc_no, or its path. An entry is the duplicate of the one with its doc_no or title, else
     of that with its path.
@@ -100,7 +122,7 @@ def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title:
     n = F.when(no != "", F.concat(F.lit("n:"), no))
     keys = cut(entries.select(F.col(rank).alias("r"), F.explode(F.array_compact(F.array(n, t, p))).alias("key")))
     left, kept_rows = keys, entries.sparkSession.createDataFrame([], f"k {entries.schema[rank].dataType.simpleString()}")
-    for _ in range(rounds):
+    while True:  # each round decides the first entry that is left, at least
         first = left.groupBy("key").agg(F.min("r").alias("first"))
         marked = left.join(first, "key")
         # an entry is surely kept if it is the first of all its keys
@@ -111,8 +133,6 @@ def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title:
         left = cut(left.join(gone, F.col("r") == F.col("g"), "left_anti"))
         if left.isEmpty():
             break
-    else:
-        raise ValueError("chains of duplicates are longer than the rounds")
     owners = keys.join(kept_rows, F.col("r") == F.col("k"), "left_semi").select(F.col("key").alias("o_key"), F.col("r").alias("owner"))
     hits = keys.join(owners, F.col("key") == F.col("o_key")).where("owner < r")
     best = hits.groupBy("r").agg(F.min(F.struct(F.col("key").startswith("p:").alias("by_path"), "owner", F.left("key", F.lit(1)).alias("kind"))).alias("b"))
@@ -120,30 +140,36 @@ def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title:
     return entries.select(F.col(rank).alias("e")).join(best, F.col("e") == F.col("r"), "left").select(F.col("e").alias(rank), F.col("b.owner").alias("duplicate_of"), reason.alias("reason"))
 
 
-def reachable(edges: DataFrame, start: list, rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, start: list) -> DataFrame:
     """(node, depth): breadth-first search over (src, dst); each round is a join of the frontier
     and an anti join with what has been seen."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     seen = spark.createDataFrame([(s, 0) for s in start], f"node {kind}, depth int")
     frontier = seen
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    else:
-        raise ValueError("paths are longer than the rounds")
+        seen = cut(seen.unionByName(frontier)) if depth % 20 == 0 else seen.unionByName(frontier)
     return seen
 
 
 def close_titles(queries: DataFrame, titles: DataFrame, cutoff: float = 0.75) -> DataFrame:
-    """(query, title, ratio): for each query the title that is most alike by matching blocks. The length bound
-    2 * min / (a + b) >= cutoff comes before the ratio."""
+    """(query, title, ratio): for each query the title that is most alike by matching blocks. What two texts share in order
+    they share as characters at all: pairs that have too few characters in common, counted as often as they occur in
+    both, are out before the ratio. Counts come from an equi join on (character, its number), so that only titles with a common
+    character meet a query."""
     from loomery.functions.text import similarity
 
-    a, b = F.length("query"), F.length("title")
-    pairs = queries.join(titles, 2 * F.least(a, b) >= cutoff * (a + b)).withColumn("ratio", similarity("query", "title"))
-    best = pairs.where(F.col("ratio") >= cutoff).groupBy("query").agg(F.max(F.struct("ratio", "title")).alias("m"))
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        chars = df.select(name, F.explode(F.split(name, "")).alias("c")).where("c <> ''").groupBy(name, "c").agg(F.count(F.lit(1)).alias("n"))
+        return chars.select(name, F.length(name).alias(f"n_{name}"), F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(F.col("c"), i.alias("i")))).alias(f"m_{name}"))
+
+    q, t = marks(queries.select("query").distinct(), "query"), marks(titles.select("title").distinct(), "title")
+    near = q.join(t, (F.col("m_query") == F.col("m_title")) & (2 * F.least("n_query", "n_title") >= cutoff * (F.col("n_query") + F.col("n_title"))))
+    near = near.groupBy("query", "title", "n_query", "n_title").agg(F.count(F.lit(1)).alias("common")).where(2 * F.col("common") >= cutoff * (F.col("n_query") + F.col("n_title")))
+    both = near.withColumn("ratio", similarity("query", "title")).where(F.col("ratio") >= cutoff)
+    best = both.groupBy("query").agg(F.max(F.struct("ratio", "title")).alias("m"))
     return best.select("query", "m.title", "m.ratio")

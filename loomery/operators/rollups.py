@@ -20,21 +20,33 @@ def status(pending: Column, entries: Column, age_hours: Column, stale_after: flo
     return F.when(entries == 0, "waiting").when(pending > 0, "attention").when(age_hours > stale_after, "stale").otherwise("ok")
 
 
-def preferred_type(types: Column) -> Column:
-    """doc before pdf before html among an entry's types, with their aliases; else the first one."""
-    low = F.transform(types, F.lower)
+# fixed values: names of types
+TYPE_NAMES = {
+    "doc": ("doc", "docx", "docm", "word", "wps", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    "pdf": ("pdf", "application/pdf"),
+    "html": ("html", "htm", "text/html"),
+}
+
 
-    def has(*names: str) -> Column:
-        return F.exists(low, lambda x: F.coalesce(_one_of(x, names), F.lit(False)))
+def plain_type(value: Column) -> Column:
+    """Lower case, without what follows a semicolon; null if nothing is left."""
+    return F.nullif(F.btrim(F.split_part(F.lower(value), F.lit(";"), F.lit(1))), F.lit(""))
 
-    return F.when(has("doc", "docx", "word", "msword", "officedocument"), "doc").when(has("pdf"), "pdf").when(has("html", "htm", "xhtml"), "html").otherwise(F.get(low, F.lit(0)))
 
+def canonical_type(value: Column) -> Column:
+    out = F.when(F.lit(False), value)
+    for kind, names in TYPE_NAMES.items():
+        out = out.when(value.isin(*names), kind)
+    return out.otherwise(value)
 
-def _one_of(x: Column, names: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for n in names:
-        out = out | F.contains(x, F.lit(n))
-    return out
+
+def preferred_type(types: Column) -> Column:
+    """doc before pdf before html among an entry's types, with their other names; else the first one, else unknown."""
+    known = F.array_compact(F.transform(types, lambda x: canonical_type(plain_type(x))))
+    out = F.when(F.lit(False), "")
+    for kind in TYPE_NAMES:
+        out = out.when(F.array_contains(known, kind), kind)
+    return F.coalesce(out.otherwise(F.get(known, F.lit(0))), F.lit("unknown"))
 
 
 def trace_summary(events: DataFrame, trace: str = "trace_id", seq: str = "seq", ts: str = "ts", event: str = "event", start: str = "trace_start", end: str = "trace_end") -> DataFrame:

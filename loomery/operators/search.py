@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,50 +40,58 @@ def keyword_search(entries: DataFrame, query: str, id_col: str = "doc_id", title
         return entries.select(id_col, F.col(title_col).alias("title"), *[F.lit(0).alias(c) for c in ("title_exact", "title_hits", "content_hits")]).limit(0)
 
     def hits(col: str) -> Column:
-        out = F.lit(0)
-        for w in words:
-            out = out + F.coalesce(F.contains(F.col(col), F.lit(w)), F.lit(False)).cast("int")
-        return out
+        return F.get(F.transform(F.array(F.coalesce(col, F.lit(""))), lambda t: reduce(add, [F.contains(t, F.lit(w)).cast("int") for w in words], F.lit(0))), F.lit(0))
 
     exact = F.coalesce(F.contains(F.col(title_col), F.lit(q)), F.lit(False)).cast("int")
     in_title = hits(title_col)
     content = hits(text_col) if words else F.coalesce(F.contains(F.col(text_col), F.lit(q)), F.lit(False)).cast("int")
     found = (exact > 0) | (in_title > 0)
     from_title = in_title if words else exact
-    out = entries.select(id_col, F.col(title_col).alias("title"), exact.alias("title_exact"), in_title.alias("title_hits"), F.when(found, from_title).otherwise(content).alias("content_hits"))
+    # the texts may be expressions that a projection would repeat in each use: each is computed once, in a lambda of
+    # one element, and the counts behind a generator, so that filter and sort read them. The content is counted only where it counts
+    one = F.explode(F.array(F.struct(F.col(title_col).alias("title"), exact.alias("title_exact"), in_title.alias("title_hits"), F.when(found, from_title).otherwise(content).alias("content_hits")))).alias("one")
+    out = entries.select(id_col, one).select(id_col, "one.*")
     return out.where("title_exact > 0 or title_hits > 0 or content_hits > 0").orderBy(F.desc("title_exact"), F.desc("title_hits"), F.desc("content_hits"), "title")
 
 
-def fuzzy_score(query: str, stopwords: tuple[str, ...] = X.STOPWORDS) -> Column:
-    """Weighted features of entries (norm_title, title, tokens, doc_no, year, doctype, agency, best_path); the query's
-    own features are literals."""
+# fixed values: weights of the features of a policy search
+WEIGHTS = {"doc_no": 120.0, "doc_no_part": 80.0, "year": 30.0, "other_year": -5.0, "doctype": 15.0, "agency": 10.0, "phrase": (8.0, 2.0, 0.8), "tokens": 40.0, "doc_no_inside": 30.0, "doctype_inside": 10.0, "pdf": 3.0}
+
+
+def fuzzy_features(query: str, stopwords: tuple[str, ...] = X.STOPWORDS) -> dict[str, Column]:
+    """The points of entries (norm_title, title, tokens, doc_no, year, doctype, agency, best_path) by feature. The query's own
+    features are literals; an empty field has no feature."""
     import re
 
     q = X.fold(query)
-    docno = re.search(X.DOCNO, q, re.I)
-    score = F.lit(0.0)
-    if docno:
-        year = "20" + docno[2] if len(docno[2]) == 2 else docno[2]
-        name = f"{docno[1]}[{year}]{(docno[3] or '').replace(' ', '')}"
-        bare = re.sub(r"[\[\]]", "", name)
-        score += F.when(F.col("doc_no") == name, 120.0).when(F.contains(F.regexp_replace("doc_no", "[\\[\\]]", ""), F.lit(bare)), 80.0).otherwise(0.0)
-    years = re.findall(r"(19|20)\d{2}", q)
-    if years:
-        score += F.when(F.col("year").isin(years), 30.0).when(F.coalesce(F.col("year") != "", F.lit(False)), -5.0).otherwise(0.0)
-    doctype = next((k for k in X.DOCTYPES if k in q), None)
-    if doctype:
-        score += F.when(F.col("doctype") == doctype, 15.0).otherwise(0.0)
-    agency = "、".join([a for a in X.AGENCIES if a in q][:3])
-    if agency:
-        score += F.when(F.contains("agency", F.lit(agency)) | F.contains(F.lit(agency), F.col("agency")), 10.0).otherwise(0.0)
-    for phrase in re.findall("[一-鿿]{2,}", q):
-        score += F.when(F.contains("norm_title", F.lit(phrase)), min(8.0, 2.0 + 0.8 * len(phrase))).otherwise(0.0)
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    bare = lambda c: F.translate(c, "[]", "")
+    points = lambda name, when: F.when(when, WEIGHTS[name]).otherwise(0.0)
+    top, base, each = WEIGHTS["phrase"]
     tokens = [t for t in re.findall("[一-鿿]+|[a-zA-Z0-9]+", q) if t not in stopwords]
-    if tokens:
-        score += 40.0 * X.jaccard(F.col("tokens"), F.array(*map(F.lit, tokens)))
-    score += F.when(F.contains(F.lit(q), F.col("doc_no")), 30.0).otherwise(0.0)
-    score += F.when(F.contains(F.lit(q), F.col("doctype")) & F.contains("title", F.col("doctype")), 10.0).otherwise(0.0)
-    return score + F.when(F.lower("best_path").endswith(".pdf"), 3.0).otherwise(0.0)
+    out = {
+        "pdf": points("pdf", F.lower("best_path").endswith(".pdf")),
+        "doc_no_inside": points("doc_no_inside", has("doc_no") & F.contains(F.lit(q), F.col("doc_no"))),
+        "doctype_inside": points("doctype_inside", has("doctype") & F.contains(F.lit(q), F.col("doctype")) & F.contains("title", F.col("doctype"))),
+        "tokens": WEIGHTS["tokens"] * X.jaccard(F.col("tokens"), F.array(*map(F.lit, tokens))) if tokens else F.lit(0.0),
+        **{f"phrase_{i}": F.when(F.contains("norm_title", F.lit(p)), min(top, base + each * len(p))).otherwise(0.0) for i, p in enumerate(re.findall("[一-鿿]{2,}", q))},
+    }
+    if agency := "、".join([a for a in X.AGENCIES if a in q][:3]):
+        out["agency"] = points("agency", has("agency") & (F.contains("agency", F.lit(agency)) | F.contains(F.lit(agency), F.col("agency"))))
+    if doctype := next((k for k in X.DOCTYPES if k in q), None):
+        out["doctype"] = points("doctype", F.col("doctype") == doctype)
+    if years := re.findall(r"(19|20)\d{2}", q):
+        out["year"] = F.when(F.col("year").isin(years), WEIGHTS["year"]).when(has("year"), WEIGHTS["other_year"]).otherwise(0.0)
+    if found := re.search(X.DOCNO, q, re.I):
+        year = "20" + found[2] if len(found[2]) == 2 else found[2]
+        name = f"{found[1]}[{year}]{(found[3] or '').replace(' ', '')}"
+        part = F.contains(bare("doc_no"), F.lit(name.replace("[", "").replace("]", "")))
+        out["doc_no"] = F.when(has("doc_no") & (F.col("doc_no") == name), WEIGHTS["doc_no"]).when(has("doc_no") & part, WEIGHTS["doc_no_part"]).otherwise(0.0)
+    return out
+
+
+def fuzzy_score(query: str, stopwords: tuple[str, ...] = X.STOPWORDS) -> Column:
+    return reduce(add, fuzzy_features(query, stopwords).values())
 
 
 def fuzzy_search(entries: DataFrame, query: str, k: int = 5, order: str = "rank") -> DataFrame:
@@ -89,7 +99,7 @@ def fuzzy_search(entries: DataFrame, query: str, k: int = 5, order: str = "rank"
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl): the index that BM25 reads. Counted with the terms of a document side by
+    """(id, term, tf, dl): the index that bm25_postings reads. Counted with the terms of a document side by
     side, so that nothing but (id, term) pairs is shuffled."""
     words = docs.select(F.col(id_col).alias("id"), X.tokenize_terms(F.coalesce(text_col, F.lit(""))).alias("words"))
     return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").cast("long").alias("dl"))
@@ -118,6 +128,37 @@ def bm25(docs: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_c
     return rows.crossJoin(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")
 
 
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(n, avgdl): one row, to be kept with the postings. Documents without a term count as well."""
+    dl = F.size(X.tokenize_terms(F.coalesce(text_col, F.lit(""))))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl"))
+
+
+def save_postings(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """Writes postings by hash of the term, sorted, so that a query reads the folders of its own terms alone."""
+    index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("term").write.partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, query_terms: list[str], buckets: int = 256) -> DataFrame:
+    """The postings of some terms, from their folders."""
+    wanted = sorted({t.lower() for t in query_terms})
+    places = {r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets))).collect()}
+    return spark.read.parquet(path).where(F.col("bucket").isin(*places) & F.col("term").isin(wanted)).drop("bucket")
+
+
+def bm25_postings(index: DataFrame, stats: DataFrame, query_terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """As bm25, from postings (id, term, tf, dl) and their statistics (n, avgdl): only the query's own terms are read, and scores
+    are sums over them."""
+    weight = Counter(t.lower() for t in query_terms)
+    words = index.where(F.col("term").isin(sorted(weight)))
+    asked = index.sparkSession.createDataFrame(sorted(weight.items()), "t string, weight long")
+    df = words.groupBy(F.col("term").alias("d")).agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(asked), F.col("d") == F.col("t"))
+    rows = words.join(F.broadcast(df), F.col("term") == F.col("d")).crossJoin(F.broadcast(stats))  # a row per term of the query, and one of statistics
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    points = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("id").agg(F.sum(points).alias("score"))
+
+
 def vector_scores(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, score): cosines above zero."""
     lit = F.array(*[F.lit(float(x)) for x in query])

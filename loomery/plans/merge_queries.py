@@ -38,9 +38,9 @@ def anti_urls(spark, sf_dir):
 
 
 @register("substring_semi_join", """
-SELECT DISTINCT doc_id, item_id FROM documents, (SELECT item_id, substr(text, 1, 60) AS needle FROM benchmark) WHERE contains(text, needle)""")
+SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)""")
 def substring_semi_join(spark, sf_dir):
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     return M.substring_join(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", needles, "needle").select("doc_id", "item_id").distinct()
 
 

@@ -15,8 +15,9 @@ _PATH = r"regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)',
 
 @register("url_classify", rf"""
 WITH e AS (SELECT page_id, lower(regexp_extract({_PATH}, '\.([A-Za-z0-9]+)$', 1)) AS e, url FROM pages)
-SELECT page_id, CASE WHEN e = '' THEN 'html' WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('doc', 'docx', 'wps') THEN 'word' WHEN e IN ('xls', 'xlsx', 'et', 'csv') THEN 'excel'
-  WHEN e IN ('zip', 'rar', '7z', 'gz') THEN 'archive' WHEN e = 'txt' THEN 'text' WHEN e IN ('html', 'htm', 'shtml', 'jsp', 'asp', 'aspx', 'php') THEN 'html' ELSE 'other' END AS type, TRUE AS downloadable FROM e""")
+SELECT page_id, CASE WHEN e = '' THEN 'html' WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('doc', 'docx', 'wps') THEN 'word' WHEN e IN ('xls', 'xlsx') THEN 'excel'
+  WHEN e IN ('zip', 'rar') THEN 'archive' WHEN e = 'txt' THEN 'text' WHEN e IN ('html', 'htm') THEN 'html' ELSE 'other' END AS type,
+  regexp_matches(url, '^(https?:|[^:]*$|[^a-z]|[a-z0-9+.-]*[^a-z0-9+.:-])', 'i') AS downloadable FROM e""")
 def url_classify(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.document_type(F.col("url")).alias("type"), U.downloadable(F.col("url")).alias("downloadable"))
 

@@ -48,10 +48,6 @@ def decode_bytes(data: bytes | None) -> str | None:
     if data is None:
         return None
     for name in ("utf-8", "utf-16", "utf-16-le", "utf-16-be", "gb18030", "gbk"):
-        if name == "utf-16" and not bytes(data[:2]) in (b"\xff\xfe", b"\xfe\xff"):
-            continue  # without a mark it would take any bytes of even length
-        if name.startswith("utf-16-"):
-            continue
         try:
             return bytes(data).decode(name)
         except UnicodeDecodeError:
