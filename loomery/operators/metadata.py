@@ -78,9 +78,9 @@ def _aggregate(df: DataFrame, spec: dict) -> Column:
 
 def query_metadata(df: DataFrame, select: list[str] | None = None, filters: list[dict] | None = None, group_by: list[str] | None = None, aggregates: list[dict] | None = None, order_by: list[dict] | None = None, limit: int | None = None, ordinal: str | None = None) -> DataFrame:
     """Runs a query. ordinal: a column that gives the rows their order; it decides which row is the
-    first of a group and breaks ties."""
+    first of a group and breaks ties. Without it a hash of the row does, which is the same for any layout of files."""
     rows = filtered(df, filters)
-    at = F.col(f"`{ordinal}`") if ordinal else F.monotonically_increasing_id()
+    at = F.col(f"`{ordinal}`") if ordinal else F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     rows = rows.withColumn("__ordinal", at)
     names = set(df.columns)
     if group_by or aggregates:

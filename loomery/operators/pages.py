@@ -9,8 +9,11 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomery.functions import urls as U
+
 _VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr"}
 _SKIP = {"script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "br", "title", "nav", "header", "footer", "main", "body"}
@@ -131,3 +134,32 @@ def main_block(pages: DataFrame) -> DataFrame:
 def title(html):
     """The title element by a pattern alone, JVM-side."""
     return F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
+
+
+# fixed values: labels of links to other pages of a list
+PAGE_LABELS = ("下一页", "下页", "上一页", "末页", "尾页", "首页", "<", ">", "«", "»", "‹", "›", "<<", ">>")
+PAGE_ROLES = {"next": ("下一页", "下页"), "prev": ("上一页", "上页"), "first": ("首页",), "last": ("末页", "尾页")}
+
+
+def attachments(found: DataFrame) -> DataFrame:
+    """(page_id, position, url, type, text) of links (page_id, position, url, text) that lead to documents other than pages, each
+    URL of a page once."""
+    kind = U.document_type(F.col("url"))
+    docs = found.where(U.downloadable(F.col("url"))).withColumn("type", kind).where("type <> 'html'")
+    first = docs.groupBy("page_id", "url").agg(F.min(F.struct("position", "type", "text")).alias("f"))
+    return first.select("page_id", "f.position", "url", "f.type", "f.text")
+
+
+def pagination(found: DataFrame, start: str) -> DataFrame:
+    """(page_id, position, url, text, role) of links that lead to other pages of the list at `start`: their label is a number or
+    names such a page, and they are in its folder. role is the first link's of each kind."""
+    label = F.regexp_replace("text", "\\s+", "")
+    folder = F.regexp_extract(U.path(F.lit(start)), "^(.*)/", 1)
+    pages_ = found.where(label.isin(*PAGE_LABELS) | label.rlike("^(第)?[0-9]+页?$")).where(F.startswith(U.path(F.col("url")), folder))
+    first = pages_.groupBy("page_id", "url").agg(F.min(F.struct("position", "text")).alias("f")).select("page_id", "f.position", "url", "f.text")
+    role = F.when(F.lit(False), "")
+    for name, labels in PAGE_ROLES.items():
+        role = role.when(F.btrim("text").isin(*labels), name)
+    rows = first.withColumn("role", role.otherwise(None))
+    nth = F.row_number().over(W.partitionBy("page_id", "role").orderBy("position"))
+    return rows.withColumn("n", nth).withColumn("role", F.when(F.col("n") == 1, F.col("role"))).drop("n")

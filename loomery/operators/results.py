@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,14 +27,14 @@ def snippet(text: Column, terms: list[str], most: int = 180) -> Column:
     return out.otherwise(F.left(clean, F.lit(most)))
 
 
-def fused_hits(query: str, articles: DataFrame, vector_hits: DataFrame, k: int = 20, level: str = "article", penalty_words: tuple[str, ...] = PENALTY_WORDS, penalty_query: tuple[str, ...] = PENALTY_QUERY, terms: list[str] | None = None) -> DataFrame:
+def fused_hits(query: str, articles: DataFrame, vector_hits: DataFrame, k: int = 20, level: str = "article", penalty_words: tuple[str, ...] = PENALTY_WORDS, penalty_query: tuple[str, ...] = PENALTY_QUERY) -> DataFrame:
     """(id, score, match_type, snippet): articles (id, law_id, text) found by words, by vectors (id, score) and, for questions about
     penalties, by words of penalties. Scores of a record are summed, at level `law` those of its articles; the first hit, by
     channel and rank, gives the snippet."""
-    terms = terms or [t for t in query.split() if t]
-    channels = [("bm25", 2.0, 2 * k, bm25(articles, terms, "id")), ("vector", 1.0, 2 * k, vector_hits)]
+    words = lambda text: re.findall("[A-Za-z0-9]+|[一-鿿]", text.lower())  # noqa: E731  as the index has them
+    channels = [("bm25", 2.0, 2 * k, bm25(articles, words(query), "id")), ("vector", 1.0, 2 * k, vector_hits)]
     if any(w in query for w in penalty_words):
-        channels.append(("bm25", 1.0, k, bm25(articles, list(penalty_query), "id")))
+        channels.append(("bm25", 1.0, k, bm25(articles, words(" ".join(penalty_query)), "id")))
     parts = []
     for i, (name, weight, n, found) in enumerate(channels):
         best = top(found.select("id", "score"), n)
@@ -48,8 +49,8 @@ def fused_hits(query: str, articles: DataFrame, vector_hits: DataFrame, k: int =
 
 
 def merge_matches(matches: DataFrame, titles: DataFrame) -> DataFrame:
-    """(id, clause, title, reason, place) of matches (ordinal, id, clause, title, reason): one row for each id and clause, with the first
-    title given or else the catalogue's (titles: id, title), and its reasons joined. Matches without a clause are out; those
+    """(id, clause, title, reason, place) of matches (ordinal, id, clause, title, reason): one row for each id and clause, with the
+    title of its first match or else the catalogue's (titles: id, title), and its reasons joined. Matches without a clause are out; those
     without an id stay apart."""
     named = matches.where("coalesce(clause, '') <> ''").withColumn("key", F.concat_ws("::", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("?"), F.col("ordinal").cast("string"))), "clause"))
     filled = F.nullif(F.col("title"), F.lit(""))

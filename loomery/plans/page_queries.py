@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
+from loomery.functions import pagetext as T
 from loomery.functions import urls as U
 from loomery.operators import pages as P
 from loomery.plans.registry import register
@@ -58,3 +59,37 @@ def html_main_block(spark, sf_dir):
 @register("html_listing_entries")
 def html_listing_entries(spark, sf_dir):
     return P.listing_entries(table(spark, sf_dir, "pages"))
+
+
+def _lists(spark, sf_dir):
+    """A page for each nation, with a table of its suppliers: number, linked name, file and remark, and links to other pages."""
+    row = F.format_string("<tr><td>%d</td><td><a href='d/%d.html'>%s</a></td><td><a href='f/%d.pdf'>附件</a> <b>在用</b></td></tr>", "s_suppkey", "s_suppkey", "s_name", "s_suppkey")
+    rows = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><table>"), "rows", F.lit("</table><a href='p2.html'>下一页</a><a href='p2.html'>2</a><a href='/x/p3.html'>3</a><a href='p9.html'>尾页</a></body></html>"))
+    return rows.select("page_id", F.lit("http://host/list/p1.html").alias("url"), html.alias("html"))
+
+
+@register("listing_rows", """
+SELECT s_nationkey AS page_id, s_suppkey AS serial, s_name AS title, '在用' AS remark, ['http://host/list/d/' || s_suppkey || '.html', 'http://host/list/f/' || s_suppkey || '.pdf'] AS urls FROM supplier""")
+def listing_rows(spark, sf_dir):
+    return P.listing_entries(_lists(spark, sf_dir))
+
+
+@register("page_attachments", """
+SELECT s_nationkey AS page_id, 'http://host/list/f/' || s_suppkey || '.pdf' AS url, 'pdf' AS type, '附件' AS text FROM supplier""")
+def page_attachments(spark, sf_dir):
+    return P.attachments(P.links(_lists(spark, sf_dir))).drop("position")
+
+
+@register("page_pagination", """
+SELECT DISTINCT s_nationkey AS page_id, url, role FROM supplier, (VALUES ('http://host/list/p2.html', 'next'), ('http://host/list/p9.html', 'last')) AS v(url, role)""")
+def page_pagination(spark, sf_dir):
+    return P.pagination(P.links(_lists(spark, sf_dir)), "http://host/list/p1.html").select("page_id", "url", "role")
+
+
+@register("page_texts", r"""
+SELECT s_suppkey, s_name || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '特此通知' AS text, CASE WHEN length(s_name) >= 20 THEN length(s_name) WHEN length(s_name) <= 10 THEN -20 ELSE 0 END - 40 AS score FROM supplier""")
+def page_texts(spark, sf_dir):
+    raw = F.concat(F.lit("\n打印本页\n"), "s_name", F.lit("\n"), "s_name", F.lit("\n\n\n当前所在位置：首页\n\n text \r\ntext\n下载word版\na.pdf\n特此通知\n\n"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", T.page_text(raw).alias("text"))
+    return s.select("s_suppkey", "text", T.prose_score(F.col("text")).alias("score"))

@@ -56,10 +56,10 @@ def extract_rollup(spark, sf_dir):
 
 
 @register("coverage_rollup", r"""
-SELECT coalesce(lang, 'TOTAL') AS task, count(*)::BIGINT AS files, count(*) FILTER (contains(coalesce(text, ''), 'licen'))::BIGINT AS flagged, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang)""")
+SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS task, count(*)::BIGINT AS files, count(*) FILTER (contains(coalesce(text, ''), 'licen'))::BIGINT AS flagged, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang)""")
 def coverage_rollup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    return d.rollup("lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.contains("text", F.lit("licen"))).alias("flagged"), F.sum(F.length("text")).alias("chars")).select(F.coalesce("lang", F.lit("TOTAL")).alias("task"), "files", "flagged", "chars")
+    return d.rollup("lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.contains("text", F.lit("licen"))).alias("flagged"), F.sum(F.length("text")).alias("chars"), F.grouping("lang").alias("total")).select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("lang")).alias("task"), "files", "flagged", "chars")
 
 
 @register("char_totals_having", "SELECT source, sum(length(text))::BIGINT AS chars, count(*)::BIGINT AS files FROM documents GROUP BY source HAVING sum(length(text)) >= 10000")
