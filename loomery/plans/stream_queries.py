@@ -35,3 +35,24 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, s""")
 def stream_sessions(spark, sf_dir):
     return S.sessions(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("document_flags", """
+WITH c AS (SELECT *, CASE event_type WHEN 'click' THEN 'mark' WHEN 'error' THEN 'clear' WHEN 'view' THEN 'retitle' END AS op FROM events),
+l AS (SELECT user_id, arg_max(op, event_id) FILTER (op IN ('mark', 'clear')) AS op, max(event_id) FILTER (op IN ('mark', 'clear')) AS last_at, max(event_id) FILTER (op = 'retitle') AS t FROM c GROUP BY user_id)
+SELECT user_id, coalesce(op = 'mark', FALSE) AS downloaded, CASE WHEN op = 'mark' THEN 'p' || last_at END AS local_path, 't' || t AS title FROM l""")
+def document_flags(spark, sf_dir):
+    op = F.when(F.col("event_type") == "click", "mark").when(F.col("event_type") == "error", "clear").when(F.col("event_type") == "view", "retitle")
+    name = lambda c: F.concat(F.lit(c), F.col("event_id").cast("string")).alias({"p": "local_path", "t": "title"}[c])
+    return S.flags(table(spark, sf_dir, "events").select("user_id", "event_id", op.alias("op"), name("p"), name("t")), "user_id", "event_id")
+
+
+@register("settled_entries", """
+SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN 'old' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'u/' || o_orderkey ELSE 'title::' || o_orderpriority || '::r' END AS entry_id FROM orders""")
+def settled_entries(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    url = F.when(k == 0, F.concat(F.lit("c/"), F.col("o_custkey").cast("string"))).when(k == 1, F.concat(F.lit("u/"), F.col("o_orderkey").cast("string")))
+    docs = F.array(F.struct(url.alias("url"), F.lit("pdf").alias("type")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("title"), F.lit("r").alias("remark"), F.lit(1).alias("serial"), docs.alias("documents"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("entry_id"), F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("url"))
+    return S.settle(o, c).select("ordinal", "entry_id")

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; a folder of our own is set only
-    where there is none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/loomery-checkpoints")
+    """The cluster names its shared folder in spark.checkpoint.dir. Only in local mode, where there is one machine, a
+    session that names none gets a folder of our own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith(("local[", "local*")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("/tmp/loomery-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:

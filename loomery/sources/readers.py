@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.functions.urls import document_type
+
 DOCUMENT = "struct<url:string,type:string,title:string,downloaded:boolean,local_path:string,localPath:string,path:string>"
 ENTRY = f"struct<serial:bigint,title:string,remark:string,text_path:string,documents:array<{DOCUMENT}>>"
 STATE = f"entries array<struct<serial:bigint,title:string,remark:string,text_path:string,documents:array<{DOCUMENT}>,entry:{ENTRY}>>, task string, meta map<string,string>"
@@ -44,15 +46,23 @@ def texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     return files.select("path", decode("content").alias("text"), F.col("length").alias("n_bytes"))
 
 
-def decode_bytes(data: bytes | None) -> str | None:
+# fixed values: encodings in the source's order
+ENCODINGS = ("utf-8", "utf-16", "utf-16-le", "utf-16-be", "gb18030", "gbk")
+
+
+def decode_bytes(data: bytes | None, literal: bool = False) -> str | None:
+    """The text in the first encoding that it is valid in. UTF-16 without a mark takes most bytes of even length, GB18030 texts
+    among them: it comes last, unless the source's order is taken literally."""
     if data is None:
         return None
-    for name in ("utf-8", "utf-16", "utf-16-le", "utf-16-be", "gb18030", "gbk"):
+    data = bytes(data)
+    marked = literal or data[:2] in (b"\xff\xfe", b"\xfe\xff")
+    for name in ENCODINGS if marked else ("utf-8", "gb18030", "gbk", "utf-16-le", "utf-16-be"):
         try:
-            return bytes(data).decode(name)
+            return data.decode(name)
         except UnicodeDecodeError:
             pass
-    return bytes(data).decode("utf-8", "ignore")
+    return data.decode("utf-8", "ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -92,9 +102,40 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(get("trace_id", "string").alias("trace_id"), get("seq", "long").alias("seq"), get("ts", "long").alias("ts"), F.when(F.col("v").isNull(), "parse_error").otherwise(get("event", "string")).alias("event"), F.to_json(get("payload", "variant")).alias("payload"), F.when(F.col("v").isNull(), F.col("value")).alias("raw"))
 
 
+def legacy_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ordinal, entry_id, title, documents) of old states: a list of URLs or of objects (url, name), or an object of names by URL. Entries
+    of one name are one, with all their documents; a document's name is its URL where it has none."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    items = F.from_json("value", "array<string>")
+    listed = raw.where(F.ltrim(F.col("value")).startswith("[")).select("file", F.posexplode(items).alias("at", "x"))
+    obj = F.from_json("x", "struct<url:string,name:string>")
+    plain = ~F.ltrim(F.col("x")).startswith("{")
+    listed = listed.select("file", "at", F.when(plain, F.col("x")).otherwise(obj["url"]).alias("url"), F.when(plain, "").otherwise(F.coalesce(obj["name"], F.lit(""))).alias("name"))
+    named = raw.where(F.ltrim(F.col("value")).startswith("{")).select("file", F.explode(F.arrays_zip(F.json_object_keys("value").alias("url"), F.sequence(F.lit(0), F.size(F.json_object_keys("value")) - 1).alias("at"), F.map_values(F.from_json("value", "map<string,string>")).alias("name"))).alias("z"))
+    rows = listed.unionByName(named.select("file", "z.at", "z.url", F.coalesce("z.name", F.lit("")).alias("name"))).where("url is not null")
+    document = F.struct("at", "url", document_type(F.col("url")).alias("type"), F.coalesce(F.nullif("name", F.lit("")), F.col("url")).alias("title"), F.lit(True).alias("downloaded"))
+    # an entry without a name has no documents to name it after when it is made, so that it goes by its serial or is one of all such
+    merged = rows.groupBy("file", "name").agg(F.min("at").alias("ordinal"), F.array_sort(F.collect_list(document)).alias("documents"))
+    return merged.select("file", "ordinal", F.when(F.col("name") != "", F.concat(F.lit("title::"), "name")).alias("entry_id"), F.col("name").alias("title"), "documents")
+
+
+def unique_states(spark: SparkSession, path: str) -> DataFrame:
+    """(file, task, task_slug, source_state_file, generated_at, original, unique, duplicate) of the state files that say from which one they come."""
+    counts = "original_entry_count:bigint,unique_entry_count:bigint,duplicate_entry_count:bigint"
+    meta = spark.read.schema(f"meta struct<dedupe:struct<task:string,task_slug:string,source_state_file:string,generated_at:string,{counts}>>").option("pathGlobFilter", "*_uniq_state.json").json(path, multiLine=True)
+    d = meta.select(F.input_file_name().alias("file"), "meta.dedupe.*").where("source_state_file is not null")
+    return d.select("file", "task", "task_slug", "source_state_file", F.expr("try_cast(generated_at as timestamp)").alias("generated_at"), *[F.col(f"{c}_entry_count").alias(c) for c in ("original", "unique", "duplicate")])
+
+
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """(id, hash, vector) of a JSON-lines cache; vectors of less than two numbers or of zeros only are dropped."""
-    rows = spark.read.schema("id string, hash string, vector array<double>").json(path)
+    """(id, hash, vector) of a cache of embeddings: JSON lines with their ids, or a JSON object of them by id, as it is or under `items`.
+    Vectors of less than two numbers or of zeros only are dropped."""
+    item = "struct<hash:string,vector:array<double>>"
+    lines = spark.read.schema("id string, article_id string, hash string, vector array<double>").json(path).select(F.coalesce("article_id", "id").alias("id"), "hash", "vector")
+    whole = spark.read.text(path, wholetext=True)
+    inside = F.coalesce(F.get_json_object("value", "$.items"), F.col("value"))
+    by_id = whole.select(F.explode(F.from_json(inside, f"map<string,{item}>")).alias("id", "p")).select("id", "p.hash", "p.vector")
+    rows = lines.where("id is not null").unionByName(by_id)
     return rows.where("size(vector) >= 2").where(F.exists("vector", lambda x: x != 0))
 
 

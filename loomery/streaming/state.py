@@ -18,6 +18,33 @@ def upsert(changes: DataFrame, key: str, order: str, last_filled: list[str], sti
     return changes.groupBy(key).agg(*filled, *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in sticky], F.max(order).alias(order))
 
 
+def crawl_id(title, remark, serial, documents):
+    """What names an entry: its first page, or else its first document, or its title and remark, or its serial."""
+    page = F.get(F.filter(documents, lambda d: (d["type"] == "html") & d["url"].isNotNull()), F.lit(0))["url"]
+    any_ = F.get(F.filter(documents, lambda d: F.coalesce(d["url"], F.lit("")) != ""), F.lit(0))["url"]
+    named = F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws("::", F.lit("title"), title, F.nullif(remark, F.lit(""))))
+    return F.coalesce(page, any_, named, F.concat(F.lit("serial::"), serial.cast("string")))
+
+
+def settle(entries: DataFrame, state: DataFrame) -> DataFrame:
+    """entries (ordinal, title, remark, serial, documents) with entry_id: that of the state's document (entry_id, url) with the first of their
+    URLs that it knows, or else their own."""
+    urls = entries.select("ordinal", F.posexplode("documents").alias("at", "d")).select("ordinal", "at", F.col("d.url").alias("url")).where("coalesce(url, '') <> ''")
+    known = state.select(F.col("url").alias("k_url"), "entry_id").groupBy("k_url").agg(F.min("entry_id").alias("known"))
+    met = urls.join(known, F.col("url") == F.col("k_url")).groupBy(F.col("ordinal").alias("o")).agg(F.min_by("known", "at").alias("known"))
+    own = crawl_id(F.col("title"), F.col("remark"), F.col("serial"), F.col("documents"))
+    return entries.join(met, F.col("ordinal") == F.col("o"), "left").withColumn("entry_id", F.coalesce("known", own)).drop("o", "known")
+
+
+def flags(changes: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, downloaded, local_path, title) after changes (key, order, op, local_path, title), of which `mark` sets a document's path, `clear` takes it
+    away and `retitle` names it anew. Aggregates combine in each task."""
+    put = F.col("op").isin("mark", "clear")
+    last = F.max_by(F.struct((F.col("op") == "mark").alias("on"), "local_path"), F.when(put, F.col(order)))
+    out = changes.groupBy(key).agg(last.alias("l"), F.max_by("title", F.when((F.col("op") == "retitle") & (F.coalesce("title", F.lit("")) != ""), F.col(order))).alias("title"))
+    return out.select(key, F.coalesce("l.on", F.lit(False)).alias("downloaded"), F.when(F.col("l.on"), F.col("l.local_path")).alias("local_path"), "title")
+
+
 def upsert_into(state_path: str, key: str, order: str, last_filled: list[str], sticky: list[str]):
     """A foreachBatch function that merges each micro-batch into a Parquet state in versions; a batch
     that is repeated after a failure writes its version again."""

@@ -34,3 +34,25 @@ def test_whitelist_names_and_sink(spark, tmp_path):
     rows = spark.createDataFrame([("t1", 2, "b"), ("t1", None, "a"), ("t2", 1, "c")], "task string, serial int, title string")
     sinks.write_by_task(rows, f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 3
+
+
+def test_old_states_and_caches(spark, tmp_path):
+    import json
+
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "a.json").write_text(json.dumps(["http://x/a.pdf", {"url": "http://x/b", "name": "乙"}, {"url": "http://x/c.doc", "name": "乙"}, {"name": "no url"}]))
+    (tmp_path / "old" / "b.json").write_text(json.dumps({"http://x/d.pdf": "丁", "http://x/e": None}))
+    got = sorted((r["title"], r["entry_id"], [(d["url"], d["type"], d["title"]) for d in r["documents"]]) for r in readers.legacy_entries(spark, str(tmp_path / "old")).collect())
+    assert got == [
+        ("", None, [("http://x/a.pdf", "pdf", "http://x/a.pdf")]),
+        ("", None, [("http://x/e", "html", "http://x/e")]),
+        ("丁", "title::丁", [("http://x/d.pdf", "pdf", "丁")]),
+        ("乙", "title::乙", [("http://x/b", "html", "乙"), ("http://x/c.doc", "word", "乙")]),
+    ]
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "t_uniq_state.json").write_text(json.dumps({"entries": [], "meta": {"dedupe": {"task": "t", "source_state_file": "t.json", "unique_entry_count": 3, "generated_at": "x"}}}))
+    (tmp_path / "u" / "s_uniq_state.json").write_text(json.dumps({"entries": []}))
+    assert [(r["task"], r["unique"], r["generated_at"]) for r in readers.unique_states(spark, str(tmp_path / "u")).collect()] == [("t", 3, None)]
+    for name, text in (("items", json.dumps({"items": {"a": {"hash": "h", "vector": [1, 2]}, "b": {"vector": [0, 0]}}})), ("map", json.dumps({"a": {"hash": "h", "vector": [1, 2]}})), ("lines", '{"article_id": "a", "hash": "h", "vector": [1, 2]}\n{"article_id": "b", "vector": [1]}\nbroken\n')):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert [(r["id"], r["hash"], r["vector"]) for r in readers.embeddings(spark, str(tmp_path / f"{name}.json")).collect()] == [("a", "h", [1.0, 2.0])], name
