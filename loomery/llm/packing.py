@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from loomery.llm.common import fresh, written
 
 CAPACITY = 2048
-_CACHE = 100_000  # parts of words whose ids a worker remembers; then it starts anew
-_SLICE_BYTES = 1 << 20  # of text tokenised at once
+_CACHE = 250_000  # parts of words whose ids a worker remembers; then it starts anew
+_SLICE_BYTES = 2 << 20  # of text tokenised at once
 
 
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
