@@ -140,14 +140,16 @@ def greedy_dedupe(entries: DataFrame, rank: str, doc_no: str = "doc_no", title:
     return entries.select(F.col(rank).alias("e")).join(best, F.col("e") == F.col("r"), "left").select(F.col("e").alias(rank), F.col("b.owner").alias("duplicate_of"), reason.alias("reason"))
 
 
-def reachable(edges: DataFrame, start: list) -> DataFrame:
+def reachable(edges: DataFrame, start: list, rounds: int | None = None) -> DataFrame:
     """(node, depth): breadth-first search over (src, dst); each round is a join of the frontier
-    and an anti join with what has been seen."""
+    and an anti join with what has been seen. It goes on until nothing is new; with `rounds` it raises where they end before."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     seen = spark.createDataFrame([(s, 0) for s in start], f"node {kind}, depth int")
     frontier = seen
     for depth in count(1):
+        if rounds is not None and depth > rounds:
+            raise ValueError("paths are longer than the rounds")
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
