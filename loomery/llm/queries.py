@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, pii, quality_rules, sharding, source_mix, warc
+from loomery.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, periodic_runs, pii, quality_rules, sharding, source_mix, warc
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_source_mix": source_mix,
     "op9_pii": pii,
     "op10_exact_dedup": exact_dedup,
+    "op11_periodic_runs": periodic_runs,
 }
 
 
