@@ -157,13 +157,17 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", min_length: int = 12)
 def planted(text: Column, doc_id: Column) -> Column:
     """The texts that the query searches: a tenth of the documents, chosen by the CRC of the id, repeats a stretch of its
     words up to its end; a null id leaves its text as it is."""
-    w = words(text)
     h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
-    g, n = F.floor(h / 10), F.size(w).cast("long")
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + F.pmod(i - a, p)).cast("int")))), " ")
+
+    once = F.transform(F.array(words(text)), again)[0]  # as a variable, the words are split once and not for each word
+    return F.when((h % 10 == 0) & (F.size(words(text)) > 0), once).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
