@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, periodic_runs, pii, quality_rules, sharding, source_mix, vector_codes, warc
+from loomery.llm import ann_search, chat_format, exact_dedup, jaccard_join, language_id, packing, periodic_runs, pii, quality_rules, sharding, source_mix, vector_codes, warc
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
@@ -17,6 +17,7 @@ _MODULES = {
     "op10_exact_dedup": exact_dedup,
     "op11_periodic_runs": periodic_runs,
     "op12_vector_codes": vector_codes,
+    "op13_ann_search": ann_search,
 }
 
 
