@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
+from loomery.operators.fuzzy import fuzzy_search, fuzzy_search_all  # noqa: F401
 
 
 def text_search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 20) -> DataFrame:
@@ -54,50 +53,6 @@ def keyword_search(entries: DataFrame, query: str, id_col: str = "doc_id", title
     return out.where("title_exact > 0 or title_hits > 0 or content_hits > 0").orderBy(F.desc("title_exact"), F.desc("title_hits"), F.desc("content_hits"), "title")
 
 
-# fixed values: weights of the features of a policy search
-WEIGHTS = {"doc_no": 120.0, "doc_no_part": 80.0, "year": 30.0, "other_year": -5.0, "doctype": 15.0, "agency": 10.0, "phrase": (8.0, 2.0, 0.8), "tokens": 40.0, "doc_no_inside": 30.0, "doctype_inside": 10.0, "pdf": 3.0}
-
-
-def fuzzy_features(query: str, stopwords: tuple[str, ...] = X.STOPWORDS) -> dict[str, Column]:
-    """The points of entries (norm_title, title, tokens, doc_no, year, doctype, agency, best_path) by feature. The query's own
-    features are literals; an empty field has no feature."""
-    import re
-
-    q = X.fold(query)
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    bare = lambda c: F.translate(c, "[]", "")
-    points = lambda name, when: F.when(when, WEIGHTS[name]).otherwise(0.0)
-    top, base, each = WEIGHTS["phrase"]
-    tokens = [t for t in re.findall("[一-鿿]+|[a-zA-Z0-9]+", q) if t not in stopwords]
-    out = {
-        "pdf": points("pdf", F.lower("best_path").endswith(".pdf")),
-        "doc_no_inside": points("doc_no_inside", has("doc_no") & F.contains(F.lit(q), F.col("doc_no"))),
-        "doctype_inside": points("doctype_inside", has("doctype") & F.contains(F.lit(q), F.col("doctype")) & F.contains("title", F.col("doctype"))),
-        "tokens": WEIGHTS["tokens"] * X.jaccard(F.col("tokens"), F.array(*map(F.lit, tokens))) if tokens else F.lit(0.0),
-        **{f"phrase_{i}": F.when(F.contains("norm_title", F.lit(p)), min(top, base + each * len(p))).otherwise(0.0) for i, p in enumerate(re.findall("[一-鿿]{2,}", q))},
-    }
-    if agency := "、".join([a for a in X.AGENCIES if a in q][:3]):
-        out["agency"] = points("agency", has("agency") & (F.contains("agency", F.lit(agency)) | F.contains(F.lit(agency), F.col("agency"))))
-    if doctype := next((k for k in X.DOCTYPES if k in q), None):
-        out["doctype"] = points("doctype", F.col("doctype") == doctype)
-    if years := re.findall(r"(19|20)\d{2}", q):
-        out["year"] = F.when(F.col("year").isin(years), WEIGHTS["year"]).when(has("year"), WEIGHTS["other_year"]).otherwise(0.0)
-    if found := re.search(X.DOCNO, q, re.I):
-        year = "20" + found[2] if len(found[2]) == 2 else found[2]
-        name = f"{found[1]}[{year}]{(found[3] or '').replace(' ', '')}"
-        part = F.contains(bare("doc_no"), F.lit(name.replace("[", "").replace("]", "")))
-        out["doc_no"] = F.when(has("doc_no") & (F.col("doc_no") == name), WEIGHTS["doc_no"]).when(has("doc_no") & part, WEIGHTS["doc_no_part"]).otherwise(0.0)
-    return out
-
-
-def fuzzy_score(query: str, stopwords: tuple[str, ...] = X.STOPWORDS) -> Column:
-    return reduce(add, fuzzy_features(query, stopwords).values())
-
-
-def fuzzy_search(entries: DataFrame, query: str, k: int = 5, order: str = "rank") -> DataFrame:
-    return entries.withColumn("score", fuzzy_score(query)).orderBy(F.desc("score"), order).limit(k)
-
-
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl): the index that bm25_postings reads. Counted with the terms of a document side by
     side, so that nothing but (id, term) pairs is shuffled."""

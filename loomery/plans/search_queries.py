@@ -62,6 +62,68 @@ def fuzzy_search(spark, sf_dir):
     return S.fuzzy_search(entries, "part 17 STEEL", 10, "p_partkey").select("p_partkey", "p_name", F.round("score", 6).alias("score"))
 
 
+#: Queries whose features differ: number, part of a number, years, types, agencies, phrases, tokens.
+POLICY_QUERIES = ["中国人民银行公告[2017]第17号 关于 STEEL 的管理办法", "国务院 公告[2012] 支付清算 通知 1998", "国家外汇管理局 BRASS 细则 part 7", "银发[07]3号", "part 17 STEEL"]
+
+_AGENCY_SQL = "['" + "', '".join(X.AGENCIES) + "']"
+_TYPE_SQL = "['" + "', '".join(X.DOCTYPES) + "']"
+_STOP_SQL = "['" + "', '".join(X.STOPWORDS) + "']"
+
+
+def _features_sql(source: str, plain: str) -> str:
+    """Columns that entries and queries have alike."""
+    return f"""
+  SELECT *, CASE WHEN n.h <> '' THEN n.h || '[' || CASE WHEN length(n.y) = 2 THEN '20' || n.y ELSE n.y END || ']' || replace(n.t, ' ', '') END AS doc_no,
+    regexp_extract_all({plain}, '(19|20)[0-9]{{2}}', 1) AS years, list_filter({_TYPE_SQL}, lambda k: contains({plain}, k))[1] AS doctype,
+    nullif(array_to_string(list_filter({_AGENCY_SQL}, lambda k: contains({plain}, k))[1:3], '、'), '') AS agency,
+    regexp_extract_all({plain}, '[一-鿿]{{2,}}') AS phrases,
+    list_filter(regexp_extract_all({plain}, '[一-鿿]+|[a-zA-Z0-9]+'), lambda t: NOT list_contains({_STOP_SQL}, t)) AS tokens
+  FROM (SELECT *, regexp_extract({plain}, '{X.DOCNO}', ['h', 'y', 't'], 'i') AS n FROM {source})"""
+
+
+@register("policy_search_points", f"""
+WITH e AS ({_features_sql("""(SELECT p_partkey, title, translate(title, '〔〕', '[]') AS norm_title, best_path FROM (SELECT p_partkey,
+    CASE p_size % 5 WHEN 0 THEN '中国人民银行公告〔20' || lpad((p_partkey % 30)::VARCHAR, 2, '0') || '〕第' || p_size || '号 关于 ' || p_type WHEN 1 THEN '国务院关于支付清算的管理办法 19' || lpad((p_partkey % 100)::VARCHAR, 2, '0')
+      WHEN 2 THEN '银发〔0' || p_size % 10 || '〕' || p_size || '号 细则' WHEN 3 THEN p_name || ' ' || p_type ELSE '国家外汇管理局、国务院 支付 通知 ' || p_name END AS title,
+    CASE p_size % 3 WHEN 0 THEN 'a/' || p_partkey || '.PDF' WHEN 1 THEN 'a.html' END AS best_path FROM part))""", "norm_title")}),
+q AS ({_features_sql("(SELECT unnest(range(" + str(len(POLICY_QUERIES)) + "))::INT AS query_id, unnest(['" + "', '".join(POLICY_QUERIES) + "']) AS plain)", "plain")}),
+b AS (SELECT q.query_id, e.p_partkey,
+  CASE WHEN e.doc_no = q.doc_no THEN 120.0 ELSE 0 END AS points_doc_no,
+  CASE WHEN e.doc_no <> q.doc_no AND contains(translate(e.doc_no, '[]', ''), translate(q.doc_no, '[]', '')) THEN 80.0 ELSE 0 END AS points_doc_no_part,
+  CASE WHEN list_contains(q.years, e.years[1]) THEN 30.0 ELSE 0 END AS points_year,
+  CASE WHEN len(q.years) > 0 AND len(e.years) > 0 AND NOT list_contains(q.years, e.years[1]) THEN -5.0 ELSE 0 END AS points_other_year,
+  CASE WHEN e.doctype = q.doctype THEN 15.0 ELSE 0 END AS points_doctype,
+  CASE WHEN contains(e.agency, q.agency) OR contains(q.agency, e.agency) THEN 10.0 ELSE 0 END AS points_agency,
+  coalesce(list_sum(list_transform(list_filter(q.phrases, lambda p: contains(e.norm_title, p)), lambda p: least(8.0::DOUBLE, 2 + 0.8::DOUBLE * length(p)))), 0)::DOUBLE AS points_phrases,
+  CASE WHEN len(e.tokens) = 0 OR len(q.tokens) = 0 THEN 0 ELSE 40.0::DOUBLE * len(list_intersect(e.tokens, q.tokens)) / len(list_distinct(list_concat(e.tokens, q.tokens))) END AS points_tokens,
+  CASE WHEN contains(q.plain, e.doc_no) THEN 30.0 ELSE 0 END AS points_doc_no_inside,
+  CASE WHEN contains(q.plain, e.doctype) AND contains(e.title, e.doctype) THEN 10.0 ELSE 0 END AS points_doctype_inside,
+  CASE WHEN lower(e.best_path) LIKE '%.pdf' THEN 3.0 ELSE 0 END AS points_pdf FROM e, q),
+s AS (SELECT *, points_doc_no::DOUBLE + points_doc_no_part + points_year + points_other_year + points_doctype + points_agency + points_phrases + points_tokens + points_doc_no_inside + points_doctype_inside + points_pdf AS score FROM b)
+SELECT query_id, p_partkey, row_number() OVER w::INT AS place, round(points_doc_no, 6)::DOUBLE AS points_doc_no, points_doc_no_part::DOUBLE AS points_doc_no_part, points_year::DOUBLE AS points_year, points_other_year::DOUBLE AS points_other_year,
+  points_doctype::DOUBLE AS points_doctype, points_agency::DOUBLE AS points_agency, round(points_phrases, 6) AS points_phrases, round(points_tokens, 6) AS points_tokens, points_doc_no_inside::DOUBLE AS points_doc_no_inside,
+  points_doctype_inside::DOUBLE AS points_doctype_inside, points_pdf::DOUBLE AS points_pdf, round(score, 6) AS score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY s.score DESC, p_partkey) QUALIFY row_number() OVER w <= 25""")
+def policy_search_points(spark, sf_dir):
+    """The 25 best entries of each query with their points by feature; titles are made from parts."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    title = (
+        F.when(size % 5 == 0, F.concat(F.lit("中国人民银行公告〔20"), two(n % 30), F.lit("〕第"), size, F.lit("号 关于 "), "p_type"))
+        .when(size % 5 == 1, F.concat(F.lit("国务院关于支付清算的管理办法 19"), two(n % 100)))
+        .when(size % 5 == 2, F.concat(F.lit("银发〔0"), size % 10, F.lit("〕"), size, F.lit("号 细则")))
+        .when(size % 5 == 3, F.concat_ws(" ", "p_name", "p_type"))
+        .otherwise(F.concat(F.lit("国家外汇管理局、国务院 支付 通知 "), "p_name"))
+    )
+    path = F.when(size % 3 == 0, F.concat(F.lit("a/"), n, F.lit(".PDF"))).when(size % 3 == 1, "a.html")
+    rows = table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), path.alias("best_path")).withColumn("norm_title", X.norm_text("title"))
+    norm = F.col("norm_title")
+    entries = rows.withColumns({"tokens": X.tokenize(norm), "doc_no": X.extract_docno(norm), "year": X.year_prefix(norm), "doctype": X.first_keyword(norm), "agency": X.keyword_list(norm)})
+    found = S.fuzzy_search_all(entries, POLICY_QUERIES, 25, "p_partkey")
+    points = [c for c in found.columns if c.startswith("points_")]
+    return found.select("query_id", "p_partkey", "place", *[F.round(c, 6).alias(c) for c in [*points, "score"]])
+
+
 @register("bm25_build", r"""
 WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9]+|[\x{4e00}-\x{9fff}]') AS words FROM documents)
 SELECT id, term, count(*)::BIGINT AS tf, any_value(dl)::BIGINT AS dl FROM (SELECT id, len(words) AS dl, unnest(words) AS term FROM w) GROUP BY id, term""")
