@@ -32,8 +32,15 @@ def _starts(unit: str) -> tuple[Column, Column]:
 
 def find_clauses(docs: DataFrame, references: DataFrame) -> DataFrame:
     """Of references (ref, doc_id, clause) in docs (doc_id, text): ref, article, paragraph, item, article_text,
-    paragraph_text, item_text and error. A paragraph that isn't found leaves the article as its text."""
-    asked = references.select("ref", "doc_id", C.reference(norm_text("clause")).alias("r")).select("ref", "doc_id", "r.*")
+    paragraph_text, item_text and error. A paragraph that isn't found leaves the article as its text. A document's lines meet
+    each clause that is asked for once, however many references ask for it."""
+    named = references.select("ref", "doc_id", F.explode(F.array(C.reference(norm_text("clause")))).alias("r")).select("ref", F.to_json(F.struct("doc_id", "r")).alias("question"), "doc_id", "r.*")
+    answers = _answers(docs, named.drop("ref").distinct().withColumnRenamed("question", "ref"))
+    return named.select("ref", "question").join(answers.withColumnRenamed("ref", "question"), "question").drop("question")
+
+
+def _answers(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of distinct questions (ref, doc_id, article, paragraph, unit, item) in docs, as find_clauses."""
     lines = clause_lines(docs.where("text is not null")).join(asked.where("article is not null"), "doc_id")
     one = W.partitionBy("ref")
     place = F.col("line")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomery.operators.titles import closest
 from loomery.sources.checkpoints import cut
 
 
@@ -159,19 +160,6 @@ def reachable(edges: DataFrame, start: list, rounds: int | None = None) -> DataF
 
 
 def close_titles(queries: DataFrame, titles: DataFrame, cutoff: float = 0.75) -> DataFrame:
-    """(query, title, ratio): for each query the title that is most alike by matching blocks. What two texts share in order
-    they share as characters at all: pairs that have too few characters in common, counted as often as they occur in
-    both, are out before the ratio. Counts come from an equi join on (character, its number), so that only titles with a common
-    character meet a query."""
-    from loomery.functions.text import similarity
-
-    def marks(df: DataFrame, name: str) -> DataFrame:
-        chars = df.select(name, F.explode(F.split(name, "")).alias("c")).where("c <> ''").groupBy(name, "c").agg(F.count(F.lit(1)).alias("n"))
-        return chars.select(name, F.length(name).alias(f"n_{name}"), F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(F.col("c"), i.alias("i")))).alias(f"m_{name}"))
-
-    q, t = marks(queries.select("query").distinct(), "query"), marks(titles.select("title").distinct(), "title")
-    near = q.join(t, (F.col("m_query") == F.col("m_title")) & (2 * F.least("n_query", "n_title") >= cutoff * (F.col("n_query") + F.col("n_title"))))
-    near = near.groupBy("query", "title", "n_query", "n_title").agg(F.count(F.lit(1)).alias("common")).where(2 * F.col("common") >= cutoff * (F.col("n_query") + F.col("n_title")))
-    both = near.withColumn("ratio", similarity("query", "title")).where(F.col("ratio") >= cutoff)
-    best = both.groupBy("query").agg(F.max(F.struct("ratio", "title")).alias("m"))
-    return best.select("query", "m.title", "m.ratio")
+    """(query, title, ratio): for each query the title that is most alike by matching blocks, of at least `cutoff`."""
+    filled = lambda df, c: df.select(c).where(F.col(c) != "").distinct()
+    return closest(filled(queries, "query"), filled(titles, "title"), cutoff)
