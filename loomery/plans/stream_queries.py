@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomery.plans.registry import register
+from loomery.sources.checkpoints import shared_dir
 from loomery.sources.tables import table
+from loomery.streaming import entries as E
 from loomery.streaming import state as S
 
 
@@ -56,3 +60,39 @@ def settled_entries(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("title"), F.lit("r").alias("remark"), F.lit(1).alias("serial"), docs.alias("documents"))
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("entry_id"), F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("url"))
     return S.settle(o, c).select("ordinal", "entry_id")
+
+
+@register("entry_stream", """
+WITH c AS (SELECT c_mktsegment AS task, c_custkey AS n, c_nationkey AS k, c_name FROM customer),
+e AS (SELECT task, k, min(n) AS first_at, max(n) AS last_at, arg_max(c_name, n) AS title, count(DISTINCT n % 7) AS n_documents, bool_or(n % 5 = 0) AS any_downloaded FROM c GROUP BY task, k)
+SELECT task, 'http://x/' || k AS entry_id, row_number() OVER (PARTITION BY task ORDER BY first_at) AS serial, title, 'r' || last_at AS remark, n_documents + 1 AS n_documents, any_downloaded FROM e""")
+def entry_stream(spark, sf_dir):
+    """Customers as a stream of listing entries: an entry for each nation of a segment, known by its page, with further documents."""
+    schema = table(spark, sf_dir, "customer").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parque[t]")  # as a pattern, a table may be a file or a folder
+    n, page = F.col("c_custkey"), F.concat(F.lit("http://x/"), "c_nationkey")
+    no = F.lit(None).cast("string")
+
+    def doc(url, kind, done):
+        return F.struct(url.alias("url"), F.lit(kind).alias("type"), F.lit("").alias("title"), done.alias("downloaded"), no.alias("local_path"))
+
+    docs = F.array(doc(page, "html", F.lit(False)), doc(F.concat_ws("/", page, (n % 7).cast("string")), "pdf", n % 5 == 0))
+    entries = rows.select(F.col("c_mktsegment").alias("task"), n.alias("ordinal"), F.lit(None).cast("long").alias("serial"), F.col("c_name").alias("title"), F.concat(F.lit("r"), n).alias("remark"), docs.alias("documents"))
+    base = f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}"
+    E.run_stream(E.entry_changes(entries), f"{base}/log", f"{base}/checkpoint")
+    out = E.latest_entries(spark.read.schema(E.CHANGES).parquet(f"{base}/log"))
+    return out.select("task", "entry_id", "serial", "title", "remark", F.size("documents").cast("long").alias("n_documents"), F.exists("documents", lambda d: d["downloaded"]).alias("any_downloaded"))
+
+
+@register("snapshot_record", """
+WITH l AS (SELECT DISTINCT o_orderpriority AS task, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS snapshot, o_custkey AS e FROM orders),
+s AS (SELECT task, snapshot, lag(snapshot) OVER w AS before, lead(snapshot) OVER w AS after FROM (SELECT DISTINCT task, snapshot FROM l) WINDOW w AS (PARTITION BY task ORDER BY snapshot)),
+n AS (SELECT task, snapshot, count(*) AS n FROM l GROUP BY ALL),
+g AS (SELECT s.task, s.snapshot, count(*) FILTER (p.e IS NULL) AS added FROM s JOIN l USING (task, snapshot) LEFT JOIN l p ON p.task = s.task AND p.snapshot = s.before AND p.e = l.e GROUP BY ALL)
+SELECT task, snapshot, n.n AS entries_total, n.n - coalesce(m.n, 0) AS entries_diff, added, coalesce(m.n, 0) - (n.n - added) AS removed
+FROM s JOIN n USING (task, snapshot) LEFT JOIN n m ON m.task = s.task AND m.snapshot = s.before JOIN g USING (task, snapshot) WHERE after IS NOT NULL AND (added > 0 OR coalesce(m.n, 0) > n.n - added)""")
+def snapshot_record(spark, sf_dir):
+    """Each month's customers of a priority as a listing: what came and went against the one before."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("task"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("snapshot"), F.concat(F.lit("c"), "o_custkey").alias("entry_id")).distinct()
+    out = E.snapshot_history(o, always=True)
+    return out.select("task", "snapshot", "entries_total", "entries_diff", F.size("added").cast("long").alias("added"), F.size("removed").cast("long").alias("removed"))

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_dir(spark: SparkSession) -> str:
     """The cluster names its shared folder in spark.checkpoint.dir. Only in local mode, where there is one machine, a
     session that names none gets a folder of our own."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
-        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
-    if master != "local" and not master.startswith(("local[", "local*")):
+    if not named and master != "local" and not master.startswith(("local[", "local*")):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir("/tmp/loomery-checkpoints")
+    return (named or "/tmp/loomery-checkpoints").rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Where `cut` writes: the shared folder."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
