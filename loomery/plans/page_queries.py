@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from loomery.functions import text as X
 from loomery.functions import pagetext as T
 from loomery.functions import urls as U
+from loomery.operators import blocks as B
+from loomery.operators import listings as L
 from loomery.operators import pages as P
 from loomery.plans.registry import register
 from loomery.sources.tables import table
@@ -58,7 +60,48 @@ def html_main_block(spark, sf_dir):
 
 @register("html_listing_entries")
 def html_listing_entries(spark, sf_dir):
-    return P.listing_entries(table(spark, sf_dir, "pages"))
+    """Every page read as a listing of cards at its site's root: its links to pages and files there."""
+    p = table(spark, sf_dir, "pages")
+    root = F.concat(F.regexp_extract("url", "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.lit("/index.html"))
+    return L.listing_entries(p.select("page_id", root.alias("url"), "html", F.lit("card").alias("parser")))
+
+
+@register("page_candidate_blocks")
+def page_candidate_blocks(spark, sf_dir):
+    """The blocks of each page that may hold its document, with their scores; tests compare them with a recursive search."""
+    return B.candidate_blocks(table(spark, sf_dir, "pages"))
+
+
+@register("page_main_text")
+def page_main_text(spark, sf_dir):
+    """The text of each page's best block; tests compare it with a recursive search."""
+    return B.main_blocks(table(spark, sf_dir, "pages"))
+
+
+@register("listing_layouts", """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS page_id, s_name, s_nationkey % 4 AS layout, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier)
+SELECT page_id, CASE layout WHEN 0 THEN k ELSE i END AS serial, s_name AS title,
+  CASE layout WHEN 0 THEN '(第' || k || '号) 在用' WHEN 1 THEN '2024-0' || (k % 9 + 1) || '-11' WHEN 2 THEN '' ELSE '2024年' || (k % 9 + 1) || '月3日' END AS remark,
+  CASE layout WHEN 2 THEN 1 ELSE 2 END::BIGINT AS n_documents,
+  CASE layout WHEN 3 THEN 'http://host/a/f/' ELSE 'http://host/list/f/' END || k || CASE layout WHEN 0 THEN '.doc' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' ELSE '.pdf' END AS last_url,
+  CASE layout WHEN 1 THEN s_name || ' 2024-0' || (k % 9 + 1) || '-11' WHEN 3 THEN '说明' || k ELSE s_name END AS last_title,
+  CASE layout WHEN 0 THEN 'word' WHEN 2 THEN 'excel' ELSE 'pdf' END AS last_type FROM s""")
+def listing_layouts(spark, sf_dir):
+    """A page for each nation's suppliers, in one of four layouts by a column of the row."""
+    layout, k = F.col("s_nationkey") % 4, F.col("s_suppkey").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    name, month = F.col("s_name"), (F.col("s_suppkey") % 9 + 1).cast("string")
+    row = cat("<tr><td>", k, "</td><td><a href='d/", k, ".html'>", name, "</a> (第", k, "号)</td><td>在用</td><td><a href='f/", k, ".doc'>word版</a></td></tr>")
+    item = cat("<li><a href='d/", k, ".html' title='", name, "'>", name, "</a><span class='date'>2024-0", month, "-11</span><a href='f/", k, ".pdf'>下载</a></li>")
+    file = cat("<p>", name, "：<a href='f/", k, ".xlsx'>下载</a></p>")
+    card = cat("<div><ul><li><a href='d/", k, "/index.html' title='", name, "'>x</a><span class='time'>2024年", month, "月3日</span><p><a href='../f/", k, ".pdf' title='说明", k, "'>附件</a></p></li></ul></div>")
+    one = F.when(layout == 0, row).when(layout == 1, item).when(layout == 2, file).otherwise(card)
+    pages = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", one.alias("h")))), lambda x: x["h"]), "\n").alias("h"))
+    mod = F.col("page_id") % 4
+    html = F.when(mod == 0, cat("<table><tr><th>号</th><th>名</th></tr>", F.col("h"), "</table>")).when(mod == 1, cat("<ul class='a txtlist'>", F.col("h"), "</ul>")).otherwise(F.col("h"))
+    pages = pages.select("page_id", F.when(mod == 3, "http://host/a/b/index.html").otherwise("http://host/list/index.html").alias("url"), html.alias("html"), F.when(mod == 3, "card").otherwise("plain").alias("parser"))
+    last = F.element_at("documents", -1)
+    return L.listing_entries(pages).select("page_id", "serial", "title", "remark", F.size("documents").cast("long").alias("n_documents"), last["url"].alias("last_url"), last["title"].alias("last_title"), last["type"].alias("last_type"))
 
 
 def _lists(spark, sf_dir):
