@@ -10,21 +10,24 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.functions.urls import document_type
+from loomery.operators.nested import PATH_KEYS, absolute_paths
 
 DOCUMENT = "struct<url:string,type:string,title:string,downloaded:boolean,local_path:string,localPath:string,path:string>"
 ENTRY = f"struct<serial:bigint,title:string,remark:string,text_path:string,documents:array<{DOCUMENT}>>"
 STATE = f"entries array<struct<serial:bigint,title:string,remark:string,text_path:string,documents:array<{DOCUMENT}>,entry:{ENTRY}>>, task string, meta map<string,string>"
 
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
+def entries(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
     """(task, entry_id, serial, title, remark, documents, ordinal) of state or extract files, rows flat or wrapped
-    in `entry`; the extracted text, if there is one, is the first document unless it is among them."""
+    in `entry`; the extracted text, if there is one, is the first document unless it is among them. With a base, relative
+    paths are absolute in it."""
     raw = spark.read.schema(STATE).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    if base is not None:
+        raw = absolute_paths(raw, base, PATH_KEYS + ("localPath",))
     rows = raw.select("file", "task", F.posexplode("entries").alias("pos", "e"))
 
     def pick(c: str):
@@ -140,9 +143,9 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, rows: DataFrame, key: str = "doc_id", ordinal: str = "ordinal") -> DataFrame:
-    """The last row of each id."""
-    w = W.partitionBy(key).orderBy(F.col(ordinal).desc())
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The last row of each id; combined in each task, so that a hot id is no hot task."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), ordinal).alias("__last"))
+    return last.select(*[F.col(f"__last.`{c}`").alias(c) for c in rows.columns])
 
 
 def whitelist(text: str) -> tuple[list[str], list[str]]:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.operators.nested import relative_paths
 
-def write_by_task(entries: DataFrame, path: str, task: str = "task") -> None:
-    """A folder per task, rows in order (serial, nulls last, then title)."""
+
+def write_by_task(entries: DataFrame, path: str, task: str = "task", base: str | None = None) -> None:
+    """A folder per task, rows in order (serial, nulls last, then title). With a base, paths inside of it are written relative to it."""
+    if base is not None:
+        entries = relative_paths(entries, base)
     entries.repartition(task).sortWithinPartitions(task, F.col("serial").asc_nulls_last(), "title").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(task).parquet(path)
 
 
