@@ -2,8 +2,8 @@
 
 Filters are AND-ed. `=` and `!=` treat null as a value, `in` means membership (of the field in
 a list, or of the value in a list field), `contains` ignores case and looks into list elements,
-comparisons drop nulls and values of another type, and an unknown operator lets every row
-pass. Sums and averages of nothing are 0. A limit of 0 or less means none. Sort keys see
+comparisons drop nulls and values of another type, and an unknown operator, or none, lets every row
+pass. Operators and functions are read without regard to case. Sums and averages of nothing are 0. A limit of 0 or less means none. Sort keys see
 projected fields only; strings sort without regard to case, nulls last, ties by the input's ordinal.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def predicate(df: DataFrame, field: str, op: str, value: Any) -> Column:
+def predicate(df: DataFrame, field: str, op: str | None, value: Any) -> Column:
     """The condition of one filter; a field that the table lacks is null."""
+    op = (op or "").lower()
     types = {f.name: f.dataType for f in df.schema}
     col = F.col(f"`{field}`") if field in types else F.lit(None).cast("string")
     kind = types.get(field, T.StringType())
@@ -53,13 +54,13 @@ def predicate(df: DataFrame, field: str, op: str, value: Any) -> Column:
 
 
 def filtered(df: DataFrame, filters: list[dict] | None) -> DataFrame:
-    conditions = [predicate(df, f["field"], f.get("op", "="), f.get("value")) for f in filters or ()]
+    conditions = [predicate(df, f.get("field") or "", f.get("op"), f.get("value")) for f in filters or ()]
     return df.where(reduce(and_, conditions)) if conditions else df
 
 
 def _aggregate(df: DataFrame, spec: dict) -> Column:
-    func, field = spec.get("func", ""), spec.get("field", "*")
-    name = spec.get("as_") or spec.get("as") or f"{func}_{field}".strip("_")
+    func, field = (spec.get("func") or "").lower(), spec.get("field") or "*"
+    name = spec.get("as_") or spec.get("as") or f"{spec.get('func', '')}_{spec.get('field', '')}".strip("_")
     kind = {f.name: f.dataType for f in df.schema}.get(field)
     col = F.col(f"`{field}`") if kind is not None else F.lit(None).cast("double")
     if isinstance(kind, T.BooleanType):

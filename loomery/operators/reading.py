@@ -21,11 +21,15 @@ def _heads(docs: DataFrame, heading: str) -> DataFrame:
     title = F.regexp_extract("part", f"^({heading}[^\\n]*)", 1)
     before = F.lag("part").over(in_order)
     new_line = before.isNull() | F.contains(before, F.lit("\n")) | ~before.rlike(f"^{heading}")
-    rows = parts.withColumns({"start": start, "head": title, "new_line": new_line}).where("head <> '' and new_line")
-    # the whole line, of which a split may have left a part behind
-    line = F.regexp_extract(F.substring(F.col("text"), F.col("start") + 1, F.length("text")), "^([^\\n]*)", 1)
-    whole = docs.select(F.col("doc_id").alias("d"), "text")
-    return rows.join(whole, F.col("doc_id") == F.col("d")).select("doc_id", "start", F.btrim(line).alias("title"))
+    # a line may have been split at further headings: its pieces are the parts up to the first one with a line's end
+    ends = F.coalesce(F.sum(F.contains("part", F.lit("\n")).cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    piece = F.struct("i", F.regexp_extract("part", "^([^\\n]*)", 1).alias("piece"))
+    lined = parts.withColumns({"start": start, "head": title, "new_line": new_line, "line": ends})
+    rows = lined.where("head <> '' and new_line").select("doc_id", "i", "start", "line")
+    whole = lined.groupBy(F.col("doc_id").alias("d"), F.col("line").alias("l")).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))  # a line's own
+    met = rows.join(whole, (F.col("doc_id") == F.col("d")) & (F.col("line") == F.col("l")))
+    text = F.array_join(F.transform(F.filter("pieces", lambda x: x["i"] >= F.col("i")), lambda x: x["piece"]), "")
+    return met.select("doc_id", "start", F.btrim(text).alias("title"))
 
 
 def structured(docs: DataFrame, chapter: str = CHAPTER, section: str = SECTION) -> DataFrame:
@@ -103,6 +107,16 @@ def joined_contents(docs: DataFrame, most: int = 10_000) -> Column:
     return F.left(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n"), F.lit(most))
 
 
+def contents_of(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """(key, text): titles and texts of rows (key, ordinal, title, text), one below the other, cut at a length. What is behind the length is
+    left out before anything is gathered, so that a key's row is never longer."""
+    shown = rows.select(key, "ordinal", F.concat_ws("\n", "title", "text").alias("t"))
+    before = F.coalesce(F.sum(F.length("t") + 2).over(W.partitionBy(key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = shown.withColumn("before", before).where(F.col("before") < most + 2).withColumn("t", F.left("t", F.lit(most)))
+    items = F.array_sort(F.collect_list(F.struct("ordinal", "t")))
+    return near.groupBy(key).agg(F.left(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n"), F.lit(most)).alias("text"))
+
+
 def first_sentence(articles: DataFrame, patterns: tuple[str, ...], text: str = "text") -> DataFrame:
     """(doc_id, article_id, sentence): of each document the first article that has a sentence with one of the patterns."""
     from loomery.functions.text import find_sentence

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.operators.merge import reasons_merge
+from loomery.operators.ranking import placed
 from loomery.operators.search import bm25, top
 
 # fixed values: words of questions about penalties, and the words searched for them
@@ -135,11 +136,6 @@ def dedupe_counts(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, title: str, id_col: str) -> DataFrame:
-    """rows with seq, their number in the order of lower-cased titles and ids: ranks among the titles with one first
-    character, and how many rows have an earlier first character. No window holds all rows."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    keyed = rows.withColumn("__c", F.left(low, F.lit(1)))
-    counts = keyed.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(F.col("__c").alias("__d"), (F.sum("__n").over(W.orderBy("__c")) - F.col("__n")).alias("__before"))  # a row per character
-    rank = F.row_number().over(W.partitionBy("__c").orderBy(low, id_col))
-    return keyed.withColumn("__r", rank).join(before, F.col("__c") == F.col("__d")).withColumn("seq", F.col("__before") + F.col("__r")).drop("__c", "__d", "__r", "__before")
+    """rows with seq, their number in the order of lower-cased titles and ids. Rows are dealt by range, so that no task has all that begin alike."""
+    keyed = rows.withColumn("__low", F.lower(F.coalesce(title, F.lit(""))))
+    return placed(keyed, ["__low", id_col], name="seq").drop("__low")

@@ -50,11 +50,18 @@ def preferred_type(types: Column) -> Column:
 
 
 def trace_summary(events: DataFrame, trace: str = "trace_id", seq: str = "seq", ts: str = "ts", event: str = "event", start: str = "trace_start", end: str = "trace_end") -> DataFrame:
-    """Per trace: number of events, first start, last end, and their distance if there are both."""
+    """Per trace: number of events, first start, last end, and their distance in milliseconds if there are both."""
     first = F.min(F.when(F.col(event) == start, F.struct(seq, ts)))
     last = F.max(F.when(F.col(event) == end, F.struct(seq, ts)))
     out = events.groupBy(trace).agg(F.count(F.lit(1)).alias("n_events"), first.alias("a"), last.alias("b"))
-    return out.select(trace, "n_events", F.col(f"a.{ts}").alias("started"), F.col(f"b.{ts}").alias("ended"))
+    started, ended = F.col(f"a.{ts}"), F.col(f"b.{ts}")
+    far = ended - started if dict(events.dtypes)[ts] in ("bigint", "int", "double") else F.floor((F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1000)
+    return out.select(trace, "n_events", started.alias("started"), ended.alias("ended"), far.alias("duration_ms"))
+
+
+def trace_page(summaries: DataFrame, updated: str, trace: str = "trace_id", limit: int = 50, offset: int = 0) -> DataFrame:
+    """The traces updated last, some of them skipped; ties by trace. A limit of 0 or less gives none."""
+    return summaries.orderBy(F.desc(updated), trace).offset(max(0, offset)).limit(max(0, limit))
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,6 +30,17 @@ def meta_null_filters(spark, sf_dir):
     return query_metadata(table(spark, sf_dir, "documents"), select=["doc_id"], filters=filters)
 
 
+@register("meta_any_case", """
+SELECT o_orderstatus, count(*)::BIGINT AS "COUNT", round(sum(o_totalprice), 2) AS "SUM_o_totalprice" FROM orders
+WHERE o_orderstatus IN ('F', 'O') AND contains(lower(o_orderpriority), 'medium') GROUP BY o_orderstatus""")
+def meta_any_case(spark, sf_dir):
+    """Operators and functions in capitals; a filter without an operator, and one with an unknown one, let all rows pass."""
+    filters = [{"field": "o_orderstatus", "op": "IN", "value": ["F", "O"]}, {"field": "o_orderpriority", "op": "Contains", "value": "MEDIUM"}, {"field": "o_orderkey", "value": 1}, {"field": "o_orderkey", "op": "like", "value": "x"}]
+    aggs = [{"func": "COUNT"}, {"func": "SUM", "field": "o_totalprice"}]
+    out = query_metadata(table(spark, sf_dir, "orders"), filters=filters, group_by=["o_orderstatus"], aggregates=aggs, ordinal="o_orderkey")
+    return out.withColumn("SUM_o_totalprice", F.round("SUM_o_totalprice", 2))
+
+
 @register("meta_group_agg", """
 SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS mean
 FROM orders GROUP BY ALL""")

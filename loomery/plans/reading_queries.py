@@ -85,5 +85,5 @@ WITH t AS (SELECT conv_id, string_agg(role || chr(10) || text, chr(10) || chr(10
 SELECT conv_id, length(left(t, 500))::BIGINT AS n, md5(left(t, 500)) AS digest FROM t""")
 def joined_contents(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.col("role").alias("title"), "text")
-    t = c.groupBy("conv_id").agg(R.joined_contents(c, 500).alias("t"))
+    t = R.contents_of(c, "conv_id", 500).withColumnRenamed("text", "t")
     return t.select("conv_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))

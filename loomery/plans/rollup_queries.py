@@ -75,7 +75,18 @@ def dup_group_counts(spark, sf_dir):
 @register("trace_summary", """
 SELECT user_id, count(*)::BIGINT AS n_events, arg_min(ts, event_id) FILTER (event_type = 'view') AS started, arg_max(ts, event_id) FILTER (event_type = 'purchase') AS ended FROM events GROUP BY user_id""")
 def trace_summary(spark, sf_dir):
-    return R.trace_summary(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", "event_type", "view", "purchase")
+    return R.trace_summary(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", "event_type", "view", "purchase").drop("duration_ms")
+
+
+@register("trace_page", """
+WITH s AS (SELECT user_id, max(ts) AS updated, arg_min(ts, event_id) FILTER (event_type = 'view') AS a, arg_max(ts, event_id) FILTER (event_type = 'purchase') AS b FROM events GROUP BY user_id)
+SELECT user_id, floor((epoch_us(b) - epoch_us(a)) / 1000.0)::BIGINT AS duration_ms FROM s ORDER BY updated DESC, user_id LIMIT 10 OFFSET 5""")
+def trace_page(spark, sf_dir):
+    """The second handful and more of the traces that were updated last, with how long they took."""
+    e = table(spark, sf_dir, "events")
+    s = R.trace_summary(e, "user_id", "event_id", "ts", "event_type", "view", "purchase")
+    updated = e.groupBy(F.col("user_id").alias("u")).agg(F.max("ts").alias("updated"))
+    return R.trace_page(s.join(updated, F.col("user_id") == F.col("u")), "updated", "user_id", 10, 5).select("user_id", "duration_ms")
 
 
 @register("event_types", "SELECT DISTINCT coalesce(event_type, 'event') AS event FROM events")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.functions import text as X
-from loomery.operators import packing
+from loomery.operators import packing, ranking
 from loomery.plans.registry import register
 from loomery.sources.tables import table
 
@@ -73,8 +72,8 @@ SELECT batch, count(*)::BIGINT AS n, min(doc_id) AS first_id, max(doc_id) AS las
 ) GROUP BY batch""")
 def chunk_fixed(spark, sf_dir):
     """Batches of 60 in each source."""
-    i = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "source", F.floor(i / 60).cast("string")).alias("batch"))
+    rows = ranking.fixed_batches(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 60)
+    d = rows.select("doc_id", F.concat_ws(":", "source", F.col("batch").cast("string")).alias("batch"))
     return d.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
