@@ -3,16 +3,18 @@
 Each source's target is its weight's share of all words, but at most `max_epochs` times what
 the source has; what the capped sources leave is shared by weight among the others until none
 is above its cap. A target is met by whole repetitions of the source and by a fraction of it:
-the documents are put in a seeded order, and those before a cut are taken once more. The cut
+the documents are put in a seeded order, and those before a cut are taken once more. The order is by a hash of
+seed, id and text, so that rows without an id, or of one id, are documents of their own. The cut
 is found exactly, in two steps that no hot source can overload: sums over 4096 slices of the
-order, then a running sum inside the one slice where the target is reached.
+order, then a running sum inside the one slice where the target is reached. Rows that are equal
+in id and text have one place in the order; if the cut falls among them, as many of them are taken as come
+nearest to the target, numbered by the partition that they are read in.
 
 Only one row per source reaches the driver (weights are given per source, so their number is
-taken to be small). Sums are combined in each task before the shuffle.
+taken to be small), and of a cut among equal rows one per partition that has them. Sums are combined in each task before the shuffle.
 
 Defined cases: null or empty texts have size 0 and add nothing; rows with a null source form
-one source, last in order; null ids are ordered like any other value; rows with equal ids are
-taken or left together; an empty table gives an empty result; the input's columns are kept,
+one source, last in order; null ids are ordered by their texts; an empty table gives an empty result; the input's columns are kept,
 except that the result's size, source_size, target, taken and epochs replace theirs.
 """
 
@@ -46,9 +48,9 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], max_epochs: float
     return targets
 
 
-def order_key(id_: Column, seed: int) -> Column:
+def order_key(id_: Column, text: Column, seed: int) -> Column:
     """60 bits that put documents into a seeded order."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), id_.cast("string")))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), id_.cast("string"), F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -59,10 +61,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     made = ("size", "source_size", "target", "taken", "epochs")
     key = fresh(docs, "order_key_")
     keep = [c for c in docs.columns if c.lower() not in made]
-    sized = docs.withColumn(key, order_key(F.col(f"`{id_col}`"), seed)).select(
+    sized = docs.withColumn(key, order_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed)).select(
         *[F.col(f"`{c}`") for c in keep], key, F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("size")
     )
-    units = written(sized.groupBy(F.col(f"`{source_col}`").alias("source"), F.col(key).alias("k")).agg(F.sum("size").alias("size")), "mix-units")
+    units = written(sized.groupBy(F.col(f"`{source_col}`").alias("source"), F.col(key).alias("k")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "mix-units")
 
     totals = sorted(units.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.source is None, r.source or ""))
     targets = water_fill([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], max_epochs)
@@ -81,20 +83,35 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     cut_at = sums.withColumn("before", upto - F.col("size")).where("before <= rest and rest < before + size").select(F.col("p_source").alias("c_source"), "slice", "before")
     inside = wanted.join(F.broadcast(cut_at), F.col("p_source").eqNullSafe(F.col("c_source")) & (slice_ == F.col("slice")))
     run = F.col("before") + F.sum("size").over(W.partitionBy("p_source").orderBy("k"))
-    # taking one unit more counts if that comes nearer to the target
-    short = inside.select("p_source", "k", (run - F.col("size") / 2).alias("middle"), "rest", "slice").where("middle <= rest")
-    cuts = {r["p_source"]: r["k"] for r in short.groupBy("p_source").agg(F.max("k").alias("k")).collect()}
-    floors = {r["c_source"]: (r["slice"] << (60 - _SLICES)) - 1 for r in cut_at.collect()}
+    # of the equal rows in which the target is reached, as many as come nearest to it
+    reached = inside.select("p_source", "k", "rows", "size", "rest", (run - F.col("size")).alias("at")).where("at <= rest and rest < at + size")
+    cuts = {r["p_source"]: (r["k"], r["rows"], int((r["rest"] - r["at"]) * r["rows"] / r["size"] + 0.5)) for r in reached.collect()}
     forget(units)
-    rows = [(s, n, t, whole, cuts.get(s, floors.get(s, -1)) if rest > 0 else -1) for s, n, t, whole, rest in plan]
-    p_source, whole, cut = (fresh(sized, x) for x in ("plan_source_", "whole_", "cut_"))
-    cut_plan = F.broadcast(spark.createDataFrame(rows, f"{p_source} {kind}, source_size long, target double, {whole} long, {cut} long"))
-
-    epochs = F.col(whole) + F.when(F.col(key) <= F.col(cut), 1).otherwise(0)
+    rows = [(s, n, t, whole, *(cuts.get(s, (-1, 0, 0)) if rest > 0 else (-1, 0, 0))) for s, n, t, whole, rest in plan]
+    p_source, whole, cut, equal, first = (fresh(sized, x) for x in ("plan_source_", "whole_", "cut_", "equal_", "first_"))
+    cut_plan = F.broadcast(spark.createDataFrame(rows, f"{p_source} {kind}, source_size long, target double, {whole} long, {cut} long, {equal} long, {first} long"))
     out = sized.join(cut_plan, F.col(f"`{source_col}`").eqNullSafe(F.col(p_source)))
+    more = F.when((F.col(key) < F.col(cut)) | ((F.col(key) == F.col(cut)) & (F.col(first) >= F.col(equal))), 1).otherwise(0)
+    if any(0 < j < m for *_, m, j in rows):
+        out, more = _numbered_at_cut(out, key, p_source, cut, first, more)
+    epochs = F.col(whole) + more
     return out.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
 
 
+def _numbered_at_cut(out: DataFrame, key: str, source: str, cut: str, first: str, more: Column) -> tuple[DataFrame, Column]:
+    """Equal rows at a cut are numbered: within the partition that they are read in, behind those of partitions before."""
+    part, place, before = (fresh(out, x) for x in ("part_", "place_at_cut_", "before_"))
+    edge = out.where(F.col(key) == F.col(cut)).withColumn(part, F.spark_partition_id())
+    counts = edge.groupBy(F.col(source).alias("e_source"), F.col(part).alias("e_part")).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.withColumn(before, F.sum("n").over(W.partitionBy("e_source").orderBy("e_part")) - F.col("n"))  # a row per partition
+    local = edge.withColumn(place, F.row_number().over(W.partitionBy(source, part).orderBy(key)))
+    met = local.join(F.broadcast(starts), F.col(source).eqNullSafe(F.col("e_source")) & (F.col(part) == F.col("e_part")))
+    taken = F.when(F.col(place) + F.col(before) <= F.col(first), 1).otherwise(0)
+    name = fresh(out, "more_")
+    both = out.where(F.col(key) != F.col(cut)).withColumn(name, more).unionByName(met.withColumn(name, taken).select(*[F.col(f"`{c}`") for c in out.columns], name))
+    return both, F.col(name)
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the input's columns, each row as many times as it is taken."""
     out = mix_sources(docs, **options)
@@ -111,7 +128,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('7:' || doc_id::VARCHAR), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(concat_ws(':', '7', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS k, row_number() OVER () AS j0
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source
@@ -133,11 +150,11 @@ WITH d AS (
   SELECT *, CASE WHEN n = 0 THEN 0 ELSE floor(target / n)::BIGINT END AS whole FROM t
 ), e AS (
   SELECT d.*, n, target, whole, target - whole * n AS rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY k) - size / 2.0 AS middle
+         sum(size) OVER (PARTITION BY d.source ORDER BY k, j0) - size / 2.0 AS middle
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 ), x AS (
   SELECT source AS cut_source, max(k) FILTER (middle <= rest AND rest > 0) AS cut FROM e GROUP BY source
 )
-SELECT doc_id, size, n AS source_size, target, size * (whole + CASE WHEN k <= coalesce(cut, -1) THEN 1 ELSE 0 END)::BIGINT AS taken
+SELECT doc_id, size, n AS source_size, target, size * (whole + CASE WHEN k < coalesce(cut, -1) OR (k = cut AND middle <= rest) THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM e JOIN x ON e.source IS NOT DISTINCT FROM x.cut_source
 """

@@ -121,3 +121,20 @@ def test_a_capped_source_gives_no_fourth_epoch(spark):
     df = spark.createDataFrame([(i, "" if i % 3 == 0 else "w " * 10, "a" if i < 30 else "b") for i in range(300)], "doc_id long, text string, source string")
     got = source_mix.mix_sources(df, weights=(9, 1)).toPandas()
     assert got[got.source == "a"].epochs.max() == 3
+
+
+def test_rows_without_ids_and_equal_rows_are_documents_of_their_own(spark):
+    """A third of the ids is null, one row is there 200 times, one id has many texts: targets are met to half a document, and again alike."""
+    table = [(None, f"w{i} " * 20, "a") for i in range(300)] + [(i, "v " * 20, "a") for i in range(100)]
+    table += [(None, "copy " * 30, "b")] * 200 + [(5, f"x{i} " * 10, "b") for i in range(60)] + [(7, "y " * 40, None)] * 90 + [(i, "z", None) for i in range(50)]
+    taken = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(parts)
+        got = source_mix.mix_sources(df, weights=(1, 4, 2)).toPandas()
+        assert len(got) == len(table) and (got.taken <= 3 * got["size"]).all()
+        for _, g in got.groupby(got.source.fillna("?")):
+            assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1e-6
+        taken.append(sorted(map(repr, got[["doc_id", "text", "source", "taken"]].fillna("-").values.tolist())))
+        assert source_mix.mixed(df, weights=(1, 4, 2)).count() == got.epochs.sum()
+    assert taken[0] == taken[1]
+    assert ((got.groupby(got.source.fillna("?")).taken.nunique()) >= 2).any()
