@@ -5,7 +5,9 @@ match that the language's sample holds. A text is parsed greedily into such matc
 that needs the fewest phrases, normalised by the bits that one phrase costs and by the
 text's length, wins. All texts of a batch step through all automata at once, as lanes of
 arrays. A lane is a block of a text; where a phrase goes over the end of its block, the next block is
-gone through again from there, so that the phrases are those of the whole text.
+gone through again from there, so that the phrases are those of the whole text. While the automata's states times the letters of all
+samples are few, their steps are one dense table. With scripts of thousands of letters they are a hashed table of edges, whose size is
+that of the edges alone.
 
 The sample that is learnt is bounded: at most `train_chars` characters for each language,
 in windows of at most `window` characters at a seeded place of some `train_docs` seeded
@@ -70,33 +72,83 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 
 class CrossParser:
-    """The automata of all languages as one table of steps, for arrays of states."""
+    """The automata of all languages as one table of steps, for arrays of states. A step that isn't there ends a phrase (a negative entry) and
+    starts at the root."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense: int = 32 << 20):
         self.languages = sorted(samples)
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.languages])
         letters = sorted(set("".join(samples.values())))
-        self.width = width = len(letters) + 1  # code 0: a character that no sample has
-        self.code = np.zeros(0x110000, dtype=np.int16)
+        width = len(letters) + 1  # code 0: a character that no sample has
+        self.code = np.zeros(0x110000, dtype=np.int32)
         for i, c in enumerate(letters, 1):
             self.code[ord(c)] = i
+        steps = [[{int(self.code[ord(c)]): to for c, to in out.items()} for out in suffix_automaton(samples[x])] for x in self.languages]
+        self.owner = None
+        if sum(map(len, steps)) * width <= dense:
+            self._dense(steps, width)
+        else:
+            self._sparse(steps, width)
+
+    def _dense(self, steps: list[list[dict[int, int]]], width: int) -> None:
         tables, self.roots, at = [], [], 0
-        for x in self.languages:
-            step = suffix_automaton(samples[x])
-            # a step that isn't there ends a phrase (a negative entry) and starts at the root
+        for step in steps:
             table = np.zeros((len(step), width), dtype=np.int32)
             root = np.full(width, at, dtype=np.int32)
             for c, to in step[0].items():
-                root[self.code[ord(c)]] = at + to * width
+                root[c] = at + to * width
             table[:] = ~root
             for s, out in enumerate(step):
                 for c, to in out.items():
-                    table[s, self.code[ord(c)]] = at + to * width
+                    table[s, c] = at + to * width
             tables.append(table.ravel())
             self.roots.append(at)
             at += table.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
+    def _sparse(self, steps: list[list[dict[int, int]]], width: int) -> None:
+        """Edges in a table by hash of state and code, at most half full; states are numbered through."""
+        self.width, self.roots, keys, values, at = width, [], [], [], 0
+        self.end = np.empty((len(steps), width), dtype=np.int32)
+        for k, step in enumerate(steps):
+            keys += [(at + s) * width + c for s, out in enumerate(step) for c in out]
+            values += [at + to for out in step for to in out.values()]
+            self.end[k] = ~at
+            for c, to in step[0].items():
+                self.end[k, c] = ~(at + to)
+            self.roots.append(at)
+            at += len(step)
+        self.shift = 63 - int(max(1, len(keys))).bit_length()
+        self.owner = np.full(1 << (64 - self.shift), -1, dtype=np.int64)
+        self.table = np.zeros(len(self.owner), dtype=np.int32)
+        left, to = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int32)
+        cell = self._cell(left)
+        while len(left):  # those that find their cell free, one for each, and the others one cell further
+            cell, first = (x[np.argsort(cell, kind="stable")] for x in (cell, np.arange(len(left))))
+            left, to = left[first], to[first]
+            put = (self.owner[cell] < 0) & np.concatenate([[True], cell[1:] != cell[:-1]])
+            self.owner[cell[put]], self.table[cell[put]] = left[put], to[put]
+            left, to, cell = left[~put], to[~put], (cell[~put] + 1) & (len(self.owner) - 1)
+
+    def _cell(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def step(self, lang: int | np.ndarray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.owner is None:
+            return self.table[state + code]
+        key = state.astype(np.int64) * self.width + code
+        cell = self._cell(key)
+        held = self.owner[cell]
+        out = np.where(held == key, self.table[cell], self.end[lang, code])
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):  # another edge's cell: look into the next one
+            cell[on] = (cell[on] + 1) & (len(self.owner) - 1)
+            held = self.owner[cell[on]]
+            right = on[held == key[on]]
+            out[right] = self.table[cell[right]]
+            on = on[(held != key[on]) & (held >= 0)]
+        return out
+
     def _parse(self, grid: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many phrases end in each lane (a column of codes) and the state behind it, by language, from the roots."""
         state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(lengths), axis=1)
@@ -104,7 +156,7 @@ class CrossParser:
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         for t, n in enumerate(active.tolist()):
             for k in range(len(self.languages)):
-                to = self.table[state[k, :n] + grid[t, :n]]
+                to = self.step(k, state[k, :n], grid[t, :n])
                 ends = to >> 31  # all bits of a step that ended a phrase
                 count[k, :n] -= ends
                 state[k, :n] = to ^ ends
@@ -149,7 +201,7 @@ class CrossParser:
                 left[lang[over], lane[over]] = real[over]
                 go = apart & ~over
                 lane, lang = lane[go], lang[go]
-                to, true = self.table[guess[go] + grid[t, lane]] if len(lane) else guess[go], self.table[real[go] + grid[t, lane]] if len(lane) else real[go]
+                to, true = (self.step(lang, x[go], grid[t, lane]) if len(lane) else x[go] for x in (guess, real))
                 np.add.at(more, (lang, lane), (to >> 31) - (true >> 31))
                 guess, real, t = to ^ (to >> 31), true ^ (true >> 31), t + 1
             lang, lane = done
