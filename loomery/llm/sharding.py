@@ -1,17 +1,17 @@
 """Uniform shuffling into shards of exact sizes by a hypergeometric communication matrix.
 
-The driver knows how many rows each input partition has and how many each shard shall get. It
-draws how many rows go from each partition to each shard: the rows of the matrix are
-multivariate hypergeometric, given what the shards have left, so that the whole is distributed
-as in a uniform random permutation while every count is exact. Each partition permutes its
+How many rows go from each input partition to each shard is drawn so that the whole is distributed
+as in a uniform random permutation while every count is exact. The matrix is nowhere as a whole: the shards' places are
+split down a binary tree over the partitions, at each node by multivariate hypergeometric draws that the node's own
+number seeds, so that a task finds its row of the matrix by itself, in as many steps as the tree is deep. Each partition permutes its
 own rows and deals them out by its counts (only row numbers go through Python, not texts);
 one exchange moves the rows; inside its shard each row then gets a place by a second
 permutation. Shards may be larger than a task: the second order is cut into slices, and a
 place is the slice's offset plus the rank inside the slice.
 
-Only counts (partitions x shards) reach the driver. The partitions of the
+What reaches the driver and is sent to the tasks is one number for each partition; more than `MOST_PARTITIONS` raise. The partitions of the
 input have to be the same when it is read twice, as those of a table are; a task finds out if
-they aren't and fails. A lost task deals the same rows again, as everything is seeded.
+it has more or fewer rows than were counted and fails. A lost task deals the same rows again, as everything is seeded.
 
 Defined cases: null texts have no bytes; null or repeated ids are rows like others; an empty
 table gives an empty result; the input's columns are kept, and shard and slot replace any
@@ -36,20 +36,35 @@ def shard_sizes(n_rows: int, n_shards: int) -> list[int]:
     return [n_rows // n_shards + (i < n_rows % n_shards) for i in range(n_shards)]
 
 
+#: 8 bytes of each are sent: 80 MB.
+MOST_PARTITIONS = 10_000_000
+
+
+def matrix_row(upto: np.ndarray, partition: int, sizes: list[int], seed: int) -> np.ndarray:
+    """How many rows go from one partition to each shard. upto has the rows of all partitions before each, and of all at its end. Every task that comes
+    through a node of the tree draws the same there."""
+    places = np.array(sizes, dtype=np.int64)
+    low, high = 0, len(upto) - 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        todo, pool = int(upto[middle] - upto[low]), int(places.sum())
+        left = np.zeros_like(places)
+        for j in range(len(places)):  # conditional draws: exact at any size
+            pool -= int(places[j])
+            left[j] = _hypergeometric(rng, int(places[j]), pool, todo)
+            todo -= int(left[j])
+        if partition < middle:
+            places, high = left, middle
+        else:
+            places, low = places - left, middle
+    return places
+
+
 def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int) -> np.ndarray:
-    """How many rows go from each partition to each shard, drawn as for a uniform permutation."""
-    left = np.array(sizes, dtype=np.int64)
-    rng = np.random.default_rng(seed)
-    out = np.zeros((len(partition_rows), len(sizes)), dtype=np.int64)
-    for i, n in enumerate(partition_rows):
-        todo, pool = n, int(left.sum())
-        for j in range(len(sizes)):  # conditional draws: exact at any size
-            pool -= int(left[j])
-            take = _hypergeometric(rng, int(left[j]), pool, todo)
-            out[i, j] = take
-            todo -= take
-        left -= out[i]
-    return out
+    """All rows of the matrix, for small numbers of partitions."""
+    upto = np.concatenate([[0], np.cumsum(np.array(partition_rows, dtype=np.int64))])
+    return np.array([matrix_row(upto, i, sizes, seed) for i in range(len(partition_rows))])
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -82,33 +97,50 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 11, slices: int | None = N
     counts = dict(docs.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
     parts = sorted(counts)
     slices = slices or max(64, (sum(counts.values()) // n_shards) >> 20)
-    matrix = communication_matrix([counts[p] for p in parts], shard_sizes(sum(counts.values()), n_shards), seed)
-    rows = docs.sparkSession.sparkContext.broadcast({p: matrix[i] for i, p in enumerate(parts)})
+    if len(parts) > MOST_PARTITIONS:
+        raise ValueError(f"{len(parts)} partitions: one number for each is sent to all tasks")
+    sizes = shard_sizes(sum(counts.values()), n_shards)
+    upto = np.concatenate([[0], np.cumsum(np.array([counts[p] for p in parts], dtype=np.int64))])
+    known = docs.sparkSession.sparkContext.broadcast((np.array(parts, dtype=np.int64), upto))
 
     @F.pandas_udf("struct<shard int, key long>")
     def deal(places: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parts, upto = known.value
         dealt: dict[int, np.ndarray] = {}
+        seen = 0
+
+        def complete() -> None:
+            for p, deals in dealt.items():
+                if seen != len(deals):
+                    raise ValueError(f"partition {p} has {seen} rows, but {len(deals)} were counted")
+
         for at in places:
             at = at.to_numpy()
             shards = np.empty(len(at), dtype=np.int32)
             for p in np.unique(at >> 33):
                 if p not in dealt:
-                    dealt = {p: np.random.default_rng([seed, int(p)]).permutation(np.repeat(np.arange(n_shards, dtype=np.int32), rows.value[int(p)]))}
+                    complete()
+                    i = int(np.searchsorted(parts, p))
+                    row = matrix_row(upto, i, sizes, seed) if i < len(parts) and parts[i] == p else np.zeros(n_shards, np.int64)
+                    dealt, seen = {p: np.random.default_rng([seed, int(p)]).permutation(np.repeat(np.arange(n_shards, dtype=np.int32), row))}, 0
                 mine = at >> 33 == p
+                seen += int(mine.sum())
                 shards[mine] = dealt[p][at[mine] & (1 << 33) - 1]  # fails if the partition has more rows than were counted
             mixed = at.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
             for k, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
                 mixed = (mixed ^ (mixed >> np.uint64(k))) * np.uint64(m)
             yield pd.DataFrame({"shard": shards, "key": (mixed >> np.uint64(1)).astype(np.int64)})
+        complete()
 
     dealt = numbered.withColumn(key, deal(F.col(place)))
-    dealt = dealt.select(*[F.col(f"`{c}`") for c in keep], F.col(key)["shard"].alias("shard"), F.col(key)["key"].alias(key))
+    dealt = dealt.select(*[F.col(f"`{c}`") for c in keep], F.col(key)["shard"].alias("shard"), F.col(key)["key"].alias(key), place)
     dealt = dealt.withColumn(slice_, F.pmod(F.shiftright(F.col(key), 40), F.lit(slices)).cast("int"))
     to_shard, at, first = (fresh(dealt, x) for x in ("to_shard_", "at_", "start_"))
     light = numbered.select(deal(F.col(place)).alias("d")).select(F.col("d.shard").alias(to_shard), F.pmod(F.shiftright("d.key", 40), F.lit(slices)).cast("int").alias(at))
     sizes = light.groupBy(to_shard, at).agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select(to_shard, at, (F.sum("n").over(W.partitionBy(to_shard).orderBy(at)) - F.col("n")).alias(first))
-    rank = F.row_number().over(W.partitionBy("shard", slice_).orderBy(key)) - 1
+    # a bit of a place's mixture is dropped to make it a number above 0, so that two may be equal
+    rank = F.row_number().over(W.partitionBy("shard", slice_).orderBy(key, place)) - 1
     ranked = dealt.withColumn(key, rank)
     out = ranked.join(starts, (F.col("shard") == F.col(to_shard)) & (F.col(slice_) == F.col(at)))
     return out.select(*[F.col(f"`{c}`") for c in keep], "shard", (F.col(first) + F.col(key)).alias("slot"))

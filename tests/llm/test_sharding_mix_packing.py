@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -138,3 +139,45 @@ def test_rows_without_ids_and_equal_rows_are_documents_of_their_own(spark):
         assert source_mix.mixed(df, weights=(1, 4, 2)).count() == got.epochs.sum()
     assert taken[0] == taken[1]
     assert ((got.groupby(got.source.fillna("?")).taken.nunique()) >= 2).any()
+
+
+def test_rows_of_the_matrix_are_drawn_alone_and_follow_the_law():
+    """Each row by itself is that of the whole matrix; over seeds, counts have the moments of a uniform permutation's, and all partitions are alike."""
+    counts, sizes = [30, 0, 50, 7, 13, 20], sharding.shard_sizes(120, 5)
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    draws = np.array([sharding.communication_matrix(counts, sizes, seed) for seed in range(3000)])
+    assert (draws.sum(axis=2) == counts).all() and (draws.sum(axis=1) == sizes).all()
+    assert (sharding.matrix_row(upto, 4, sizes, 17) == draws[17][4]).all()
+    n, good = np.array(counts)[:, None], np.array(sizes)[None]
+    mean = n * good / 120
+    var = mean * (1 - good / 120) * (120 - n) / 119
+    assert np.allclose(draws.mean(axis=0), mean, atol=0.15) and np.allclose(draws.var(axis=0), var, rtol=0.15, atol=0.02)
+    # chi-square of one cell against the hypergeometric law
+    from math import comb
+
+    law = np.array([comb(24, k) * comb(96, 20 - k) / comb(120, 20) for k in range(21)])
+    seen = np.bincount(draws[:, 5, 2], minlength=21)
+    some = law * 3000 > 5
+    assert ((seen - 3000 * law)[some] ** 2 / (3000 * law)[some]).sum() < 2.5 * some.sum()
+
+
+def test_slots_are_uniform(spark):
+    """Over seeds, the place of one row is uniform over shards and slots: chi-square."""
+    df = spark.range(0, 24, 1, 3).withColumnRenamed("id", "doc_id")
+    seen = np.zeros((4, 6))
+    for seed in range(24):
+        for r in sharding.shard(df, 4, seed=seed).where("doc_id in (0, 9, 23)").collect():
+            seen[r["shard"], r["slot"]] += 1
+    assert ((seen - 3) ** 2 / 3).sum() < 60  # 23 degrees of freedom
+
+
+def test_partitions_that_change_are_found_out(spark, tmp_path):
+    spark.range(0, 100, 1, 2).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    fewer = df.where("id % 2 = 0 or rand() < 2")
+    assert sharding.shard(fewer, 3).count() == 100
+    import random
+
+    flip = F.udf(lambda x: random.random() < 0.5, "boolean").asNondeterministic()
+    with pytest.raises(Exception, match="counted|out of bounds"):
+        sharding.shard(df.where(flip("id")), 3).collect()
