@@ -350,10 +350,11 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     if chosen is None:
         slim = slim.withColumn(other, F.lit(None).cast("array<struct<mark:binary,attempt:int>>"))
     else:
-        rows = docs.select(F.col(f"`{id_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
+        # by the hash of the text: of a hash there are as many choices as its texts have entities, whatever the ids are
+        rows = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
         row = fresh(slim, "row_")
         mine = _marks(rows, key).join(chosen, "mark").groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("mark", "attempt")).alias(other))
-        slim = slim.join(mine, F.col(f"`{id_col}`").eqNullSafe(F.col(row)), "left").drop(row)
+        slim = slim.join(mine, F.xxhash64(F.col(text)) == F.col(row), "left").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)

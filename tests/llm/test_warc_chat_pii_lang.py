@@ -4,6 +4,7 @@ import hashlib
 import io
 import os
 import random
+import time
 import re
 
 import pytest
@@ -209,6 +210,32 @@ def test_phrases_equal_greedy_parsing():
         assert got == count
 
 
+def test_sparse_tables_step_like_dense_ones():
+    rng = random.Random(7)
+    samples = {x: "".join(rng.choice(letters) for _ in range(2000)) for x, letters in (("a", "abc "), ("b", "abdefghij "), ("c", "xyzäöü "), ("d", "q"))}
+    dense, sparse = language_id.CrossParser(samples), language_id.CrossParser(samples, dense=0)
+    assert dense.owner is None and sparse.owner is not None
+    texts = ["".join(rng.choice("abcdefxyzqä ") for _ in range(n)) for n in (1, 30, 3000)] + ["a" * 3000, "", "q" * 2500, samples["b"] * 3, "漢"]
+    assert (dense.phrases(texts) == sparse.phrases(texts)).all()
+
+
+def test_scripts_of_thousands_of_letters_take_little_memory():
+    """Samples of full size of Chinese, Japanese, Korean and English: the tables are a fraction of what a dense one would be, and tell the
+    languages apart."""
+    rng = random.Random(3)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(3000)], "ja": [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + 3 * i) for i in range(900)], "ko": [chr(0xAC00 + 7 * i) for i in range(1500)], "en": list("abcdefghijklmnopqrstuvwxyz")}
+    words = {x: ["".join(rng.choices(letters, k=rng.randrange(1, 4))) for _ in range(4000)] for x, letters in scripts.items()}
+    text = lambda x, n: " ".join(rng.choices(words[x], weights=[1 / (i + 1) for i in range(4000)], k=n))
+    samples = {x: text(x, 20_000)[:40_000] for x in scripts}
+    began = time.time()
+    parser = language_id.CrossParser(samples)
+    assert time.time() - began < 60 and parser.owner is not None
+    held = sum(a.nbytes for a in (parser.table, parser.owner, parser.end, parser.code))
+    assert held < 60 << 20  # four workers below 250 MB
+    names, scores = parser.predict([text(x, 60) for x in scripts for _ in range(5)] + ["漢字", "", None])
+    assert names[:20] == [x for x in scripts for _ in range(5)] and names[21:] == ["und", "und"] and (scores[:20] > 0.1).all()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -217,6 +244,21 @@ def test_held_out_accuracy(spark):
     assert n > 150 and right >= 0.97 * n
 
 
+def test_documents_without_ids_keep_their_own_choices(spark):
+    """Most rows have no id, and formats so dense that entities need further candidates: no row gathers another's choices."""
+    table = [(None if i % 3 else i, f"call {i % 10}{i // 10 % 10}-{i // 100 % 10}55-01{i % 7}{i % 9}, host 10.0.0.{i % 250}; mail a{i % 26}@b{i % 10}.org") for i in range(600)] + [(None, "no data")] * 50 + [(None, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = pii.replace_pii(df, b"k")
+    rows = got.collect()
+    assert len(rows) == len(table) and sum(r["clean_text"] is None for r in rows) == 1
+    with_ids = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(table)], "doc_id long, text string")
+    assert sorted(r["clean_text"] or "" for r in rows) == sorted(r["clean_text"] or "" for r in pii.replace_pii(with_ids, b"k").collect())
+    chosen = pii.choices(df.select("text"), b"k")
+    if chosen is not None:
+        marks = pii._marks(df.where("text is not null").select(F.xxhash64("text").alias("row"), "text"), b"k").join(chosen, "mark")
+        assert marks.groupBy("row").agg(F.countDistinct("mark").alias("n")).agg(F.max("n")).first()[0] <= 3
+
+
 def test_columns_with_names_of_their_own(spark):
     """Names that the operators use themselves, of the wrong type."""
     names = ("row", "row_", "mark", "choices_", "text_", "clean_text", "html_", "best", "digest", "conv", "msg", "seq", "kind", "part", "way", "n", "id", "key")
