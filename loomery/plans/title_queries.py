@@ -13,17 +13,22 @@ from loomery.sources.tables import table
 _WORDS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-def titles_and_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Titles are the first eight words of every document. Each document asks for a title: its own, a part of it, one with more words than any
-    title has, or its own with other vowels."""
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f]+", " "), " "), lambda w: w != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("doc_id is not null")
-    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    entries = rows.select(F.col("doc_id").alias("entry"), part(1, 8).alias("title"), F.col("doc_id").alias("ordinal"))
-    asked = (
-        F.when(F.col("doc_id") % 4 == 0, part(1, 8)).when(F.col("doc_id") % 4 == 1, part(2, 4)).when(F.col("doc_id") % 4 == 2, part(1, 11))
-        .otherwise(F.translate(part(1, 8), "ao", "oa"))
-    )
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("doc_id is not null")
+
+
+def titles_and_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Titles have a Chinese character for each of the first 16 words of every document. Each document asks for a title: its own, a part of it, one with more
+    than any title has, or its own with three characters changed."""
+    alphabet = F.lit("".join(chr(0x4E00 + i) for i in range(2000)))
+    sign = lambda w: F.substring(alphabet, (F.conv(F.substring(F.md5(w), 1, 5), 16, 10).cast("int") % 2000) + 1, F.lit(1))
+    rows = _words(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.slice("w", 1, 20), sign), "").alias("t"))
+    part = lambda a, n: F.substring("t", a, n)
+    entries = rows.select(F.col("doc_id").alias("entry"), part(1, 16).alias("title"), F.col("doc_id").alias("ordinal"))
+    kind = F.col("doc_id") % 4
+    changed = F.concat(part(1, 3), F.lit("龘"), part(5, 4), F.lit("龘"), part(10, 3), F.lit("龘"), part(14, 3))
+    asked = F.when(kind == 0, part(1, 16)).when(kind == 1, part(3, 9)).when(kind == 2, part(1, 20)).otherwise(changed)
     return entries, rows.select(F.col("doc_id").alias("ref"), asked.alias("title"))
 
 
@@ -33,9 +38,8 @@ k AS (SELECT DISTINCT trim(array_to_string(w[1:8], ' ')) AS title FROM w), r AS
 SELECT asked, title FROM r, k WHERE asked <> '' AND title <> '' AND (contains(title, asked) OR contains(asked, title))""")
 def title_containment(spark, sf_dir):
     """Titles that are inside of what is asked for, or around it."""
-    entries, _ = titles_and_requests(spark, sf_dir)
-    w = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f]+", " "), " "), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").where("doc_id is not null").select(w.alias("w"))
+    rows = _words(spark, sf_dir)
+    entries = rows.select(F.array_join(F.slice("w", 1, 8), " ").alias("title"))
     asked = rows.select(F.explode(F.array(F.array_join(F.slice("w", 2, 4), " "), F.array_join(F.slice("w", 1, 11), " "))).alias("x")).where("x <> ''").distinct()
     known = entries.select("title").where("title <> ''").distinct()
     inside = T.contained(asked.withColumnRenamed("x", "needle"), known.withColumnRenamed("title", "text")).select(F.col("needle").alias("asked"), F.col("text").alias("title"))
