@@ -56,10 +56,9 @@ def chinese(n: Column) -> Column:
     return F.when(n == 0, "零").otherwise(F.concat(*parts))
 
 
-def same_number(shown: Column, n: Column) -> Column:
-    """Whether a number in a text, without its spaces, is a way to write n."""
-    bare = F.regexp_replace(shown, "\\s", "")
-    return (bare == n.cast("string")) | (bare == chinese(n)) | ((n == 2) & bare.isin("两", "俩"))
+def ways(n: Column) -> Column:
+    """The ways to write n, without spaces."""
+    return F.array_compact(F.array(n.cast("string"), chinese(n), F.when(n == 2, "两"), F.when(n == 2, "俩")))
 
 
 def final_line(plain: Column) -> Column:

@@ -41,28 +41,30 @@ def find_clauses(docs: DataFrame, references: DataFrame) -> DataFrame:
 
 def _answers(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """Of distinct questions (ref, doc_id, article, paragraph, unit, item) in docs, as find_clauses."""
-    lines = clause_lines(docs.where("text is not null")).join(asked.where("article is not null"), "doc_id")
+    # what a line shows is read once, however many questions its document has
+    wanted = docs.where("text is not null").join(asked.where("article is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    bare = lambda c: F.regexp_replace(c, "\\s", "")
+    shown = {f"n_{unit}": bare(_starts(unit)[0]) for unit in "条款段"} | {f"is_{unit}": _starts(unit)[1] for unit in "条款段"}
+    shown |= {"n_bullet": bare(F.regexp_extract("plain", f"^((?:{C.NUMBER}\\s*)+){C.MARKS}", 1)), "is_bullet": F.col("plain").rlike(f"^{C.NUMBER}+\\s*{C.MARKS}"), "is_final": C.final_line(F.col("plain"))}
+    questions = asked.where("article is not null").select("*", C.ways(F.col("article")).alias("articles"), F.when(F.col("paragraph").isNotNull(), C.ways(F.col("paragraph"))).alias("paragraphs"))
+    lines = clause_lines(wanted).withColumns(shown).drop("plain").join(questions, "doc_id")
     one = W.partitionBy("ref")
     place = F.col("line")
 
     def first(when: Column) -> Column:
         return F.min(F.when(when, place)).over(one)
 
-    number, is_article = _starts("条")
-    bullet = F.regexp_extract("plain", f"^((?:{C.NUMBER}\\s*)+){C.MARKS}", 1)
-    is_bullet = F.col("plain").rlike(f"^{C.NUMBER}+\\s*{C.MARKS}")
-    lines = lines.withColumn("a", first(C.same_number(number, F.col("article")))).withColumn("b", first(C.same_number(bullet, F.col("article"))))
+    lines = lines.withColumn("a", first(F.array_contains("articles", F.col("n_条")))).withColumn("b", first(F.array_contains("articles", F.col("n_bullet"))))
     start = F.coalesce("a", "b")
-    opens = F.when(F.col("a").isNotNull(), is_article).otherwise(is_bullet)
-    lines = lines.withColumn("start", start).withColumn("end", first((place > F.col("start")) & (opens | C.final_line(F.col("plain")))))
+    opens = F.when(F.col("a").isNotNull(), F.col("is_条")).otherwise(F.col("is_bullet"))
+    lines = lines.withColumn("start", start).withColumn("end", first((place > F.col("start")) & (opens | F.col("is_final"))))
     part = lines.where((place >= F.col("start")) & (F.col("end").isNull() | (place < F.col("end"))))
 
     begin = {}
     for unit in "款段":
-        shown, _ = _starts(unit)
-        begin[unit] = first(C.same_number(shown, F.col("paragraph")) & (F.col("unit").isNull() | (F.col("unit") == unit)))
+        begin[unit] = first(F.array_contains("paragraphs", F.col(f"n_{unit}")) & (F.col("unit").isNull() | (F.col("unit") == unit)))
     part = part.withColumns({"p": begin["款"], "q": begin["段"]})
-    of_unit = F.when(F.col("p").isNotNull(), _starts("款")[1]).otherwise(_starts("段")[1])
+    of_unit = F.when(F.col("p").isNotNull(), F.col("is_款")).otherwise(F.col("is_段"))
     part = part.withColumn("from", F.coalesce("p", "q")).withColumn("to", first((place > F.col("from")) & of_unit))
     inside = F.col("from").isNull() | ((place >= F.col("from")) & (F.col("to").isNull() | (place < F.col("to"))))
 

@@ -171,7 +171,7 @@ def clauses_by_title(requests: DataFrame, entries: DataFrame, documents: DataFra
 
     A matching entry's documents are tried as texts, pages, pdf and word files, then all together; within a try the best kind of
     file that has the article answers. The first try without an error is the result, or else the first one's error."""
-    first = first_match(requests.select("ref", "title"), entries, cutoff)
+    first = cut(first_match(requests.select("ref", "title"), entries, cutoff))
     asked = requests.join(first.withColumnRenamed("ref", "f_ref"), F.col("ref") == F.col("f_ref"), "left").drop("f_ref")
     declared = F.lower("type")
     suffix = F.lower(F.regexp_extract("path", "\\.([^./\\\\]+)$", 1))
@@ -180,6 +180,7 @@ def clauses_by_title(requests: DataFrame, entries: DataFrame, documents: DataFra
     docs = documents.select("entry", "at", "path", "text", real.alias("type"), _by(real, BEST, F.lit(1)).alias("best"), turns.alias("turns"))
     docs = docs.withColumn("doc_id", F.to_json(F.struct("entry", "at")))
     tries = asked.where("entry is not null").select("ref", F.col("entry").alias("e"), "clause").join(docs.drop("text"), F.col("e") == F.col("entry"))
+    tries = cut(tries)
     questions = tries.select("doc_id", "clause").distinct().withColumn("ref", F.to_json(F.struct("doc_id", "clause")))
     needed = docs.join(questions.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
     found = find_clauses(needed, questions.select("ref", "doc_id", "clause")).withColumnRenamed("ref", "question").drop("doc_id")
