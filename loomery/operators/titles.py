@@ -40,15 +40,19 @@ def contained(needles: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFra
     sizes = sorted(r[0] for r in needles.select(size.alias("n")).distinct().collect())  # `gram` numbers at most
     if not sizes:
         return texts.select(F.lit(None).cast("string").alias("needle"), "text").limit(0)
+    hashed = lambda grams: F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
     held = F.concat(*[F.when(F.length("text") >= n, _grams(F.col("text"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes])
-    parts = needles.select("needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
-    holders = texts.select("text", F.explode(held).alias("t_gram"))
+    # grams go with 64-bit hashes of what they are of, and not with the texts
+    parts = needles.select(F.xxhash64("needle").alias("n_id"), F.explode(hashed(_grams(F.col("needle"), size))).alias("gram"))
+    holders = texts.select(F.xxhash64("text").alias("t_id"), F.explode(hashed(held)).alias("t_gram"))
     times = holders.groupBy("t_gram").agg(F.count(F.lit(1)).alias("times"))
     rated = parts.join(times, F.col("gram") == F.col("t_gram"), "left")
     # a needle with a gram that no text has is in none
-    keys = rated.groupBy("needle").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("key")).where("key.times > 0")
-    met = keys.select("needle", "key.gram").join(holders, F.col("gram") == F.col("t_gram"))
-    return met.where(F.contains("text", F.col("needle"))).select("needle", "text")
+    keys = rated.groupBy("n_id").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("key")).where("key.times > 0")
+    met = keys.select("n_id", "key.gram").join(holders, F.col("gram") == F.col("t_gram")).select("n_id", "t_id")
+    named = met.join(needles.select(F.xxhash64("needle").alias("i"), "needle"), F.col("n_id") == F.col("i")).select("needle", "t_id")
+    both = named.join(texts.select(F.xxhash64("text").alias("i"), "text"), F.col("t_id") == F.col("i"))
+    return both.where(F.contains("text", F.col("needle"))).select("needle", "text")
 
 
 def _ratio(cutoff: float):
