@@ -155,6 +155,7 @@ class SnapshotHistory(StatefulProcessor):
 
 def _keyed(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # map states need it
+    rows.sparkSession.streams.active  # in a batch, too, stores need the coordinator that comes with the session's first look at its streams
     return rows.groupBy("task").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
