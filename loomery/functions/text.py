@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ TYPE_PRIORITY = {"text": 5, "txt": 5, "pdf": 4, "docx": 3, "doc": 3, "word": 3,
 FOLDED = str.maketrans({"（": "(", "）": ")", "〔": "[", "〕": "]", "【": "[", "】": "]", "《": '"', "》": '"', "“": '"', "”": '"', "‘": "'", "’": "'"})
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is found once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: str | None) -> str:
     """NFKC, plain brackets and quotes, single spaces."""
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).translate(FOLDED)).strip() if text else ""

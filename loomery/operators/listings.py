@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions import urls as U
+from loomery.functions.text import let
 from loomery.operators.elements import inside, links, parsed, says
 
 # fixed values: labels that say nothing, what is cut from labels, file types, labels of other pages, dates
@@ -96,9 +97,14 @@ def _entry(serial: Column, title: Column, remark: Column, documents: Column) ->
 
 
 def _once(items: Column, key) -> Column:
-    """Of items with one key the first."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """Of items with one key the first; none of those without a key. Keys are sorted and not looked up, so that long lists aren't squared."""
+
+    def firsts(its: Column) -> Column:
+        keys = F.sort_array(F.filter(F.transform(its, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"))), lambda p: p["key"].isNotNull()))
+        places = let(keys, lambda ks: F.sort_array(F.transform(F.filter(ks, lambda p, i: (i == 0) | (p["key"] != F.get(ks, i - 1)["key"])), lambda p: p["i"])))
+        return F.transform(places, lambda i: F.get(its, i))
+
+    return let(items, firsts)
 
 
 def _title_of(a: Column, text: Column) -> Column:
