@@ -12,17 +12,23 @@ output are committed together. Equal ordinals keep the order of their rows' text
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
 import re
+import tempfile
 import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loomery.sources.checkpoints import ensure_checkpoint_dir
+from loomery.sources.checkpoints import cut, ensure_checkpoint_dir
 
+#: Rows of a task that are held in memory while they are sorted.
+HELD = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DOCUMENTS = "array<struct<url:string,type:string,title:string,downloaded:boolean,local_path:string>>"
 INPUT = f"task string, ordinal long, serial long, title string, remark string, documents {DOCUMENTS}"
@@ -47,6 +53,31 @@ def entry_id(row: Row) -> str:
     return re.sub(r"[^\w-]", "_", unicodedata.normalize("NFKC", whole)).strip("_")
 
 
+def _spilled(rows: list) -> Iterator:
+    with tempfile.TemporaryFile() as f:
+        for row in rows:
+            pickle.dump(row, f)
+        n = len(rows)
+        del rows[:]
+        yield None  # written
+        f.seek(0)
+        for _ in range(n):
+            yield pickle.load(f)
+
+
+def in_order(rows: Iterator, key, held: int = HELD) -> Iterator:
+    """The rows sorted, of which `held` are in memory: more go to temporary files as sorted runs, which are merged."""
+    runs, part = [], []
+    for row in rows:
+        part.append(row)
+        if len(part) >= held:
+            part.sort(key=key)
+            runs.append(_spilled(part))
+            next(runs[-1])
+    part.sort(key=key)
+    yield from heapq.merge(*runs, part, key=key)
+
+
 class EntryUpserts(StatefulProcessor):
     """An entry with a known URL is that URL's; its title and remark are replaced and its serial stays. A new one gets the serial that it asks for if
     that is free, else the largest plus 1; with `renumber`, as for a listing's snapshot, its number in order of appearance."""
@@ -64,7 +95,7 @@ class EntryUpserts(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         highest, total, recorded, seq = self.counts.get() if self.counts.exists() else (0, 0, 0, 0)
         empty = dict.fromkeys(c.split()[0] for c in CHANGES.split(", "))
-        for row in sorted(rows, key=lambda r: (r["ordinal"], repr(r))):
+        for row in in_order(rows, lambda r: (r["ordinal"], repr(r))):
             documents = [d for d in row["documents"] or [] if d is not None]
             name = next((self.urls.getValue((d["url"],))[0] for d in documents if d["url"] and self.urls.containsKey((d["url"],))), None)
             name = entry_id(row) if name is None else name
@@ -114,7 +145,7 @@ class SnapshotHistory(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now, total, recorded = self.now.get() if self.now.exists() else (None, 0, 0)
-        for row in sorted(rows, key=lambda r: (r["snapshot"], r["entry_id"] or "")):
+        for row in in_order(rows, lambda r: (r["snapshot"], r["entry_id"] or "")):
             if now is not None and row["snapshot"] < now:
                 raise ValueError(f"task {key[0]}: snapshot {row['snapshot']} comes after {now}")
             if now is not None and row["snapshot"] > now:
@@ -166,7 +197,32 @@ def entry_changes(entries: DataFrame, renumber: bool = False) -> DataFrame:
 
 def snapshot_history(listings: DataFrame, always: bool = False) -> DataFrame:
     """The recorded differences of a batch or stream of listings (task, snapshot, entry_id)."""
-    return _keyed(listings.select("task", "snapshot", "entry_id"), SnapshotHistory(always), SNAPSHOTS)
+    rows = listings.select("task", "snapshot", "entry_id")
+    return _keyed(rows, SnapshotHistory(always), SNAPSHOTS) if rows.isStreaming else _whole_history(rows, always)
+
+
+def _whole_history(listings: DataFrame, always: bool) -> DataFrame:
+    """What SnapshotHistory gives for all listings at once. A snapshot that isn't recorded is as the last recorded one is, in number (or, with
+    `always`, in entries), so that the one before tells whether a snapshot is recorded; each entry then looks at its own neighbours alone."""
+    rows = cut(listings.distinct())
+    order = W.partitionBy("task").orderBy("snapshot")  # a row for each snapshot
+    totals = rows.groupBy("task", "snapshot").agg(F.count("entry_id").alias("total"))
+    closed = totals.withColumns({"next": F.lead("snapshot").over(order), "last": F.lag("total", 1, 0).over(order)}).where("next is not null")
+    kept = closed if always else closed.where("total <> last")
+    kept = cut(kept.select("task", "snapshot", "total", F.row_number().over(order).alias("n"), (F.col("total") - F.lag("total", 1, 0).over(order)).alias("diff")))
+    at = kept.select(F.col("task").alias("k_task"), F.col("snapshot").alias("k_snapshot"), "n")
+    held = rows.where("entry_id is not null").join(at, F.col("task").eqNullSafe(F.col("k_task")) & (F.col("snapshot") == F.col("k_snapshot")))
+    own = W.partitionBy("task", "entry_id").orderBy("n")
+    near = held.select("task", "entry_id", "n", F.lag("n").over(own).alias("before"), F.lead("n").over(own).alias("after"))
+    came = F.when(F.coalesce(F.col("before") != F.col("n") - 1, F.lit(True)), F.struct(F.col("n").alias("c_n"), F.lit(True).alias("came")))
+    went = F.when(F.coalesce(F.col("after") != F.col("n") + 1, F.lit(True)), F.struct((F.col("n") + 1).alias("c_n"), F.lit(False).alias("came")))
+    changes = near.select(F.col("task").alias("c_task"), "entry_id", F.explode(F.array_compact(F.array(came, went))).alias("c")).select("c_task", "entry_id", "c.*")
+    names = lambda when: F.sort_array(F.collect_list(F.when(when, F.col("entry_id"))))
+    lists = changes.groupBy("c_task", "c_n").agg(names(F.col("came")).alias("added"), names(~F.col("came")).alias("removed"))
+    out = kept.join(lists, kept["task"].eqNullSafe(F.col("c_task")) & (F.col("n") == F.col("c_n")), "left")
+    none = F.array().cast("array<string>")
+    out = out.select("task", "snapshot", F.col("total").alias("entries_total"), F.col("diff").alias("entries_diff"), F.coalesce("added", none).alias("added"), F.coalesce("removed", none).alias("removed"))
+    return out.where((F.col("entries_diff") != 0) | (F.size("added") > 0) | (F.size("removed") > 0))
 
 
 def latest_entries(changes: DataFrame) -> DataFrame:
