@@ -42,12 +42,13 @@ def candidates(documents: DataFrame) -> DataFrame:
 
 def statuses(entries: DataFrame, attempts: DataFrame) -> DataFrame:
     """(entry_id, status, requires_ocr, rank, text): attempts are (entry_id, rank, type, text, error, requires_ocr). The first with a
-    text is used, or else the first of all; attempts behind the one with a text don't count."""
+    text is used, or else the first of all; attempts behind the one with a text don't count. Of equal ranks the greatest type, text, error and
+    requires_ocr count, whatever the order of the rows."""
     filled = F.coalesce(F.btrim("text"), F.lit("")) != ""
     first = F.min(F.when(filled, F.col("rank"))).over(W.partitionBy("entry_id"))
     tried = attempts.withColumn("__first", first).where("__first is null or rank <= __first")
     pdf_ocr = (F.col("type") == "pdf") & F.coalesce("requires_ocr", F.lit(False))
-    used = F.max_by(F.struct("rank", "type", "text", "error", F.coalesce("requires_ocr", F.lit(False)).alias("ocr")), F.struct(filled, -F.col("rank")))
+    used = F.max_by(F.struct("rank", "type", "text", "error", F.coalesce("requires_ocr", F.lit(False)).alias("ocr")), F.struct(filled, -F.col("rank"), "type", "text", "error", "requires_ocr"))
     of = tried.groupBy(F.col("entry_id").alias("__e")).agg(F.max(pdf_ocr).alias("requires_ocr"), used.alias("u"))
     out = entries.select("entry_id").join(of, F.col("entry_id") == F.col("__e"), "left")
     ocr = F.col("u.ocr") & ((F.col("u.type") == "pdf") | F.col("requires_ocr"))
