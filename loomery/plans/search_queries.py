@@ -177,10 +177,18 @@ def hybrid_post_filter(spark, sf_dir):
     return _fused(spark, sf_dir, 20).join(keep, "id", "left_semi").select("id", F.round("score", 5).alias("score"), "match_type")
 
 
+def _rounded(x, places: int):
+    """A double rounded as a double, as SQL engines do: halves go away from zero, and what is rounded to zero keeps its sign."""
+    scaled = F.abs(x) * 10.0**places
+    whole = F.floor(scaled)
+    near = (whole + (scaled - whole >= 0.5).cast("int")).cast("double")
+    return F.when((scaled < 2.0**52), F.signum(x) * near / 10.0**places).otherwise(x)
+
+
 @register("mean_pool", """
 SELECT label, list(v ORDER BY i) AS pooled FROM (
   SELECT label, i, round(avg(x::DOUBLE), 5) AS v FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i
 ) GROUP BY label""")
 def mean_pool(spark, sf_dir):
-    at = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("v"))
+    at = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(_rounded(F.avg(F.col("x").cast("double")), 5).alias("v"))
     return at.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p")).select("label", F.transform("p", lambda z: z["v"]).alias("pooled"))
