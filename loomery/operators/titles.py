@@ -1,7 +1,7 @@
 """Documents found by an inexact title: by equality, else by containment either way, else by the closest title.
 
-All three are equi joins. A text that another one contains has each of its character grams in there, so that the gram that the
-fewest texts have is the only key that it needs. For closeness, two texts that match for a share of their
+All three are equi joins. A text that another one contains has each of its character grams in there, so that one of them, rare by its
+bucket's count, is the only key that it needs. For closeness, two texts that match for a share of their
 characters have that many characters in common, counted as often as both have them: with all characters in one order, rarest first, the
 fronts of the two texts share at least two of them, and pairs of rare characters are the keys. A common gram or character becomes a
 key only for texts that have nothing else. What meets is compared exactly.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,35 +22,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.functions import clauses as C
-from loomery.functions.text import norm_text
+from loomery.functions.text import let, norm_text
 from loomery.operators.clauses import find_clauses
+from loomery.operators.membership import maybe_in
 from loomery.sources.checkpoints import cut
 
 #: Longer texts meet by single characters of their fronts; the number of pairs grows with the square of the length.
 PAIR_LENGTH = 64
-GRAM = 3
+#: Sizes of grams: long texts meet by long ones, which few share.
+GRAMS = (1, 2, 3, 6, 12, 24)
+#: Counts of hashed keys are kept by this many buckets.
+BUCKETS = 1 << 14
 
 
 def _grams(text: Column, size: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.xxhash64(F.substring(text, i, size))))
 
 
-def contained(needles: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(needle, text) for needles (needle) that are a substring of texts (text). Both are distinct and not empty."""
-    size = F.least(F.lit(gram), F.length("needle"))
-    sizes = sorted(r[0] for r in needles.select(size.alias("n")).distinct().collect())  # `gram` numbers at most
-    if not sizes:
+def _counts(rows: DataFrame, hashes: Column) -> Column:
+    """How often hashes occur, by BUCKETS of them: an array whatever the rows are. It orders keys, rare ones first, and decides nothing else."""
+    each = rows.select(F.explode(hashes).alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    found = dict(each.collect())  # BUCKETS rows at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BUCKETS))), ",").cast("array<bigint>")
+
+
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def contained(needles: DataFrame, texts: DataFrame, sizes: tuple[int, ...] = GRAMS) -> DataFrame:
+    """(needle, text) for needles (needle) that are a substring of texts (text). Both are distinct and not empty. A needle's grams have
+    the largest of some sizes (1 is one) that it is as long as."""
+    needles, texts = cut(needles), cut(texts)  # each is read several times
+    size = reduce(lambda a, n: F.when(F.length("needle") >= n, n).otherwise(a), sorted(sizes), F.lit(1))
+    used = sorted(r[0] for r in needles.select(size.alias("n")).distinct().collect())  # as many as sizes at most
+    if not used:
         return texts.select(F.lit(None).cast("string").alias("needle"), "text").limit(0)
-    hashed = lambda grams: F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
-    held = F.concat(*[F.when(F.length("text") >= n, _grams(F.col("text"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes])
-    # grams go with 64-bit hashes of what they are of, and not with the texts
-    parts = needles.select(F.xxhash64("needle").alias("n_id"), F.explode(hashed(_grams(F.col("needle"), size))).alias("gram"))
-    holders = texts.select(F.xxhash64("text").alias("t_id"), F.explode(hashed(held)).alias("t_gram"))
-    times = holders.groupBy("t_gram").agg(F.count(F.lit(1)).alias("times"))
-    rated = parts.join(times, F.col("gram") == F.col("t_gram"), "left")
-    # a needle with a gram that no text has is in none
-    keys = rated.groupBy("n_id").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("key")).where("key.times > 0")
-    met = keys.select("n_id", "key.gram").join(holders, F.col("gram") == F.col("t_gram")).select("n_id", "t_id")
+    held = F.concat(*[F.when(F.length("text") >= n, _grams(F.col("text"), F.lit(n))).otherwise(F.array().cast("array<bigint>")) for n in used])
+    counts = _counts(texts, held)
+    # grams go with 64-bit hashes of what they are of, and not with the texts; a needle with a gram that no text has is in none
+    rated = F.transform(_grams(F.col("needle"), size), lambda h: F.struct(F.get(counts, _bucket(h)).alias("times"), h.alias("gram")))
+    keys = cut(needles.select(F.xxhash64("needle").alias("n_id"), F.array_min(rated).alias("key")).where("key.times > 0").select("n_id", "key.gram"))
+    # of the texts' grams only those that are some needle's key move
+    holders = maybe_in(texts.select(F.xxhash64("text").alias("t_id"), F.explode(held).alias("t_gram")), F.col("t_gram"), keys.select("gram"))
+    met = keys.join(holders, F.col("gram") == F.col("t_gram")).select("n_id", "t_id")
     named = met.join(needles.select(F.xxhash64("needle").alias("i"), "needle"), F.col("n_id") == F.col("i")).select("needle", "t_id")
     both = named.join(texts.select(F.xxhash64("text").alias("i"), "text"), F.col("t_id") == F.col("i"))
     return both.where(F.contains("text", F.col("needle"))).select("needle", "text")
@@ -75,21 +91,19 @@ def _ratio(cutoff: float):
 def close_candidates(queries: DataFrame, titles: DataFrame, cutoff: float) -> DataFrame:
     """(query, title) pairs that may have a ratio of at least cutoff; no pair that has it is missing."""
 
-    def characters(df: DataFrame, name: str) -> DataFrame:
-        """Each character of a text with its number among equal ones."""
-        times = df.select(F.col(name).alias("s"), F.explode(F.regexp_extract_all(name, F.lit("(?s)."), F.lit(0))).alias("c")).groupBy("s", "c").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        return times.select("s", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat("c", i.cast("string")))).alias("token"))
-
-    of_titles = characters(titles, "title")
-    order = cut(of_titles.groupBy("token").agg(F.count(F.lit(1)).alias("times")))
+    queries, titles = cut(queries), cut(titles)
+    # each character of a text with its number among equal ones
+    nth = lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    tokens = lambda name: let(F.regexp_extract_all(name, F.lit("(?s)."), F.lit(0)), nth)
+    counts = _counts(titles, F.transform(tokens("title"), lambda t: F.xxhash64(t)))
 
-    def fronts(tokens: DataFrame) -> DataFrame:
-        """(s, keys) by the least overlap that any partner of admissible length asks for."""
-        rated = tokens.join(order.withColumnRenamed("token", "o_token"), F.col("token") == F.col("o_token"), "left")
-        rows = rated.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "token"))).alias("all"))
+    def fronts(df: DataFrame, name: str) -> DataFrame:
+        """(s, n, keys) by the least overlap that any partner of admissible length asks for."""
+        rows = df.select(F.col(name).alias("s"), F.array_sort(F.transform(tokens(name), lambda t: F.struct(F.get(counts, _bucket(F.xxhash64(t))).alias("times"), t.alias("token")))).alias("all"))
         n = F.size("all")
         least = F.ceil(F.round(n * (cutoff / (2 - cutoff)), 9))  # the shortest partner lies inside of the text
-        front = F.transform(F.slice("all", F.lit(1), F.least(n, n - least + 2).cast("int")), lambda x: x["token"])
+        rows = rows.withColumn("front", F.transform(F.slice("all", F.lit(1), F.least(n, n - least + 2).cast("int")), lambda x: x["token"]))
+        front = F.col("front")
         two = least >= 2
         ones = F.transform(F.slice(front, F.lit(1), F.greatest(F.lit(1), F.size(front) - F.when(two, 1).otherwise(0))), lambda t: F.xxhash64(t))
         pairs = F.flatten(F.transform(front, lambda t, i: F.transform(F.slice(front, i + 2, F.size(front)), lambda u: F.xxhash64(F.least(t, u), F.greatest(t, u)))))
@@ -101,8 +115,8 @@ def close_candidates(queries: DataFrame, titles: DataFrame, cutoff: float) -> Da
         by_ones = by_ones | (n <= short)
         return rows.select("s", n.alias("n"), F.array_union(F.when(by_pairs, pairs).otherwise(none), F.when(by_ones, ones).otherwise(none)).alias("keys"))
 
-    q = fronts(characters(queries, "query")).select(F.col("s").alias("query"), F.col("n").alias("n_query"), F.explode("keys").alias("key"))
-    t = fronts(of_titles).select(F.col("s").alias("title"), F.col("n").alias("n_title"), F.explode("keys").alias("t_key"))
+    q = cut(fronts(queries, "query").select(F.col("s").alias("query"), F.col("n").alias("n_query"), F.explode("keys").alias("key")))
+    t = maybe_in(fronts(titles, "title").select(F.col("s").alias("title"), F.col("n").alias("n_title"), F.explode("keys").alias("t_key")), F.col("t_key"), q.select("key"))
     near = q.join(t, (F.col("key") == F.col("t_key")) & (2 * F.least("n_query", "n_title") >= F.lit(cutoff) * (F.col("n_query") + F.col("n_title"))))
     # by number, as AQE would put the pairs, few bytes that are much work, into one task
     tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))

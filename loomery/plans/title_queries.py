@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomery.operators import titles as T
 from loomery.plans.clause_queries import _ORDERED, _laws
 from loomery.plans.registry import register
+from loomery.sources.checkpoints import cut
 from loomery.sources.tables import table
 
 _WORDS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -41,7 +42,7 @@ def title_containment(spark, sf_dir):
     rows = _words(spark, sf_dir)
     entries = rows.select(F.array_join(F.slice("w", 1, 8), " ").alias("title"))
     asked = rows.select(F.explode(F.array(F.array_join(F.slice("w", 2, 4), " "), F.array_join(F.slice("w", 1, 11), " "))).alias("x")).where("x <> ''").distinct()
-    known = entries.select("title").where("title <> ''").distinct()
+    asked, known = cut(asked), cut(entries.select("title").where("title <> ''").distinct())  # each is read twice
     inside = T.contained(asked.withColumnRenamed("x", "needle"), known.withColumnRenamed("title", "text")).select(F.col("needle").alias("asked"), F.col("text").alias("title"))
     around = T.contained(known.withColumnRenamed("title", "needle"), asked.withColumnRenamed("x", "text")).select(F.col("text").alias("asked"), F.col("needle").alias("title"))
     return inside.unionByName(around).distinct()
