@@ -1,7 +1,7 @@
 """Clauses of documents: look-up by reference, outlines, and keys that name several clauses.
 
-Documents become rows of lines; where an article or paragraph starts and ends are minima over the lines of a
-document, which one window holds. Nothing but the lines asked for is gathered.
+Documents become rows of lines, which know the block between two headings that they are in; a clause meets its block's lines
+alone, and where its paragraph starts and ends are minima over these. Nothing but the lines asked for is gathered.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import clauses as C
 from loomery.functions.text import norm_text
+from loomery.sources.checkpoints import cut
 
 #: Of a policy's documents the first type that has the clause is used.
 TYPE_ORDER = {"pdf": 5, "word": 4, "doc": 4, "docx": 4, "html": 3, "text": 2, "txt": 2}
@@ -47,19 +48,28 @@ def _answers(docs: DataFrame, asked: DataFrame) -> DataFrame:
     shown = {f"n_{unit}": bare(_starts(unit)[0]) for unit in "条款段"} | {f"is_{unit}": _starts(unit)[1] for unit in "条款段"}
     shown |= {"n_bullet": bare(F.regexp_extract("plain", f"^((?:{C.NUMBER}\\s*)+){C.MARKS}", 1)), "is_bullet": F.col("plain").rlike(f"^{C.NUMBER}+\\s*{C.MARKS}"), "is_final": C.final_line(F.col("plain"))}
     questions = asked.where("article is not null").select("*", C.ways(F.col("article")).alias("articles"), F.when(F.col("paragraph").isNotNull(), C.ways(F.col("paragraph"))).alias("paragraphs"))
-    lines = clause_lines(wanted).withColumns(shown).drop("plain").join(questions, "doc_id")
+    lines = clause_lines(wanted).withColumns(shown).drop("plain")
+    # a unit lasts from its heading to the next line that opens one of its kind or ends the document, so that lines between two such are a block; a
+    # document's lines are gone through once, and meet a question by the block of its heading alone
+    upto = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    last = lambda when: F.coalesce(F.max(F.when(when, F.col("line"))).over(upto), F.lit(-1))
+    kinds = (("a", "n_条", "is_条"), ("b", "n_bullet", "is_bullet"))
+    lines = lines.withColumns({f"block_{k}": last(F.col(opens) | F.col("is_final")) for k, _, opens in kinds} | {f"named_{k}": last(F.col(n) != "") for k, n, _ in kinds})
+    # a line behind no heading of its block is in no unit
+    ins = F.array_compact(F.array(*[F.when((F.col(f"named_{k}") >= 0) & (F.col(f"named_{k}") >= F.col(f"block_{k}")), F.struct(F.lit(k).alias("kind"), F.col(f"block_{k}").alias("block"), F.col(n).alias("number"))) for k, n, _ in kinds]))
+    lines = cut(lines.withColumn("in", F.explode(ins)).select("doc_id", "line", "raw", *[c for u in "款段" for c in (f"n_{u}", f"is_{u}")], "in.*"))
+    heads = lines.where("number <> ''").select("doc_id", "number", "kind", "line", "block")
+    named = questions.select("ref", "doc_id", F.explode("articles").alias("number")).join(heads, ["doc_id", "number"])
+    # of both kinds headings count before list numbers, and of these the first
+    starts = named.groupBy("ref", "doc_id").agg(F.min(F.struct("kind", F.col("line").alias("start"), "block")).alias("s")).select("ref", "doc_id", "s.*")
+    asked_for = starts.join(questions.select("ref", "unit", "paragraphs"), "ref")
+    part = lines.drop("number").join(asked_for, ["doc_id", "kind", "block"]).where("line >= start")
     one = W.partitionBy("ref")
     place = F.col("line")
 
     def first(when: Column) -> Column:
         return F.min(F.when(when, place)).over(one)
 
-    lines = lines.withColumn("a", first(F.array_contains("articles", F.col("n_条")))).withColumn("b", first(F.array_contains("articles", F.col("n_bullet"))))
-    start = F.coalesce("a", "b")
-    opens = F.when(F.col("a").isNotNull(), F.col("is_条")).otherwise(F.col("is_bullet"))
-    lines = lines.withColumn("start", start).withColumn("end", first((place > F.col("start")) & (opens | F.col("is_final"))))
-    part = lines.where((place >= F.col("start")) & (F.col("end").isNull() | (place < F.col("end"))))
-
     begin = {}
     for unit in "款段":
         begin[unit] = first(F.array_contains("paragraphs", F.col(f"n_{unit}")) & (F.col("unit").isNull() | (F.col("unit") == unit)))
