@@ -91,8 +91,14 @@ def _literal(value) -> Column:
 
 def fuzzy_search_all(entries: DataFrame, queries: Sequence[str], k: int = 5, order: str = "rank") -> DataFrame:
     """The k best entries of each query, ties in the given order, with their points by feature and place."""
+    scored = fuzzy_points(entries, queries)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), order))
-    return fuzzy_points(entries, queries).withColumn("place", place).where(F.col("place") <= k)
+    # ranks are counted over scores alone; entries, which are wide, are sorted if they aren't behind their query's last place
+    key = F.struct((-F.col("score")).alias("s"), F.col(order).alias("o"))
+    ranked = scored.select("query_id", "score", order).withColumn("place", place).where(F.col("place") <= k)
+    last = ranked.groupBy(F.col("query_id").alias("l_id")).agg(F.max(key).alias("l_key"))  # a row for each query, MOST_QUERIES at most
+    best = scored.join(F.broadcast(last), (F.col("query_id") == F.col("l_id")) & (key <= F.col("l_key"))).drop("l_id", "l_key")
+    return best.withColumn("place", place).where(F.col("place") <= k)
 
 
 def fuzzy_search(entries: DataFrame, query: str, k: int = 5, order: str = "rank") -> DataFrame:
