@@ -17,6 +17,7 @@ input's columns pass through, and the result's replace those of the same name.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomery.llm.byte_pairs import BytePairs
 from loomery.llm.common import fresh, written
 
 CAPACITY = 2048
-_CACHE = 250_000  # parts of words whose ids a worker remembers; then it starts anew
+_CACHE = 250_000  # parts of words whose ids a worker remembers; then it starts anew, with these at hand until as many are new
+_LONG = 64  # characters; longer parts aren't remembered
 _SLICE_BYTES = 2 << 20  # of text tokenised at once
+_AT_ONCE = 1 << 20  # characters of words gone through at once
 
 
-_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SIMPLE = re.compile("[\n!-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|\0|[^\n\0a-z0-9ß-öø-ÿ]+")
 
 
 class WordTokens:
     """Ids of words. No token of the vocabulary crosses white space, so a text's ids are those of
     its words. Words of plain letters, digits and marks are lower-cased and parted as the
-    tokenizer does, and only parts not met before go through its model; any other word goes
-    through the whole tokenizer."""
+    tokenizer does, many in one string, and only parts that aren't remembered go through its model, together;
+    any other word that isn't remembered goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,35 +55,86 @@ class WordTokens:
         plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.known: dict[str, list[int]] = {}
-
-    def part(self, part: str) -> list[int]:
+        self.pairs = BytePairs.of(self.tokenizer, self.letters)
+        self.known: dict[str, bytes] = {}  # ids as bytes of int32
+        self.older: dict[str, bytes] = {}  # what was known when `known` was full
+
+    def _learn(self, parts: set[str], others: set[str]) -> None:
+        """Parts not met before go through the model, other words through the whole tokenizer."""
+        known, older = self.known, self.older
+        new = []
+        for part in parts:
+            ids = older.get(part)
+            if ids is None:
+                new.append(part)
+            else:
+                known[part] = ids
+        slow = [p for p in new if p in others or len(p) > _LONG or not self.pairs]
+        for part in slow:
+            if part in others:
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            else:
+                ids = [x.id for x in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+            known[part] = np.array(ids, dtype=np.int32).tobytes()
+        if slow:
+            new = list(set(new).difference(slow))
+        if new:
+            ids, counts = self.pairs.ids(new)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            known |= {p: raw[a:b] for p, a, b in zip(new, [0, *ends], ends)}
+
+    def _words(self, lines: str) -> tuple[bytes, np.ndarray]:
+        """The ids of a word per line, and how many each has."""
+        others: list[str] = []
+        if not _SIMPLE.fullmatch(lines) or "<|" in lines:
+            words = lines.split("\n")
+            for i, word in enumerate(words):
+                if not _SIMPLE.fullmatch(word) or "<|" in word:
+                    others.append(word)
+                    words[i] = "\0"
+            lines = "\n".join(words)
+        parts = _PARTS.findall(lines.lower())
+        if others:
+            rest = iter(others)
+            parts = [next(rest) if p == "\0" else p for p in parts]
         if len(self.known) >= _CACHE:
-            self.known.clear()
-        ids = self.known[part] = [x.id for x in self.tokenizer.model.tokenize("".join(self.letters[b] for b in part.encode()))]
-        return ids
-
-    def word(self, word: str) -> list[int]:
-        if not _SIMPLE.fullmatch(word) or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        known, out = self.known, []
-        for part in _PARTS.findall(word.lower()):
-            ids = known.get(part)
-            out += self.part(part) if ids is None else ids
-        return out
+            self.older, self.known = self.known, {}
+        known = self.known
+        known["\n"] = b""  # ends a word
+        ids = list(map(known.get, parts))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if holes:
+            unknown = {parts[i] for i in holes}
+            self._learn(unknown, set(others))
+            for i in holes:
+                ids[i] = known[parts[i]]
+            for part in unknown:
+                if len(part) > _LONG:
+                    del known[part]
+        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        ends = np.array([i for i, p in enumerate(parts) if p == "\n"], dtype=np.int64)
+        total = upto[-1:] if len(upto) else np.zeros(1, np.int64)
+        return b"".join(ids), np.diff(np.append(upto[ends], total), prepend=0)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one behind another, and how many each has."""
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        flat, lengths, at = [], [], 0
+        while at <= len(lines):  # so many characters at once, however many a text has
+            to = lines.find("\n", at + _AT_ONCE)
+            to = len(lines) if to < 0 else to
+            ids, n = self._words(lines[at:to])
+            flat.append(ids)
+            lengths.append(n)
+            at = to + 1
+        return np.frombuffer(b"".join(flat), dtype=np.int32), np.concatenate(lengths)
 
     def texts(self, texts: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the separator behind it, and how many each has."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        flat, lengths = [], []
-        for word in coded.dictionary.to_pylist():
-            ids = self.word(word)
-            flat += ids
-            lengths.append(len(ids))
-        flat.append(separator)
-        lengths.append(1)
-        flat, lengths = np.array(flat, dtype=np.int32), np.array(lengths, dtype=np.int32)
+        flat, lengths = self.words(coded.dictionary)
+        flat, lengths = np.append(flat, np.int32(separator)), np.append(lengths, 1).astype(np.int32)
         starts = (np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int32)
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(n_words)
@@ -91,13 +146,20 @@ class WordTokens:
         return flat[at], np.diff(upto[last], prepend=0)
 
 
+def _crcs(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """crc32 of the ids from each end to the next, as little-endian unsigned 32-bit integers."""
+    raw = memoryview(ids.astype("<u4").tobytes())
+    return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.int64())
+
+
 _TOKENS: dict[str, WordTokens] = {}  # of this worker, so that later tasks know the words of earlier ones
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0, text_col: str = "text") -> DataFrame:
-    """A row per piece: the input's columns but the text, then piece, start, length and ids."""
+def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0, text_col: str = "text", crc: bool = False) -> DataFrame:
+    """A row per piece: the input's columns but the text, then piece, start, length and ids, or with crc
+    their ids_crc32 alone, so that no ids leave the Python worker for it."""
     text = fresh(docs, "text_")
-    made = ("piece", "start", "length", "ids")
+    made = ("piece", "start", "length", "ids_crc32" if crc else "ids")
     keep = [c for c in docs.columns if c != text_col and c.lower() not in made]
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
 
@@ -116,12 +178,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, se
                 piece = np.arange(len(rows)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
                 start = piece * capacity
                 length = np.minimum(capacity, counts[rows] - start)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids))
+                ends = np.concatenate([[0], np.cumsum(length)])
+                last = _crcs(ids, ends) if crc else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 cols = [batch.column(c).take(pa.array(rows)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), lists], names=[*keep, *made])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), last], names=[*keep, *made])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keep)
-    return slim.mapInArrow(run, f"{types + ', ' if types else ''}piece int, start long, length long, ids array<int>")
+    return slim.mapInArrow(run, f"{types + ', ' if types else ''}piece int, start long, length long, {'ids_crc32 long' if crc else 'ids array<int>'}")
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -205,18 +268,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slices: int | None = None,
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col(rank)["sequence_id"].alias("sequence_id"), F.col(rank)["offset"].alias("offset"))
 
 
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids_crc32 for their ids."""
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        import zlib
-
-        return ids.map(lambda x: zlib.crc32(np.asarray(x, dtype="<u4").tobytes()))
-
-    return pieces.withColumn("ids_crc32", crc("ids")).drop("ids")
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece."""
     if tokenizer_path is None:
@@ -224,7 +275,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return pack(written(with_crc(tokenised(slim, tokenizer_path)), "pieces"), order=("doc_id", "piece", "length", "ids_crc32"))
+    return pack(written(tokenised(slim, tokenizer_path, crc=True), "pieces"), order=("doc_id", "piece", "length", "ids_crc32"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,92 @@ def test_words_give_the_tokenizers_ids(text):
     assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [0]
 
 
+def odd_words():
+    """Words of all kinds in texts that share many of them: plain, with marks, other scripts, special tokens, long ones."""
+    rng = np.random.default_rng(3)
+    stock = ["it's", "I'LL", "Straße", "ÀÉÿ", "x<|endoftext|>y", "<|", "日本", "a\x00b", "\x00", "3.14", "--", "\u200b", "\u3000", "e\u0301x", "İx", "ΑΣ", "q" * 300, "ж" * 200]
+    letters = list("abcdefghijklmnopqrstuvwxyzäöñ")
+    stock += ["".join(rng.choice(letters, rng.integers(1, 12))) + str(rng.choice(["", ".", ",", "'s", "7"])) for _ in range(400)]
+    return ["", " \n ", *[" ".join(rng.choice(stock, rng.integers(1, 60))) for _ in range(120)], " a\t\x0bB  "]
+
+
+@pytest.mark.parametrize("cache, at_once", [(250_000, 1 << 20), (50, 100), (1, 1)])
+def test_words_in_one_string_give_the_tokenizers_ids(monkeypatch, cache, at_once):
+    """Whatever is remembered, forgotten, or cut between two calls; and long words aren't kept."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "_CACHE", cache)
+    monkeypatch.setattr(packing, "_AT_ONCE", at_once)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, tokenizer, texts = packing.WordTokens(path), Tokenizer.from_file(path), odd_words()
+    for some in (texts[:1], texts[:3], texts[3:80], texts[40:], texts[:2]):
+        ids, counts = tokens.texts(pa.array(some), 0)
+        want = [tokenizer.encode(x, add_special_tokens=False).ids + [0] for x in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert max(map(len, [*tokens.known, *tokens.older])) <= 64
+
+
+def test_a_part_goes_through_the_model_once(monkeypatch):
+    """Work on words follows the parts that are new, not the words of each slice: ten slices of one kind cost the model one."""
+    import pyarrow as pa
+
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    calls = Counter()
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, word, **options):
+            calls[word] += 1
+            return self.inner.encode(word, **options)
+
+        def ids(self, parts):
+            calls.update(parts)
+            return self.inner.ids(parts)
+
+    tokens.tokenizer, tokens.pairs = Counted(tokens.tokenizer), Counted(tokens.pairs)
+    words = ["alpha,", "Beta.", "gamma", "日本", "ж" * 5, "alpha;"]
+    monkeypatch.setattr(packing, "_CACHE", 9)  # full after the first slice: the rest come from what was known before
+    for k in range(10):
+        tokens.texts(pa.array([" ".join(words)]), 0)
+    assert calls["日本"] == calls["ж" * 5] == calls["alpha"] == 1 and max(calls.values()) == 1
+
+
+def test_pairs_of_many_words_merge_as_in_the_tokenizers_model():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, rng = packing.WordTokens(path), np.random.default_rng(8)
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 64))) for letters in ("ab", "aaan", "etaoinshr", "abcdefghijklmnopqrstuvwxyzéßñ", "!?.-'") for _ in range(200)]
+    words += ["a", "é", "aaaaaaaa", "ananananas", "the", "'" * 64]
+    ids, counts = tokens.pairs.ids(words)
+    want = [[x.id for x in tokens.tokenizer.model.tokenize("".join(tokens.letters[b] for b in w.encode()))] for w in words]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    # a model of another kind goes word by word, with the same ids
+    texts = pa.array([" ".join(words)])
+    ids, counts = tokens.texts(texts, 0)
+    plain = packing.WordTokens(path)
+    plain.pairs = None
+    assert [x.tolist() for x in plain.texts(texts, 0)] == [ids.tolist(), counts.tolist()]
+
+    class Other:
+        def to_str(self):
+            return '{"model": {"type": "WordPiece"}}'
+
+    assert packing.BytePairs.of(Other(), tokens.letters) is None
+
+
+def test_digests_are_those_of_the_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = documents(spark, extra=True).select("doc_id", "text")
+    ids = packing.tokenised(docs, path, capacity=16).collect()
+    crcs = packing.tokenised(docs, path, capacity=16, crc=True)
+    assert crcs.columns == ["doc_id", "piece", "start", "length", "ids_crc32"]
+    want = [(r["doc_id"], r["piece"], r["start"], r["length"], zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())) for r in ids]
+    assert Counter(map(tuple, crcs.collect())) == Counter(want)
+
+
 def test_draws_beyond_numpys_range_follow_the_exact_law():
     """The walk from the mode against numpy's own draws, by their moments, and at the edges."""
     rng = np.random.default_rng(5)
