@@ -279,7 +279,8 @@ class Index:
         wanted = begun.select("q", "v", "bound").mapInArrow(probe, "list int, who binary, bounds binary, asked binary")
         of = F.element_at(F.lit(self.splits), F.col("list") + 1)
         wanted = wanted.where(of > 0).withColumn("split", F.explode(F.sequence(F.lit(0), of - 1)))
-        met = self.blocks.join(wanted, ["list", "split"]).select("columns", "vectors", "ids", "who", "bounds", "asked")
+        # not broadcast, as Spark knows binary cells as a few bytes; a list's queries stream past its blocks, which list_rows bounds
+        met = wanted.hint("merge").join(self.blocks, ["list", "split"]).select("columns", "vectors", "ids", "who", "bounds", "asked")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -295,7 +296,7 @@ class Index:
         hits = met.mapInArrow(scan, "q long, score double, id long").unionByName(begun.select("q", F.explode("hits").alias("hit")).select("q", "hit.score", "hit.id"))
         best = hits.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k)
         best = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "score", "id"))).alias("hits"))  # k at most
-        named = asked.join(distinct, "v").select("query_id", "q").join(best, "q")
+        named = asked.hint("merge").join(distinct, "v").select("query_id", "q").hint("merge").join(best, "q")
         others = F.slice(F.filter("hits", lambda x: x["id"] != F.col("query_id")), 1, self.k)
         each = named.select("query_id", F.posexplode(others).alias("rank", "hit"))
         return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))

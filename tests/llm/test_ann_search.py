@@ -100,6 +100,13 @@ def test_candidates_are_abandoned_early_and_never_the_near_ones():
     assert looked and sum(looked) < 0.1 * 128 * 4000 * 40  # by pairs, a small part of what all dimensions would be
 
 
+def test_lists_and_their_queries_are_not_broadcast(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    found = ann_search.nearest(df, df.where("vec_id % 50 = 0"))
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiny_and_empty_tables_and_other_columns(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [1.0, 1.0], "x"), (50, [0.0, 2.0], "x")], SCHEMA + ", list string").withColumn("split", F.lit(1)).withColumn("number", F.lit("n")).withColumn("score", F.lit(2))
     got = ann_search.nearest(df, df.where("vec_id % 50 = 0"))
