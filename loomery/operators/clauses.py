@@ -36,7 +36,7 @@ def find_clauses(docs: DataFrame, references: DataFrame) -> DataFrame:
     paragraph_text, item_text and error. A paragraph that isn't found leaves the article as its text. A document's lines meet
     each clause that is asked for once, however many references ask for it."""
     named = references.select("ref", "doc_id", F.explode(F.array(C.reference(norm_text("clause")))).alias("r")).select("ref", F.to_json(F.struct("doc_id", "r")).alias("question"), "doc_id", "r.*")
-    answers = _answers(docs, named.drop("ref").distinct().withColumnRenamed("question", "ref"))
+    answers = _answers(docs, cut(named.drop("ref").distinct().withColumnRenamed("question", "ref")))  # read four times
     return named.select("ref", "question").join(answers.withColumnRenamed("ref", "question"), "question").drop("question")
 
 

@@ -99,7 +99,8 @@ def close_candidates(queries: DataFrame, titles: DataFrame, cutoff: float) -> Da
 
     def fronts(df: DataFrame, name: str) -> DataFrame:
         """(s, n, keys) by the least overlap that any partner of admissible length asks for."""
-        rows = df.select(F.col(name).alias("s"), F.array_sort(F.transform(tokens(name), lambda t: F.struct(F.get(counts, _bucket(F.xxhash64(t))).alias("times"), t.alias("token")))).alias("all"))
+        # cut, as a plan that names the tokens again and again would name all counts as often
+        rows = cut(df.select(F.col(name).alias("s"), F.array_sort(F.transform(tokens(name), lambda t: F.struct(F.get(counts, _bucket(F.xxhash64(t))).alias("times"), t.alias("token")))).alias("all")))
         n = F.size("all")
         least = F.ceil(F.round(n * (cutoff / (2 - cutoff)), 9))  # the shortest partner lies inside of the text
         rows = rows.withColumn("front", F.transform(F.slice("all", F.lit(1), F.least(n, n - least + 2).cast("int")), lambda x: x["token"]))
@@ -145,9 +146,11 @@ def title_matches(requests: DataFrame, entries: DataFrame, cutoff: float = 0.75)
     inside = contained(rest.withColumnRenamed("q", "needle"), titles.withColumnRenamed("key", "text")).select(F.col("needle").alias("q"), F.col("text").alias("key"))
     around = contained(titles.withColumnRenamed("key", "needle"), rest.withColumnRenamed("q", "text")).select(F.col("text").alias("q"), F.col("needle").alias("key"))
     partial = cut(inside.unionByName(around).distinct())
-    left = rest.join(partial.select("q").distinct(), "q", "left_anti")
-    close = closest(left.withColumnRenamed("q", "query"), titles.withColumnRenamed("key", "title"), cutoff).select(F.col("query").alias("q"), F.col("title").alias("key"), F.lit("close").alias("kind"))
-    found = exact.unionByName(partial.withColumn("kind", F.lit("partial"))).unionByName(close)
+    left = cut(rest.join(partial.select("q").distinct(), "q", "left_anti"))
+    found = exact.unionByName(partial.withColumn("kind", F.lit("partial")))
+    if not left.isEmpty():  # else no title is looked for among all
+        close = closest(left.withColumnRenamed("q", "query"), titles.withColumnRenamed("key", "title"), cutoff)
+        found = found.unionByName(close.select(F.col("query").alias("q"), F.col("title").alias("key"), F.lit("close").alias("kind")))
     named = found.join(keys.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
     out = asked.join(named, "q").join(rows.select("entry", "ordinal", F.col("key").alias("r_key")), F.col("key") == F.col("r_key"))
     return out.select("ref", "kind", "entry", F.struct("first", "key", "ordinal").alias("place"))
@@ -209,7 +212,7 @@ def clauses_by_title(requests: DataFrame, entries: DataFrame, documents: DataFra
     turn = each.groupBy("ref", "turn").agg(F.min_by(F.struct(*fields), F.struct(none.alias("none"), (~unread).alias("read"), (-F.col("best")).alias("best"), "at")).alias("x"))
     best = turn.groupBy(F.col("ref").alias("b_ref")).agg(F.min_by("x", F.struct(F.col("x.error").isNotNull().alias("failed"), "turn")).alias("x"))
     out = asked.join(best, F.col("ref") == F.col("b_ref"), "left")
-    valid = C.reference(norm_text("clause")).isNotNull()
+    valid = C.article(norm_text("clause")).isNotNull()
     error = (
         F.when(F.coalesce("title", F.lit("")) == "", "missing_title")
         .when(~valid, "invalid_clause_reference")

@@ -55,6 +55,23 @@ def test_numbered_titles_meet_few_others(spark):
     assert joined_rows(found) <= 10_000
 
 
+def test_plans_of_clauses_by_title_stay_small(spark):
+    entries = spark.createDataFrame([(i, f"客户{i}号管理条例", i) for i in range(20)], "entry long, title string, ordinal long")
+    docs = spark.createDataFrame([(i, 0, "text", "a.txt", "第一条 甲\n第一款 （一）乙（二）丙") for i in range(20)], "entry long, at int, type string, path string, text string")
+    asked = spark.createDataFrame([(1, "客户1号管理条例", "第一条，第一款（二）"), (2, "客户2号管理条例 附则", "第一条"), (3, "客户3号治理条例", "第一条")], "ref long, title string, clause string")
+    found = T.clauses_by_title(asked, entries, docs)
+    assert {r["ref"]: (r["entry"], r["kind"], r["item_text"], r["error"]) for r in found.collect()} == {1: (1, "exact", "（二）丙", None), 2: (2, "partial", None, None), 3: (3, "close", None, None)}
+    size = len(found._jdf.queryExecution().optimizedPlan().toString())
+    assert size < 80_000, size  # each stage that ends writes the plan for the driver's listeners
+
+
+def test_titles_are_compared_only_if_a_request_needs_it(spark, monkeypatch):
+    monkeypatch.setattr(T, "closest", lambda *_: pytest.fail("all titles are looked through for no request"))
+    entries = spark.createDataFrame([(1, "甲条例", 1), (2, "乙条例", 2)], "entry long, title string, ordinal long")
+    asked = spark.createDataFrame([(1, "甲条例"), (2, "乙条例 附则")], "ref long, title string")
+    assert {(r["ref"], r["kind"], r["entry"]) for r in T.first_match(asked, entries).collect()} == {(1, "exact", 1), (2, "partial", 2)}
+
+
 def test_items_are_found_once(spark):
     assert str(L._once(F.col("xyz"), lambda x: x["k"])).count("xyz") == 1
     rows = spark.sql("select array(struct('b' as k, 1 as v), struct('a' as k, 2 as v), struct('b' as k, 3 as v), struct(null as k, 4 as v)) as xyz")
