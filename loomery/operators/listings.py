@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import urls as U
 from loomery.functions.text import let
-from loomery.operators.elements import inside, links, parsed, says
+from loomery.operators.elements import ELEMENT, inside, links, parsed, says, span
 
 # fixed values: labels that say nothing, what is cut from labels, file types, labels of other pages, dates
 GENERIC = ("下载", "查看", "详情", "点击查看", "点击下载", "附件", "word", "pdf", "doc", "docx", "wps", "xls", "xlsx", "zip", "rar")
@@ -47,15 +47,39 @@ def _without_first(text: Column, part: Column) -> Column:
     return F.when((part != "") & (at > 0), F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(part), F.length(text)))).otherwise(text)
 
 
-def _tidy(text: Column) -> Column:
+def _bare(text: Column) -> Column:
     out = _flat(text)
     for phrase in GENERIC_PHRASES:
         out = F.regexp_replace(out, phrase, " ")
     out = F.regexp_replace(_flat(out), "([：:])\\s+", "$1")
     for word in GENERIC:
         out = _strip(F.regexp_replace(out, f"(?i){word}$", ""))
-    out = _strip(F.regexp_replace(out, "[:：\\-—··•·]+$", ""))
-    return F.when(F.length(out) > 200, _strip(F.substring(out, 1, 200))).otherwise(out)
+    return _strip(F.regexp_replace(out, "[:：\\-—··•·]+$", ""))
+
+
+def _tidy(text: Column) -> Column:
+    return let(_bare(text), lambda out: F.when(F.length(out) > 200, _strip(F.substring(out, 1, 200))).otherwise(out))
+
+
+#: Of a long text so many pieces and characters are read first.
+FIRST_PIECES, FIRST = 200, 800
+
+
+def _tidy_part(part: Column) -> Column:
+    """A text, or that of a range of pieces, made tidy. Of a long range the first characters do if they leave far more than the 200 that are kept: a phrase that is
+    cut at their end, or a generic word and a run of marks at the end of all, then lie behind these 200. Otherwise all of it is read."""
+    a, b = part["a"], part["b"]
+
+    def joined(end: Column) -> Column:
+        text = F.array_join(span("texts", "string", a, end), " ")
+        return F.when(part["above"], F.translate(text, "\x1c\x1d\x1e\x1f", "    ")).otherwise(text)
+
+    def of(few: Column) -> Column:
+        whole = (b - a <= FIRST_PIECES) & (F.length(few) <= FIRST)
+        enough = lambda t: (F.length(t) >= 500) & F.substring(t, 201, 100).rlike("[\\p{L}\\p{N}]")
+        return F.when(whole, _tidy(few)).otherwise(let(_bare(F.substring(few, 1, FIRST)), lambda t: F.when(enough(t), _strip(F.substring(t, 1, 200))).otherwise(_tidy(joined(b)))))
+
+    return F.when(part["a"].isNull(), _tidy(part["text"])).otherwise(let(joined(F.least(b, a + FIRST_PIECES)), of))
 
 
 def _says_nothing(text: Column) -> Column:
@@ -66,21 +90,32 @@ def _says_nothing(text: Column) -> Column:
 
 
 def label(a: Column) -> Column:
-    """What a link is called: of its title, the texts before it, its own and its box's the first that says something, or else the file's name."""
+    """What a link is called: of its title, the texts before it, its own and its box's the first that says something, or else the file's name. A text is
+    made only once those before it say nothing."""
     title = _strip(F.coalesce(a["title"], F.lit("")))
     has_title = F.coalesce(a["title"], F.lit("")) != ""
     cell = F.get("els", a["cell"])
     row = F.get("els", cell["parent"])
-    cells = F.filter(F.slice("els", row["node"] + 2, F.greatest(cell["node"] - row["node"] - 1, F.lit(0))), lambda x: x["tag"].isin("td", "th") & (x["p1"] > x["p0"]))
-    in_row = F.when((row["tag"] == "tr") & (F.size(cells) > 0), says(F.element_at(cells, -1)))
-    own = says(a)
-    box = F.when(a["box"].isNotNull(), _flat(says(F.get("els", a["box"]))))
-    lead = F.concat(F.array(a["before"]), a["above"])
-    one = lambda c: F.array(c)
-    ordered = F.when(has_title & in_row.isNotNull(), F.concat(one(in_row), lead, one(title), one(own), one(box))).when(has_title, F.concat(one(title), lead, one(own), one(box))).otherwise(F.concat(lead, one(in_row), one(own), one(box)))
-    tidy = F.filter(F.transform(F.array_compact(ordered), _tidy), lambda x: x != "")
+    cells = F.filter(span("els", ELEMENT, row["node"] + 1, F.greatest(cell["node"], row["node"] + 1)), lambda x: x["tag"].isin("td", "th") & (x["p1"] > x["p0"]))
+    in_row = F.when(row["tag"] == "tr", let(cells, lambda cs: F.get(cs, F.size(cs) - 1)))
+    part = lambda text, start, end, above=False: F.struct(text.cast("string").alias("text"), start.cast("int").alias("a"), end.cast("int").alias("b"), F.lit(above).alias("above"))
+    null = F.lit(None)
+    text = lambda c: F.array(part(c, null, null))
+    of = lambda e: F.array(part(null, e["p0"], e["p1"]))
+    lead = F.concat(text(a["before"]), F.transform(F.slice(a["above"], 2, 4), lambda start, i: part(null, start, F.get(a["above"], i), True)))
+    ends = F.concat(of(a), of(F.get("els", a["box"])))
+    ordered = let(
+        in_row,
+        lambda c: F.when(has_title & c.isNotNull(), F.concat(of(c), lead, text(title), ends)).when(has_title, F.concat(text(title), lead, ends)).otherwise(F.concat(lead, of(c), ends)),
+    )
+
+    def step(found: Column, part: Column) -> Column:
+        new = lambda t: F.struct(F.when(~_says_nothing(t), t).alias("said"), F.coalesce(found["other"], t).alias("other"))
+        return F.when(found["said"].isNotNull(), found).otherwise(let(_tidy_part(part), lambda t: F.when(F.coalesce(t, F.lit("")) == "", found).otherwise(new(t))))
+
+    best = F.aggregate(ordered, F.struct(null.cast("string").alias("said"), null.cast("string").alias("other")), step)
     file = F.regexp_extract(U.path(a["url"]), "([^/]*)$", 1)
-    return F.coalesce(F.get(F.filter(tidy, lambda x: ~_says_nothing(x)), F.lit(0)), F.get(tidy, F.lit(0)), F.nullif(file, F.lit("")), F.regexp_replace(a["url"], "[^\\p{L}\\p{N}_-]", "_"))
+    return let(best, lambda x: F.coalesce(x["said"], x["other"], F.nullif(file, F.lit("")), F.regexp_replace(a["url"], "[^\\p{L}\\p{N}_-]", "_")))
 
 
 def _label_of(a: Column) -> Column:
@@ -119,7 +154,10 @@ def _further(within: Column, main: Column) -> Column:
 
 def _in_table(tr: Column) -> Column:
     """A row whose first cell is a number and whose second has a link to a page; null for others."""
-    cells = F.filter(inside(tr), lambda x: (x["parent"] == tr["node"]) & x["tag"].isin("td", "th"))
+    return let(F.filter(inside(tr), lambda x: (x["parent"] == tr["node"]) & x["tag"].isin("td", "th")), lambda cells: _of_cells(tr, cells))
+
+
+def _of_cells(tr: Column, cells: Column) -> Column:
     number = F.regexp_replace(F.regexp_replace(F.regexp_replace(says(F.get(cells, F.lit(0))), "(?U)[\\s\\u3000]+", ""), "^[．.、)]+|[．.、)]+$", ""), "^[(]+|[(]+$", "")
     serial = F.when(number.rlike("^[0-9]+$"), number.try_cast("long"))
 
@@ -156,7 +194,10 @@ def _numbered(entries: Column) -> Column:
 
 
 def _in_list(item: Column) -> Column:
-    a = F.get(F.filter(inside(item), lambda x: x["href"].isNotNull()), F.lit(0))
+    return let(F.get(F.filter(inside(item), lambda x: x["href"].isNotNull()), F.lit(0)), lambda a: _of_item(item, a))
+
+
+def _of_item(item: Column, a: Column) -> Column:
     title = _title_of(a, says(a))
     dated = F.get(F.filter(inside(item), lambda x: (x["tag"] == "span") & F.array_contains(x["classes"], "date")), F.lit(0))
     remark = F.coalesce(says(dated), F.lit(""))

@@ -96,7 +96,9 @@ def listing_layouts(spark, sf_dir):
     file = cat("<p>", name, "：<a href='f/", k, ".xlsx'>下载</a></p>")
     card = cat("<div><ul><li><a href='d/", k, "/index.html' title='", name, "'>x</a><span class='time'>2024年", month, "月3日</span><p><a href='../f/", k, ".pdf' title='说明", k, "'>附件</a></p></li></ul></div>")
     one = F.when(layout == 0, row).when(layout == 1, item).when(layout == 2, file).otherwise(card)
-    pages = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", one.alias("h")))), lambda x: x["h"]), "\n").alias("h"))
+    # by number, as AQE would put the pages, few bytes that are much work, into one task
+    rows = table(spark, sf_dir, "supplier").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_nationkey")
+    pages = rows.groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", one.alias("h")))), lambda x: x["h"]), "\n").alias("h"))
     mod = F.col("page_id") % 4
     html = F.when(mod == 0, cat("<table><tr><th>号</th><th>名</th></tr>", F.col("h"), "</table>")).when(mod == 1, cat("<ul class='a txtlist'>", F.col("h"), "</ul>")).otherwise(F.col("h"))
     pages = pages.select("page_id", F.when(mod == 3, "http://host/a/b/index.html").otherwise("http://host/list/index.html").alias("url"), html.alias("html"), F.when(mod == 3, "card").otherwise("plain").alias("parser"))

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.operators import clauses as K
+from loomery.operators import elements as EL
 from loomery.operators import extraction as E
 from loomery.operators import listings as L
 from loomery.operators import titles as T
+from loomery.plans import page_queries
 from loomery.plans.search_queries import _rounded
 from loomery.streaming import entries as S
 
@@ -72,6 +74,31 @@ def test_titles_are_compared_only_if_a_request_needs_it(spark, monkeypatch):
     assert {(r["ref"], r["kind"], r["entry"]) for r in T.first_match(asked, entries).collect()} == {(1, "exact", 1), (2, "partial", 2)}
 
 
+def test_elements_of_a_page_grow_with_it(spark):
+    row = "<tr><td>{0}</td><td><a href='{0}.html'>甲乙丙丁{0}</a></td><td><a href='{0}.doc'>下载</a></td></tr>"
+    pages = spark.createDataFrame([(n, "http://h/l/i.html", "<table>" + "".join(row.format(i) for i in range(n)) + "</table>") for n in (300, 600)], "page_id long, url string, html string")
+    size = {r["page_id"]: r["n"] for r in EL.parsed(pages).select("page_id", F.length(F.to_json(F.struct("els"))).alias("n")).collect()}
+    assert size[600] < 2.2 * size[300]  # nearly four times before
+
+
+def test_a_long_text_before_a_link_is_as_tidy_as_all_of_it(spark):
+    texts = ["甲乙 " * 1000, "下载word版 " * 300 + "甲", "甲" * 100 + "-" * 3000, "甲" * 100 + "-" * 3000 + "pdf下载", "甲" * 240 + "下载 wps" * 200, "：  甲" * 700, "附件 下载" * 900, "乙" * 1500 + "\x1c丙", "a\x1cb", "甲" * 199 + " 乙" * 600, " ", "pdf"]
+    rows = [(i, [t[j : j + n] for j in range(0, len(t), n)]) for i, t in enumerate(texts) for n in (3, 500)]
+    part = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("a"), F.size("texts").alias("b"), F.lit(True).alias("above"))
+    full = L._tidy(F.translate(F.array_join("texts", " "), "\x1c", " "))
+    got = spark.createDataFrame(rows, "i long, texts array<string>").select("i", L._tidy_part(part).alias("part"), full.alias("full")).collect()
+    assert len(got) == len(rows) and all(r["part"] == r["full"] for r in got), [r for r in got if r["part"] != r["full"]]
+
+
+def test_nothing_is_sliced_from_all_elements_of_a_page(spark):
+    shown = [str(x) for x in (L.table_entries(), L.list_entries(), L.card_entries(), L.label(F.col("a")))]
+    assert not any("slice(els" in x or "slice(texts" in x for x in shown)
+
+
+def test_pages_of_listings_are_not_put_into_one_task(spark):
+    assert page_queries.listing_layouts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_items_are_found_once(spark):
     assert str(L._once(F.col("xyz"), lambda x: x["k"])).count("xyz") == 1
     rows = spark.sql("select array(struct('b' as k, 1 as v), struct('a' as k, 2 as v), struct('b' as k, 3 as v), struct(null as k, 4 as v)) as xyz")
