@@ -37,13 +37,14 @@ def find_clauses(docs: DataFrame, references: DataFrame) -> DataFrame:
     each clause that is asked for once, however many references ask for it."""
     named = references.select("ref", "doc_id", F.explode(F.array(C.reference(norm_text("clause")))).alias("r")).select("ref", F.to_json(F.struct("doc_id", "r")).alias("question"), "doc_id", "r.*")
     answers = _answers(docs, cut(named.drop("ref").distinct().withColumnRenamed("question", "ref")))  # read four times
-    return named.select("ref", "question").join(answers.withColumnRenamed("ref", "question"), "question").drop("question")
+    return named.select("ref", "question").hint("merge").join(answers.withColumnRenamed("ref", "question"), "question").drop("question")
 
 
 def _answers(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Of distinct questions (ref, doc_id, article, paragraph, unit, item) in docs, as find_clauses."""
+    """Of distinct questions (ref, doc_id, article, paragraph, unit, item) in docs, as find_clauses. No side of a join is broadcast, as Spark takes
+    strings for a few bytes, and all of them grow with the questions."""
     # what a line shows is read once, however many questions its document has
-    wanted = docs.where("text is not null").join(asked.where("article is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = docs.where("text is not null").hint("merge").join(asked.where("article is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     bare = lambda c: F.regexp_replace(c, "\\s", "")
     shown = {f"n_{unit}": bare(_starts(unit)[0]) for unit in "条款段"} | {f"is_{unit}": _starts(unit)[1] for unit in "条款段"}
     shown |= {"n_bullet": bare(F.regexp_extract("plain", f"^((?:{C.NUMBER}\\s*)+){C.MARKS}", 1)), "is_bullet": F.col("plain").rlike(f"^{C.NUMBER}+\\s*{C.MARKS}"), "is_final": C.final_line(F.col("plain"))}
@@ -59,11 +60,11 @@ def _answers(docs: DataFrame, asked: DataFrame) -> DataFrame:
     ins = F.array_compact(F.array(*[F.when((F.col(f"named_{k}") >= 0) & (F.col(f"named_{k}") >= F.col(f"block_{k}")), F.struct(F.lit(k).alias("kind"), F.col(f"block_{k}").alias("block"), F.col(n).alias("number"))) for k, n, _ in kinds]))
     lines = cut(lines.withColumn("in", F.explode(ins)).select("doc_id", "line", "raw", *[c for u in "款段" for c in (f"n_{u}", f"is_{u}")], "in.*"))
     heads = lines.where("number <> ''").select("doc_id", "number", "kind", "line", "block")
-    named = questions.select("ref", "doc_id", F.explode("articles").alias("number")).join(heads, ["doc_id", "number"])
+    named = questions.select("ref", "doc_id", F.explode("articles").alias("number")).hint("merge").join(heads, ["doc_id", "number"])
     # of both kinds headings count before list numbers, and of these the first
     starts = named.groupBy("ref", "doc_id").agg(F.min(F.struct("kind", F.col("line").alias("start"), "block")).alias("s")).select("ref", "doc_id", "s.*")
-    asked_for = starts.join(questions.select("ref", "unit", "paragraphs"), "ref")
-    part = lines.drop("number").join(asked_for, ["doc_id", "kind", "block"]).where("line >= start")
+    asked_for = starts.hint("merge").join(questions.select("ref", "unit", "paragraphs"), "ref")
+    part = lines.drop("number").hint("merge").join(asked_for, ["doc_id", "kind", "block"]).where("line >= start")
     one = W.partitionBy("ref")
     place = F.col("line")
 
@@ -83,9 +84,9 @@ def _answers(docs: DataFrame, asked: DataFrame) -> DataFrame:
         return F.btrim(F.array_join(F.transform(rows, lambda x: x["raw"]), "\n"), F.lit(" \n\t　"))
 
     texts = part.groupBy("ref").agg(joined(F.lit(True)).alias("article_text"), joined(inside).alias("paragraph_text"), F.first("from").alias("from"))
-    out = asked.join(texts.withColumnRenamed("ref", "t_ref"), F.col("ref") == F.col("t_ref"), "left")
+    out = asked.hint("merge").join(texts.withColumnRenamed("ref", "t_ref"), F.col("ref") == F.col("t_ref"), "left")
     held = docs.where("text is not null").select(F.col("doc_id").alias("held")).distinct()
-    out = out.join(held, F.col("doc_id") == F.col("held"), "left")
+    out = out.hint("merge").join(held, F.col("doc_id") == F.col("held"), "left")
     out = out.withColumn("item_text", F.when(F.col("item").isNotNull(), C.item_text(F.col("paragraph_text"), F.col("item"))))
     error = (
         F.when(F.col("article").isNull(), "invalid_clause_reference")

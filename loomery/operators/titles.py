@@ -193,25 +193,25 @@ def clauses_by_title(requests: DataFrame, entries: DataFrame, documents: DataFra
     A matching entry's documents are tried as texts, pages, pdf and word files, then all together; within a try the best kind of
     file that has the article answers. The first try without an error is the result, or else the first one's error."""
     first = cut(first_match(requests.select("ref", "title"), entries, cutoff))
-    asked = requests.join(first.withColumnRenamed("ref", "f_ref"), F.col("ref") == F.col("f_ref"), "left").drop("f_ref")
+    asked = requests.hint("merge").join(first.withColumnRenamed("ref", "f_ref"), F.col("ref") == F.col("f_ref"), "left").drop("f_ref")
     declared = F.lower("type")
     suffix = F.lower(F.regexp_extract("path", "\\.([^./\\\\]+)$", 1))
     real = _by(suffix, SUFFIXES, F.coalesce(F.nullif(declared, F.lit("")), suffix))
     turns = F.array_compact(F.array(*[F.when(declared.isin(*kinds), i) for i, kinds in enumerate(TRIES)], F.lit(len(TRIES))))
     docs = documents.select("entry", "at", "path", "text", real.alias("type"), _by(real, BEST, F.lit(1)).alias("best"), turns.alias("turns"))
     docs = docs.withColumn("doc_id", F.to_json(F.struct("entry", "at")))
-    tries = asked.where("entry is not null").select("ref", F.col("entry").alias("e"), "clause").join(docs.drop("text"), F.col("e") == F.col("entry"))
+    tries = asked.where("entry is not null").select("ref", F.col("entry").alias("e"), "clause").hint("merge").join(docs.drop("text"), F.col("e") == F.col("entry"))
     tries = cut(tries)
     questions = tries.select("doc_id", "clause").distinct().withColumn("ref", F.to_json(F.struct("doc_id", "clause")))
-    needed = docs.join(questions.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    needed = docs.hint("merge").join(questions.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
     found = find_clauses(needed, questions.select("ref", "doc_id", "clause")).withColumnRenamed("ref", "question").drop("doc_id")
-    each = tries.withColumn("question", F.to_json(F.struct("doc_id", "clause"))).join(found, "question").withColumn("turn", F.explode("turns"))
+    each = tries.withColumn("question", F.to_json(F.struct("doc_id", "clause"))).hint("merge").join(found, "question").withColumn("turn", F.explode("turns"))
     fields = ("path", "type", "article", "paragraph", "item", "article_text", "paragraph_text", "item_text", "error")
     # within a turn: documents with the article, best kind first; a document that can't be read before one without it
     none, unread = F.col("article_text").isNull(), F.col("error") == "document_unavailable"
     turn = each.groupBy("ref", "turn").agg(F.min_by(F.struct(*fields), F.struct(none.alias("none"), (~unread).alias("read"), (-F.col("best")).alias("best"), "at")).alias("x"))
     best = turn.groupBy(F.col("ref").alias("b_ref")).agg(F.min_by("x", F.struct(F.col("x.error").isNotNull().alias("failed"), "turn")).alias("x"))
-    out = asked.join(best, F.col("ref") == F.col("b_ref"), "left")
+    out = asked.hint("merge").join(best, F.col("ref") == F.col("b_ref"), "left")
     valid = C.article(norm_text("clause")).isNotNull()
     error = (
         F.when(F.coalesce("title", F.lit("")) == "", "missing_title")

@@ -67,6 +67,15 @@ def test_plans_of_clauses_by_title_stay_small(spark):
     assert size < 80_000, size  # each stage that ends writes the plan for the driver's listeners
 
 
+def test_questions_of_clauses_are_not_broadcast(spark):
+    entries = spark.createDataFrame([(1, "甲条例", 1)], "entry long, title string, ordinal long")
+    docs = spark.createDataFrame([(1, 0, "text", "a.txt", "第一条 甲")], "entry long, at int, type string, path string, text string")
+    asked = spark.createDataFrame([(1, "甲条例", "第一条")], "ref long, title string, clause string")
+    found = T.clauses_by_title(asked.repartition(4), entries, docs)
+    assert [r["article_text"] for r in found.collect()] == ["第一条 甲"]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_titles_are_compared_only_if_a_request_needs_it(spark, monkeypatch):
     monkeypatch.setattr(T, "closest", lambda *_: pytest.fail("all titles are looked through for no request"))
     entries = spark.createDataFrame([(1, "甲条例", 1), (2, "乙条例", 2)], "entry long, title string, ordinal long")
